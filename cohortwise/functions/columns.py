@@ -66,10 +66,9 @@ def yeo_johnson(value: Column, power: Column | float) -> Column:
     )
 
 
-def stable_bucket(key: Column, start: int, buckets: int) -> Column:
-    """Bucket of a row key from eight md5 hex digits; independent of partitioning."""
-    digits = F.substring(F.md5(key), start, 8)
-    return (F.conv(digits, 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
+def stable_bucket(digest: Column, start: int, buckets: int) -> Column:
+    """Bucket from eight hex digits of a row's digest; independent of partitioning."""
+    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
 
 
 def title(name: Column) -> Column:

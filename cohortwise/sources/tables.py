@@ -51,6 +51,15 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores when ``scan`` has fewer splits than cores (one small file).
+
+    A table of many splits is returned as it is: no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else df
+
+
 def _unit_key() -> Column:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
@@ -83,7 +92,7 @@ def units(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = None)
     known = _roles()
     wanted = list(known) if roles is None else [r for r in known if r in set(roles)]
     tables = {known[r][0] for r in wanted}
-    lines = parquet(spark, sf_dir, "lineitem")
+    scan = lines = parquet(spark, sf_dir, "lineitem")
     if tables & {"orders", "customer"}:
         orders = parquet(spark, sf_dir, "orders")
         if "customer" in tables:
@@ -93,7 +102,7 @@ def units(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = None)
     if "part" in tables:
         part = parquet(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(
+    return spread(lines, scan, "l_orderkey", "l_linenumber").select(
         F.col("l_linestatus").alias("cohort"),
         F.md5(_unit_key()).alias("row_key"),
         *[known[r][1].alias(r) for r in wanted],
@@ -102,7 +111,8 @@ def units(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = None)
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a cohort table: one numeric column, five cohorts, heavy tails."""
-    return parquet(spark, sf_dir, "events").select(
+    scan = parquet(spark, sf_dir, "events")
+    return spread(scan, scan, "event_id").select(
         F.col("event_type").alias("cohort"),
         F.md5(F.col("event_id").cast("string")).alias("row_key"),
         F.col("value"),
@@ -111,7 +121,8 @@ def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_units(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """Embeddings as a wide cohort table with one column per dimension."""
-    return parquet(spark, sf_dir, "embeddings").select(
+    scan = parquet(spark, sf_dir, "embeddings")
+    return spread(scan, scan, "vec_id").select(
         F.col("label").cast("string").alias("cohort"),
         F.md5(F.col("vec_id").cast("string")).alias("row_key"),
         *[F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(width)],
