@@ -44,7 +44,8 @@ def small_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType
     """A local relation from driver-side statistics; needs no Python workers to scan."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = list(zip(*rows)) or [()] * len(schema)
-    arrays = [pa.array(list(values), _ARROW[f.dataType]) for values, f in zip(columns, schema)]
+    plain = lambda v: list(v.items()) if isinstance(v, dict) else v
+    arrays = [pa.array([plain(v) for v in values], _ARROW[f.dataType]) for values, f in zip(columns, schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
