@@ -203,11 +203,20 @@ def _linear_records(data, plan, names, points, metric, label=lambda n: n, varian
             if trials:
                 values["tuned_cv_mae_mean"], values["tuned_cv_mae_std"] = _cv(slot["cv"])
             params = {"alpha": repr(fit.spec.alpha), "scaler": fit.spec.scaler, "kind": fit.spec.kind}
-            records.append(_record(data, cohort, label(name), variant, params=params, **values))
+            records.append(_record(data, cohort, label(name), variant, params=params, **values) | {"features_used": len(fit.features)})
             kept[cohort, label(name)] = fit
     return records, kept
 
 
+def train_single_features(data: TrainingData, kind: str = "ols", alpha: float = 0.0, scaler: str = "none",
+                          label=lambda f: f, variant: str = "base") -> Training:
+    """One model per feature and cohort, named after the feature: how far does each get alone?"""
+    plan = {c: [linear.LinearSpec(f, kind, alpha, scaler, features=(f,)) for f in names] for c, names in data.chosen.items()}
+    records, fits = _linear_records(data, plan, data.features, {}, "mae", label, variant)
+    models = {key: linear_pipeline(data, fit) for key, fit in fits.items()}
+    return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits))
+
+
 # --- tree models ----------------------------------------------------------
 
 def _folds(data: TrainingData, cohort: str) -> list[int]:

@@ -88,7 +88,7 @@ def choose(pairs: DataFrame, variance: DataFrame, stats: DataFrame, target: str,
         entries = [r for r in by_cohort[c] if r.feature in allowed]
         passes = lambda r: ((r["corr"] is not None and abs(r["corr"]) > config.corr_threshold(c)),
                             (r.variance is not None and r.variance > config.variance_threshold))
-        ranked = sorted((r for r in entries if all(passes(r))), key=lambda r: (-abs(r["corr"]), r.feature))
+        ranked = sorted((r for r in entries if all(passes(r))), key=lambda r: (-round(abs(r["corr"]), 12), r.feature))
         kept = greedy_prune([r.feature for r in ranked], related[c], config.collinearity_threshold, config.max_features)
         fallback = not kept
         chosen[c] = kept or ([n for n in config.originals if n in allowed] if not explicit else list(names))
