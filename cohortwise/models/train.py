@@ -87,15 +87,21 @@ class Training:
     importances: DataFrame
 
 
-def training_data(df: DataFrame, target: str, chosen: dict[str, list[str]], config: CohortConfig) -> TrainingData:
-    """Impute the chosen features by cohort medians and keep the narrow table for training."""
+def training_data(df: DataFrame, target: str, chosen: dict[str, list[str]], config: CohortConfig,
+                  gaps: DataFrame | None = None) -> TrainingData:
+    """Impute the chosen features by cohort medians and keep the narrow table for training.
+
+    ``gaps`` are medians a selection has already computed.
+    """
     cohort = config.cohort
     features = sorted({f for names in chosen.values() for f in names})
     source = df.where(F.col(cohort).isin(sorted(chosen)))
-    fit = source.where(F.col("split") == "train") if config.fit_on == "train" else source
-    gaps = small_copy(medians_where_missing(fit, small_copy(profile(fit, features, [cohort])), cohort))
+    if gaps is None:
+        fit = source.where(F.col("split") == "train") if config.fit_on == "train" else source
+        gaps = small_copy(medians_where_missing(fit, small_copy(profile(fit, features, [cohort])), cohort))
     fills: dict[str, dict[str, float]] = {}
-    for r in collect_bounded(gaps.where("value is not null")):
+    gaps = gaps.where(F.col("value").isNotNull() & F.col("feature").isin(*features))
+    for r in collect_bounded(gaps):
         fills.setdefault(r[cohort], {})[r.feature] = r.value
     rows = fill(source, gaps, features, cohort).where(F.col(target).isNotNull()).select(
         *dict.fromkeys([cohort, "row_key", "split", "fold", target, *features]))

@@ -58,8 +58,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     """Exact quantiles as (by..., feature, p, n, value); NULL where a group has no value."""
     by, columns = list(by), list(columns)
     probs = [float(p) for p in probabilities]
-    margin = 3.0 / accuracy
-    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    # A sketch is off by at most n/accuracy ranks; brackets of several widths are
+    # asked for in the same pass, because how wide is wide enough depends on n.
+    widths = [3.0 / accuracy * 10 ** i for i in range(4) if 3.0 / accuracy * 10 ** i < 1] + [1.0]
+    edges = [e for p in probs for w in widths for e in (max(0.0, p - w), min(1.0, p + w))]
     aggregates = []
     for i, c in enumerate(columns):
         aggregates.append(F.count(c).alias(f"n_{i}"))
@@ -76,8 +78,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
                 upper = min(lower + 1, n - 1)
                 asked.append((g, c, p, n, lower, upper, position - lower))
                 if n:
-                    low, high = row[f"q_{i}"][2 * j], row[f"q_{i}"][2 * j + 1]
-                    open_ranks |= {_Rank(g, c, k, low, high, n * 8.0 / accuracy + 2) for k in (lower, upper)}
+                    safe = next((k for k, w in enumerate(widths) if (w - 1.0 / accuracy) * n >= 3), len(widths) - 1)
+                    at = 2 * (j * len(widths) + safe)
+                    low, high = row[f"q_{i}"][at], row[f"q_{i}"][at + 1]
+                    inside = n * 2 * (widths[safe] + 1.0 / accuracy) + 2
+                    open_ranks |= {_Rank(g, c, k, low, high, inside) for k in (lower, upper)}
 
     group_schema = T.StructType([df.schema[b] for b in by] + [T.StructField("group_id", T.IntegerType())])
     lookup = small_frame(df.sparkSession, [tuple(row[b] for b in by) + (g,) for g, row in enumerate(groups)], group_schema)

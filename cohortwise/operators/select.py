@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +15,13 @@ from cohortwise.operators.stats import correlation_pairs, medians, profile, targ
 
 @dataclass
 class Selection:
-    """``table`` has one row per cohort and candidate; ``chosen`` the kept names in order."""
+    """``table`` has one row per cohort and candidate; ``chosen`` the kept names in order;
+    ``fills`` the medians of columns that miss values, for training to reuse."""
 
     table: DataFrame
     pairs: DataFrame
     chosen: dict[str, list[str]]
-    cohorts: list[str] = field(default_factory=list)
+    fills: DataFrame
 
 
 def filled_variance(stats: DataFrame, fills: DataFrame, cohort: str) -> DataFrame:
@@ -56,13 +57,13 @@ def greedy_prune(ranked: list[str], correlation: dict[tuple[str, str], float], l
 
 def select_features(df: DataFrame, target: str, config: CohortConfig, features=None) -> Selection:
     """Statistics of all cohorts in two passes; only names are walked on the driver."""
-    cohort, spark = config.cohort, df.sparkSession
+    cohort = config.cohort
     names = features or candidate_names(None, target, config)
     source = df.where(F.col("split") == "train") if config.fit_on == "train" else df
     stats = small_copy(profile(source, [*names, target], [cohort]))
-    variance = filled_variance(stats, medians_where_missing(source, stats, cohort), cohort)
+    fills = small_copy(medians_where_missing(source, stats, cohort))
     pairs = small_copy(correlation_pairs(source, [*names, target], cohort, stats))
-    return choose(pairs, variance, stats, target, config, names, explicit=features is not None)
+    return choose(pairs, stats, fills, target, config, names, explicit=features is not None)
 
 
 def small_copy(df: DataFrame) -> DataFrame:
@@ -70,10 +71,11 @@ def small_copy(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, collect_bounded(df), df.schema)
 
 
-def choose(pairs: DataFrame, variance: DataFrame, stats: DataFrame, target: str, config: CohortConfig,
+def choose(pairs: DataFrame, stats: DataFrame, fills: DataFrame, target: str, config: CohortConfig,
            names: list[str], explicit: bool = False) -> Selection:
+    """Apply the thresholds and the greedy walk to the statistics tables."""
     cohort, spark = config.cohort, pairs.sparkSession
-    judged = variance.where(F.col("feature") != target).join(
+    judged = filled_variance(stats, fills, cohort).where(F.col("feature") != target).join(
         target_correlations(pairs, target, cohort), [cohort, "feature"], "left")
     cohorts = sorted({r[cohort] for r in collect_bounded(stats.select(cohort).distinct())})
     related: dict[str, dict] = {c: {} for c in cohorts}
@@ -99,4 +101,4 @@ def choose(pairs: DataFrame, variance: DataFrame, stats: DataFrame, target: str,
                          varies, r.feature in position, position.get(r.feature), fallback))
     table = small_frame(spark, rows, f"{cohort} string, feature string, abs_corr double, variance double, "
                         "passes_corr boolean, passes_variance boolean, selected boolean, position int, fallback boolean")
-    return Selection(table, pairs, chosen, cohorts)
+    return Selection(table, pairs, chosen, fills)

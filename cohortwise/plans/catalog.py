@@ -648,7 +648,7 @@ def model_roundtrip(spark, sf):
     """Save the tree of each cohort, load it and score the test rows with the loaded one."""
     df = engineered(spark, sf, MAINTENANCE)
     selection = select_features(df, MAINTENANCE, UNITS)
-    data = training_data(df, MAINTENANCE, selection.chosen, UNITS)
+    data = training_data(df, MAINTENANCE, selection.chosen, UNITS, selection.fills)
     trained = train_models(data, [registry.TREE], "small", cv=False)
     base = _folder(spark, "models")
     parts = None

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.config import CohortConfig
 from cohortwise.functions.columns import title
-from cohortwise.operators import compare, stats
+from cohortwise.operators import stats
 from cohortwise.operators.features import candidate_names
 
 
@@ -29,10 +29,10 @@ def correlation_bars(pairs: DataFrame, target: str, cohort: str) -> DataFrame:
 
 
 def most_positive(correlations: DataFrame, cohort: str, k: int = 10) -> DataFrame:
-    """The ``k`` most positive correlations of each cohort."""
-    return compare.top_importances(
-        correlations.select(cohort, F.lit("correlation").alias("model"), "feature", F.col("corr").alias("importance")), k
-    ).select(cohort, "feature", F.col("importance").alias("corr"), "rank")
+    """The ``k`` most positive correlations of each cohort; equal ones by name."""
+    window = Window.partitionBy(cohort).orderBy(F.round("corr", 12).desc_nulls_last(), "feature")
+    ranked = correlations.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return ranked.select(cohort, "feature", "corr", "rank")
 
 
 def feature_summary(selection: DataFrame, config: CohortConfig, target: str) -> DataFrame:

@@ -265,12 +265,14 @@ def _histogram(source: str, column: str, bins: int) -> str:
     """CTE chain ending in hist(cohort, bin, low, high, n, density)."""
     return f"""vals AS (SELECT cohort, {column} AS v FROM {source} WHERE {column} IS NOT NULL),
 bounds AS (SELECT cohort, min(v) AS lo, max(v) AS hi, count(*) AS total FROM vals GROUP BY cohort),
+placed AS (
+  SELECT bounds.*, CAST(coalesce(least(floor((v - lo) * {bins}.0 / nullif(hi - lo, 0)), {bins - 1}), {bins // 2}) AS INTEGER) AS bin,
+         (hi - lo) / {bins}.0 AS width
+  FROM vals JOIN bounds USING (cohort)),
 hist AS (
-  SELECT cohort, CAST(coalesce(least(floor((v - lo) * {bins}.0 / nullif(hi - lo, 0)), {bins - 1}), {bins // 2}) AS INTEGER) AS bin,
-         lo + CAST(least(floor((v - lo) * {bins}.0 / nullif(hi - lo, 0)), {bins - 1}) AS INTEGER) * ((hi - lo) / {bins}.0) AS low,
-         lo + (CAST(least(floor((v - lo) * {bins}.0 / nullif(hi - lo, 0)), {bins - 1}) AS INTEGER) + 1) * ((hi - lo) / {bins}.0) AS high,
-         count(*) AS n, count(*)::DOUBLE / (total * ((hi - lo) / {bins}.0)) AS density
-  FROM vals JOIN bounds USING (cohort) GROUP BY ALL, total, lo, hi)"""
+  SELECT cohort, bin, lo + bin * width AS low, lo + (bin + 1) * width AS high, count(*) AS n,
+         count(*)::DOUBLE / nullif(total * width, 0) AS density
+  FROM placed GROUP BY cohort, bin, lo, width, total)"""
 
 
 def _yeo_johnson(x: str, p: str) -> str:
@@ -284,7 +286,7 @@ def _likelihood_cte() -> str:
 cells AS (SELECT cohort, feature, value AS x, CAST(p AS DOUBLE) AS power FROM ({_stack('units', SCALED)}), (VALUES {powers}) g(p)),
 lik AS (SELECT cohort, feature, power,
   -count(x) / 2.0 * ln(var_pop({_yeo_johnson('x', 'power')})) + (power - 1) * sum(sign(x) * ln(1 + abs(x))) AS loglik
-  FROM cells GROUP BY ALL)"""
+  FROM cells GROUP BY cohort, feature, power)"""
 
 
 _LINES = f"""lines AS (SELECT l_linestatus AS cohort, {_KEY} AS row_key, l_extendedprice AS mileage_km,
@@ -374,7 +376,7 @@ def oracle() -> dict[str, str]:
     words = "array_to_string(list_transform(string_split(feature, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
     sql["correlation_bars"] = f"{tc} SELECT cohort, feature, {words} AS label, CAST(sign(corr) AS INTEGER) AS sign FROM tc WHERE corr IS NOT NULL"
     sql["top_correlations"] = (
-        f"{tc}, r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY corr DESC, feature) AS rank FROM tc WHERE corr IS NOT NULL) "
+        f"{tc}, r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY round(corr, 12) DESC, feature) AS rank FROM tc WHERE corr IS NOT NULL) "
         f"SELECT cohort, feature, {_r('corr', 8)}, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
     limit = "CASE WHEN cohort = 'F' THEN 0.02 ELSE 0.03 END"
     sql["corr_strength_buckets"] = (

@@ -17,7 +17,7 @@ from cohortwise.models.train import (
     Search, TrainingData, compare_scalers, finetune_top, train_models, training_data)
 from cohortwise.operators import compare
 from cohortwise.operators.features import candidate_names, engineer
-from cohortwise.operators.prepare import prepare
+from cohortwise.operators.prepare import clamp, prepare, with_ratio
 from cohortwise.operators.select import Selection, select_features
 from cohortwise.operators.split import with_split
 from cohortwise.operators.transform import one_hot
@@ -59,7 +59,6 @@ def prepared_table(df: DataFrame, target: str, config: CohortConfig, options: Ru
     if options.remove_outliers:
         ready = prepare(df, target, config, options.exact_quantiles)
     else:
-        from cohortwise.operators.prepare import clamp, with_ratio
         ready = clamp(with_ratio(df, config.ratio_name, config.ratio_numerator, config.ratio_denominator), config.clamped)
     return with_split(ready, config.row_key)
 
@@ -69,7 +68,7 @@ def train_from(df: DataFrame, target: str, config: CohortConfig,
     """Prepare, engineer and select: what every kind of training starts from."""
     engineered = engineer(prepared_table(df, target, config, options), target, config)
     selection = select_features(engineered, target, config)
-    return engineered, selection, training_data(engineered, target, selection.chosen, config)
+    return engineered, selection, training_data(engineered, target, selection.chosen, config, selection.fills)
 
 
 def run_target(df: DataFrame, target: str, config: CohortConfig, options: RunOptions = RunOptions()) -> RunResult:
@@ -77,7 +76,7 @@ def run_target(df: DataFrame, target: str, config: CohortConfig, options: RunOpt
     prepared = prepared_table(df, target, config, options)
     engineered = engineer(prepared, target, config)
     selection = select_features(engineered, target, config)
-    data = training_data(engineered, target, selection.chosen, config)
+    data = training_data(engineered, target, selection.chosen, config, selection.fills)
     trained = train_models(data, options.models, options.profile, options.cross_validate, options.search,
                            options.scaler, options.parallelism)
     results, importances, models = trained.results, trained.importances, dict(trained.models)
