@@ -1,18 +1,18 @@
 """Exact linear-interpolation quantiles without gathering a group in one task.
 
-``percentile`` keeps every distinct value of a group in one hash map, which a
-cohort with billions of rows does not survive. Here a mergeable sketch brackets
-each wanted rank; one aggregation then counts what lies below the bracket and
-the distinct values inside it, and only those few are ordered. A sketch with
-relative rank error 1/accuracy bounds how many distinct values lie strictly
-inside a bracket; where that bound is still too large, the bracket is narrowed
-by another sketch over its inside.
+``percentile`` keeps every distinct value of a group in one hash map, and even a
+sketch is merged by one task per group. Here values are counted in bins: each
+task sends at most a few thousand bin counts per group and column, the counts
+are added up by all reducers, and the running count names the bin that holds a
+wanted rank. A bin also carries its smallest and largest value, so the next
+count looks only between those two. Two or three counts narrow any rank to a
+bin small enough to order, or to a single value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,23 +22,20 @@ from cohortwise.bounded import collect_bounded, small_frame
 
 SKETCH_ACCURACY = 10_000
 MAX_ORDERED_VALUES = 1_000_000
-_GRID = 2000
+BINS = 10_000
+_LOG_BINS = 7  # per unit of log1p|x|, which stays below 710: about 10 000 bins for all doubles
 
 
 @dataclass(frozen=True)
-class _Rank:
-    """The ``rank``-th smallest value of a group's column lies in [low, high]."""
+class _Bracket:
+    """``inside`` values of a group's column lie in [low, high], ``below`` of them lie lower."""
 
     group_id: int
     feature: str
-    rank: int
     low: float
     high: float
-    inside: float  # upper bound of the distinct values strictly inside
-
-    @property
-    def bracket(self):
-        return self.group_id, self.feature, self.low, self.high
+    below: int
+    inside: int
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
@@ -54,75 +51,93 @@ def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-              by: Sequence[str] = (), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+              by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles as (by..., feature, p, n, value); NULL where a group has no value."""
-    by, columns = list(by), list(columns)
-    probs = [float(p) for p in probabilities]
-    # A sketch is off by at most n/accuracy ranks; brackets of several widths are
-    # asked for in the same pass, because how wide is wide enough depends on n.
-    widths = [3.0 / accuracy * 10 ** i for i in range(4) if 3.0 / accuracy * 10 ** i < 1] + [1.0]
-    edges = [e for p in probs for w in widths for e in (max(0.0, p - w), min(1.0, p + w))]
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates.append(F.count(c).alias(f"n_{i}"))
-        aggregates.append(F.approx_percentile(F.col(c).cast("double"), F.lit(edges), F.lit(accuracy)).alias(f"q_{i}"))
-    groups = collect_bounded(df.groupBy(*by).agg(*aggregates))
-
-    asked, open_ranks = [], set()
-    for g, row in enumerate(groups):
-        for i, c in enumerate(columns):
-            n = row[f"n_{i}"]
-            for j, p in enumerate(probs):
-                position = p * (n - 1) if n else 0.0
-                lower = int(position)
-                upper = min(lower + 1, n - 1)
-                asked.append((g, c, p, n, lower, upper, position - lower))
-                if n:
-                    safe = next((k for k, w in enumerate(widths) if (w - 1.0 / accuracy) * n >= 3), len(widths) - 1)
-                    at = 2 * (j * len(widths) + safe)
-                    low, high = row[f"q_{i}"][at], row[f"q_{i}"][at + 1]
-                    inside = n * 2 * (widths[safe] + 1.0 / accuracy) + 2
-                    open_ranks |= {_Rank(g, c, k, low, high, inside) for k in (lower, upper)}
-
+    by, probs = list(by), [float(p) for p in probabilities]
+    first = _first_count(df, list(columns), probs, by)
+    groups: dict[tuple, int] = {}
+    places: dict[tuple, tuple] = {}
+    ranks: dict[_Bracket, set[int]] = {}
+    for r in first:
+        g = groups.setdefault(tuple(r[b] for b in by), len(groups))
+        place = places.setdefault((g, r.feature, r.p), (r.n, r.position, {}))
+        if r.rank is not None:
+            place[2][r.rank] = None
+            ranks.setdefault(_Bracket(g, r.feature, r.low, r.high, r.below, r.inside), set()).add(r.rank)
     group_schema = T.StructType([df.schema[b] for b in by] + [T.StructField("group_id", T.IntegerType())])
-    lookup = small_frame(df.sparkSession, [tuple(row[b] for b in by) + (g,) for g, row in enumerate(groups)], group_schema)
-    found = _select(df, by, lookup, open_ranks, accuracy)
+    lookup = small_frame(df.sparkSession, [key + (g,) for key, g in groups.items()], group_schema)
+    found = _resolve(df, by, lookup, ranks)
 
+    keys = list(groups)
     rows = []
-    for g, c, p, n, lower, upper, weight in asked:
+    for (g, feature, p), (n, position, wanted) in places.items():
         value = None
-        if n:
-            a, b = found[g, c, lower], found[g, c, upper]
-            value = a + (b - a) * weight
-        rows.append(tuple(groups[g][name] for name in by) + (c, p, n, value))
+        if wanted:
+            a, b = found[g, feature, min(wanted)], found[g, feature, max(wanted)]
+            value = a + (b - a) * (position - min(wanted))
+        rows.append(keys[g] + (feature, p, n, value))
     schema = T.StructType([df.schema[b] for b in by] + list(T.StructType.fromDDL("feature string, p double, n bigint, value double")))
     return small_frame(df.sparkSession, rows, schema)
 
 
-def _select(df: DataFrame, by: list[str], lookup: DataFrame, ranks: set[_Rank], accuracy: int) -> dict:
+def _cells(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys..., feature, value): one row per column, produced and consumed inside one stage."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(*keys, F.inline(pairs))
+
+
+def _count_bins(cells: DataFrame, keys: list[str], bin_number) -> DataFrame:
+    """Counts, smallest and largest value per bin, with the running count ``upto``."""
+    counted = cells.groupBy(*keys, bin_number.cast("int").alias("bin")).agg(
+        F.count("value").alias("inside"), F.min("value").alias("low"), F.max("value").alias("high"))
+    running = Window.partitionBy(*keys).orderBy("bin")
+    return counted.withColumn("upto", F.sum("inside").over(running))
+
+
+def _first_count(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> list:
+    """Sizes, ranks and the logarithmic bin of every rank; a missing rank marks an empty column."""
+    keys = [*by, "feature"]
+    value = F.col("value")
+    number = F.floor(F.signum(value) * F.log1p(F.abs(value)) * _LOG_BINS)
+    bins = _count_bins(_cells(df, columns, by), keys, number)
+    total = bins.withColumn("n", F.sum("inside").over(Window.partitionBy(*keys)))
+    asked = total.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
+    asked = asked.withColumn("position", F.col("p") * (F.col("n") - 1))
+    lower = F.floor("position").cast("bigint")
+    both = F.array_distinct(F.array(lower, F.least(lower + 1, F.col("n") - 1)))
+    none = F.array(F.lit(None).cast("bigint"))
+    ranked = asked.select("*", F.explode(F.when(F.col("n") > 0, both).otherwise(none)).alias("rank"))
+    holds = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("inside") <= F.col("rank"))
+    hits = ranked.where(F.col("rank").isNull() | (holds & F.col("bin").isNotNull()))
+    return collect_bounded(hits.select(
+        *by, "feature", "p", "n", "position", "rank", "low", "high", (F.col("upto") - F.col("inside")).alias("below"), "inside"))
+
+
+def _resolve(df: DataFrame, by: list[str], lookup: DataFrame, ranks: dict[_Bracket, set[int]]) -> dict:
     """Value of every rank, as {(group_id, feature, rank): value}."""
     found = {}
-    while True:
-        found.update({(r.group_id, r.feature, r.rank): r.low for r in ranks if r.low == r.high})
-        ranks = {r for r in ranks if r.low != r.high}
-        if not ranks:
-            return found
-        wide = {r for r in ranks if r.inside > MAX_ORDERED_VALUES}
-        if wide:
-            ranks = (ranks - wide) | _narrow(df, by, lookup, wide, accuracy)
-        else:
-            ordered = _order(df, by, lookup, ranks)
-            found.update(ordered)
-            # A bracket the sketch got wrong is opened fully and narrowed again.
-            ranks = {replace(r, low=float("-inf"), high=float("inf"), inside=float("inf"))
-                     for r in ranks if (r.group_id, r.feature, r.rank) not in ordered}
-
-
-def _in_brackets(df: DataFrame, by: list[str], lookup: DataFrame, ranks: set[_Rank]) -> tuple[DataFrame, dict]:
-    """Rows (bracket_id, low, high, value) with value <= high, produced in the scan stage."""
-    brackets = {b: i for i, b in enumerate(sorted({r.bracket for r in ranks}))}
-    table = small_frame(df.sparkSession, [(i, *b) for b, i in brackets.items()],
-                        "bracket_id int, group_id int, feature string, low double, high double")
+    while ranks:
+        single = {b: r for b, r in ranks.items() if b.low == b.high}
+        found.update({(b.group_id, b.feature, k): b.low for b, wanted in single.items() for k in wanted})
+        ranks = {b: r for b, r in ranks.items() if b not in single}
+        # Neighbouring subnormal numbers have no bins between them: they are few values, however often they occur.
+        few = {b: r for b, r in ranks.items() if b.inside <= MAX_ORDERED_VALUES or b.low / 2 == b.high / 2}
+        many = {b: r for b, r in ranks.items() if b not in few}
+        ranks = {}
+        for part, ordered in ((few, True), (many, False)):
+            if part:
+                for b, k, r in _count_inside(df, by, lookup, part, ordered):
+                    narrower = _Bracket(b.group_id, b.feature, r.low, r.high, b.below + r.upto - r.inside, r.inside)
+                    ranks.setdefault(narrower, set()).add(k)
+    return found
+
+
+def _count_inside(df: DataFrame, by: list[str], lookup: DataFrame, ranks: dict[_Bracket, set[int]], ordered: bool):
+    """(bracket, rank, hit): count values inside brackets, one by one or in equal bins."""
+    spark = df.sparkSession
+    brackets = list(ranks)
+    table = small_frame(spark, [(i, b.group_id, b.feature, b.low, b.high) for i, b in enumerate(brackets)],
+                        "id int, group_id int, feature string, from_value double, to_value double")
     if by:
         named = lookup.select("group_id", *[F.col(b).alias(f"__{b}") for b in by])
         same = F.lit(True)
@@ -131,56 +146,18 @@ def _in_brackets(df: DataFrame, by: list[str], lookup: DataFrame, ranks: set[_Ra
         keyed = df.join(F.broadcast(named), same)
     else:
         keyed = df.withColumn("group_id", F.lit(0))
-    used = sorted({r.feature for r in ranks})
-    values = keyed.select("group_id", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in used
-    ])).alias("v")).select("group_id", "v.*").where(F.col("value").isNotNull())
-    met = values.join(F.broadcast(table), ["group_id", "feature"]).where(F.col("value") <= F.col("high"))
-    return met.select("bracket_id", "low", "high", "value"), brackets
-
-
-def _order(df: DataFrame, by: list[str], lookup: DataFrame, ranks: set[_Rank]) -> dict:
-    met, brackets = _in_brackets(df, by, lookup, ranks)
-    # Equal values collapse before the shuffle; all values below a bracket are one NULL row.
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counted = met.groupBy("bracket_id", inside.alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("bracket_id").orderBy(F.col("value").asc_nulls_first()))
-    running = counted.withColumns({"upto": upto})
-    wanted = small_frame(df.sparkSession, [(brackets[r.bracket], r.rank) for r in ranks], "bracket_id int, rank bigint")
-    hits = (
-        running.join(F.broadcast(wanted), "bracket_id")
-        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-        .where(F.col("value").isNotNull())
-        .select("bracket_id", "rank", "value")
-    )
-    values = {(row.bracket_id, row.rank): row.value for row in collect_bounded(hits)}
-    return {(r.group_id, r.feature, r.rank): values[brackets[r.bracket], r.rank]
-            for r in ranks if (brackets[r.bracket], r.rank) in values}
-
-
-def _narrow(df: DataFrame, by: list[str], lookup: DataFrame, ranks: set[_Rank], accuracy: int) -> set[_Rank]:
-    met, brackets = _in_brackets(df, by, lookup, ranks)
-    strictly = F.when((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")), F.col("value"))
-    grid = F.lit([i / _GRID for i in range(_GRID + 1)])
-    stats = {row.bracket_id: row for row in collect_bounded(met.groupBy("bracket_id").agg(
-        F.count_if(F.col("value") < F.col("low")).alias("below"),
-        F.count_if(F.col("value") <= F.col("low")).alias("upto_low"),
-        F.count(strictly).alias("n"),
-        F.approx_percentile(strictly, grid, F.lit(accuracy)).alias("q"),
-    ))}
-    share = 2.0 / _GRID + 8.0 / accuracy
-    result = set()
-    for r in ranks:
-        s = stats.get(brackets[r.bracket])
-        if s is None or r.rank < s.below:  # the sketch missed: start over, fully open
-            result.add(replace(r, low=float("-inf"), high=float("inf"), inside=float("inf")))
-        elif r.rank < s.upto_low:
-            result.add(replace(r, high=r.low))
-        elif r.rank >= s.upto_low + s.n:
-            result.add(replace(r, low=r.high))
-        else:
-            at = (r.rank - s.upto_low) / s.n
-            first = max(0, int((at - 3.0 / accuracy) * _GRID))
-            last = min(_GRID, int((at + 3.0 / accuracy) * _GRID) + 2)
-            result.add(replace(r, low=s.q[first], high=s.q[last], inside=s.n * share + 2))
-    return result
+    cells = _cells(keyed, sorted({b.feature for b in brackets}), ["group_id"])
+    low, high, value = F.col("from_value"), F.col("to_value"), F.col("value")
+    met = cells.join(F.broadcast(table), ["group_id", "feature"]).where(value.between(low, high))
+    if ordered:
+        counted = met.groupBy("id", "value").agg(F.count(F.lit(1)).alias("inside")) \
+            .withColumn("upto", F.sum("inside").over(Window.partitionBy("id").orderBy("value"))) \
+            .select("id", "inside", "upto", value.alias("low"), value.alias("high"))
+    else:
+        share = (value / 2 - low / 2) / (high / 2 - low / 2)  # halves: the difference of two doubles may overflow
+        counted = _count_bins(met, ["id"], F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    wanted = small_frame(spark, [(i, k, k - b.below) for i, b in enumerate(brackets) for k in ranks[b]],
+                         "id int, rank bigint, inner_rank bigint")
+    hits = counted.join(F.broadcast(wanted), "id").where(
+        (F.col("upto") > F.col("inner_rank")) & (F.col("upto") - F.col("inside") <= F.col("inner_rank")))
+    return [(brackets[r.id], r.rank, r) for r in collect_bounded(hits.select("id", "rank", "low", "high", "upto", "inside"))]
