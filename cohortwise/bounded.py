@@ -64,15 +64,22 @@ def attach(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
     return df.join(stats, on, "left")
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` where set."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` where set.
+
+    Only a local session without that setting gets a temporary folder, one per application.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.conf.get("spark.master", "local").startswith("local"):
-        chosen = tempfile.mkdtemp(prefix="cohortwise-")
-        spark.conf.set("spark.checkpoint.dir", chosen)
-        return chosen
+        application = spark.sparkContext.applicationId
+        if application not in _local_scratch:
+            _local_scratch[application] = tempfile.mkdtemp(prefix="cohortwise-")
+        return _local_scratch[application]
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortwise.bounded import collect_bounded, small_frame
 from cohortwise.operators.stats import pair_sums, profile

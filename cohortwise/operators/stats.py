@@ -112,7 +112,7 @@ def pair_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str],
     schema = T.StructType(
         [df.schema[b] for b in by] + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
         + [T.StructField(s, T.DoubleType()) for s in _SUMS])
-    partial = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(fold, schema)
+    partial = df.where(F.col(by[0]).isNotNull()).select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(fold, schema)
     names = F.array(*[F.lit(c) for c in columns])
     return (
         partial.groupBy(*by, "i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])

@@ -195,3 +195,26 @@ def test_box_plot_and_histogram(spark):
     assert (box.whisker_low, box.whisker_high, box.n_outliers) == (1.0, 9.0, 1)
     counts = {r.bin: r.n for r in stats.histogram(df, "x", "cohort", 10).collect()}
     assert counts == {0: 9, 9: 1}
+
+
+def test_scratch_folder_follows_the_session(spark):
+    from types import SimpleNamespace
+
+    from cohortwise.bounded import scratch_dir
+
+    def session(settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)),
+                               sparkContext=SimpleNamespace(applicationId="app-1"))
+
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(session({"spark.checkpoint.dir": "s3://shared/x", "spark.master": "yarn"})) == "s3://shared/x"
+    local = session({"spark.master": "local[2]"})
+    assert scratch_dir(local) == scratch_dir(local)
+    with pytest.raises(ValueError):
+        scratch_dir(session({"spark.master": "yarn"}))
+
+
+def test_rows_without_a_cohort_do_not_enter_correlations(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 3.5), ("a", 3.0, 7.0), (None, 9.0, -9.0)], "cohort string, x double, y double")
+    rows = stats.correlation_pairs(df, ["x", "y"], "cohort").collect()
+    assert [(r.cohort, r.n) for r in rows] == [("a", 3)]
