@@ -73,6 +73,23 @@ def centers_and_scales(stats: DataFrame, cohort: str) -> dict[str, dict[str, tup
     return table
 
 
+def _complete_sums(z: np.ndarray) -> list[np.ndarray]:
+    """Sums for all pairs of a batch without missing values: one matrix product."""
+    k = z.shape[1]
+    spread = lambda v: np.repeat(v[:, None], k, axis=1)
+    total, square = spread(z.sum(0)), spread((z * z).sum(0))
+    return [np.full((k, k), float(len(z))), total, total.T, square, square.T, z.T @ z]
+
+
+def _pairwise_sums(z: np.ndarray) -> list[np.ndarray]:
+    """The same over the rows where both columns of a pair are present."""
+    present = ~np.isnan(z)
+    z = np.where(present, z, 0.0)
+    m = present.astype("float64")
+    square = z * z
+    return [m.T @ m, z.T @ m, m.T @ z, square.T @ m, m.T @ square, z.T @ z]
+
+
 def pair_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str],
               shifts: dict[str, dict[str, tuple[float, float]]]) -> DataFrame:
     """Additive sums for every pair of columns over the rows where both are present.
@@ -96,11 +113,7 @@ def pair_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str],
                 key = key if isinstance(key, tuple) else (key,)
                 shift, scale = affine[key[0]]
                 z = (matrix[index] - shift) / scale
-                present = ~np.isnan(z)
-                z = np.where(present, z, 0.0)
-                m = present.astype("float64")
-                square = z * z
-                sums = [m.T @ m, z.T @ m, m.T @ z, square.T @ m, m.T @ square, z.T @ z]
+                sums = _complete_sums(z) if not np.isnan(z).any() else _pairwise_sums(z)
                 held = state.get(key)
                 state[key] = sums if held is None else [h + s for h, s in zip(held, sums)]
         for key, sums in state.items():

@@ -218,3 +218,9 @@ def test_rows_without_a_cohort_do_not_enter_correlations(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 3.5), ("a", 3.0, 7.0), (None, 9.0, -9.0)], "cohort string, x double, y double")
     rows = stats.correlation_pairs(df, ["x", "y"], "cohort").collect()
     assert [(r.cohort, r.n) for r in rows] == [("a", 3)]
+
+
+def test_pair_sums_agree_with_and_without_missing_values():
+    z = np.random.default_rng(1).normal(size=(50, 4))
+    for a, b in zip(stats._complete_sums(z), stats._pairwise_sums(z)):
+        assert np.allclose(a, b)
