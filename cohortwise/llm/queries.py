@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import exact_dedup, license_scan, secret_scan
+from cohortwise.llm import decontaminate, exact_dedup, license_scan, mixing, secret_scan
 from cohortwise.llm.common import table
 
 
@@ -12,15 +12,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("content")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_exact_dedup, op8_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op4_exact_dedup, op6_source_mixing, op8_license_scan)}
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s, length(coalesce(text, '')) AS n FROM documents),
@@ -28,4 +36,27 @@ g AS (SELECT s, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_size
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.s AS text_sha256 FROM d JOIN g USING (s)
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, coalesce('v' || source, 'n') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'none')), 1, 8))::BIGINT AS deal FROM documents),
+s AS (SELECT key, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM t GROUP BY key),
+p AS (SELECT ln(tokens / (SELECT sum(tokens) FROM s)::DOUBLE) AS lp FROM s WHERE tokens > 0),
+b(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT step + 1, CASE WHEN wide THEN mid ELSE low END, CASE WHEN wide THEN high ELSE mid END FROM (
+    SELECT step, low, high, (low + high) / 2 AS mid,
+           exp((1 - (low + high) / 2) * ((SELECT max(lp) FROM p) - (SELECT min(lp) FROM p))) > 3.0 AS wide FROM b WHERE step < 45)),
+a AS (SELECT CASE WHEN exp((SELECT max(lp) - min(lp) FROM p)) > 3.0 THEN round(high, 9) ELSE 0.0 END AS a FROM b WHERE step = 45),
+z AS (SELECT sum(pow(tokens / (SELECT sum(tokens) FROM s)::DOUBLE, a)) AS z, max(tokens / pow(tokens / (SELECT sum(tokens) FROM s)::DOUBLE, a)) AS m FROM s, a WHERE tokens > 0),
+w AS (SELECT key, tokens, docs, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM s)::DOUBLE, a) / z ELSE 0.0 END AS weight,
+             CASE WHEN tokens > 0 THEN round(pow(tokens / (SELECT sum(tokens) FROM s)::DOUBLE, a) / z * (z * m) / tokens, 9) ELSE 1.0 END AS epochs FROM s, a, z),
+d AS (SELECT t.*, w.tokens, w.weight, w.epochs, deal % ceil(docs / 8.0)::BIGINT AS block FROM t JOIN w USING (key)),
+k AS (SELECT key, block, sum(n_tokens) AS n, any_value(tokens) AS tokens, any_value(epochs) AS epochs,
+             ('0x' || substr(md5(key || '|' || block || '|' || (floor(any_value(epochs))::BIGINT + 1)), 1, 8))::BIGINT AS place FROM d GROUP BY key, block),
+c AS (SELECT key, block, floor(epochs)::BIGINT + (sum(n) OVER (PARTITION BY key ORDER BY place, block ROWS UNBOUNDED PRECEDING)
+             <= round((epochs - floor(epochs)) * tokens))::BIGINT AS copies FROM k)
+SELECT d.doc_id, d.source, d.n_tokens, d.block, round(d.weight, 9) AS weight, round(d.epochs, 6) AS epochs, c.copies FROM d JOIN c USING (key, block)
+"""
+
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op6_source_mixing": OP6_SQL}
