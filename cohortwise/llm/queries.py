@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import decontaminate, exact_dedup, license_scan, mixing, secret_scan
+from cohortwise.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, secret_scan
 from cohortwise.llm.common import table
 
 
@@ -24,11 +24,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op4_exact_dedup, op6_source_mixing, op8_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op4_exact_dedup, op6_source_mixing, op7_near_dedup, op8_license_scan)}
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s, length(coalesce(text, '')) AS n FROM documents),
