@@ -96,7 +96,7 @@ def _unpacked(stored: bytes) -> np.ndarray:
 
 
 NARROW = "doc_id bigint, n bigint, set_key binary, bands array<bigint>"
-FULL = "rep bigint, sig binary, bands array<bigint>, items binary"
+FULL = "rep bigint, sig binary, items binary"
 
 
 def _bands(sig: np.ndarray, rows: int) -> list[int]:
@@ -119,9 +119,9 @@ def _signer(size: int, rows: int):
     return sign
 
 
-def _detailer(size: int, rows: int):
+def _detailer(size: int):
     """(rep, set_key of its class, text) to ``FULL`` rows; other texts under the same id are passed over."""
-    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("items", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("items", pa.binary())])
 
     def detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -131,8 +131,7 @@ def _detailer(size: int, rows: int):
                 found = shingles(text.as_py(), size, hashes)
                 items = _packed(found)
                 if len(found) and xxhash.xxh128_digest(items) == key:
-                    sig = signature(found)
-                    out.append({"rep": rep, "sig": sig.tobytes(), "bands": _bands(sig, rows), "items": items})
+                    out.append({"rep": rep, "sig": signature(found).tobytes(), "items": items})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
     return detail
 
@@ -155,55 +154,90 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, HASHES)
 
 
+def _star_estimates(percent: int):
+    """Members whose signature is close enough to that of their hub."""
+    def check(hub: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(hub) or not len(others):
+            return pd.DataFrame({"hub": [], "rep": []}, dtype="int64")
+        near = others["rep"][_promising(_sigs(hub["sig"])[0], _sigs(others["sig"]), percent)]
+        return pd.DataFrame({"hub": int(hub["hub"].iloc[0]), "rep": near}, dtype="int64")
+    return check
+
+
 def _star(percent: int):
     def check(hub: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(hub) or not len(others):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        centre, near = _unpacked(hub["items"].iloc[0]), _promising(_sigs(hub["sig"])[0], _sigs(others["sig"]), percent)
-        linked = [int(rep) for rep, items, ok in zip(others["rep"], others["items"], near) if ok and _similar(centre, _unpacked(items), percent)]
+        centre = _unpacked(hub["items"].iloc[0])
+        linked = [int(rep) for rep, items in zip(others["rep"], others["items"]) if _similar(centre, _unpacked(items), percent)]
         return pd.DataFrame({"u": [int(hub["rep"].iloc[0])] * len(linked), "v": linked}, dtype="int64")
     return check
 
 
+def _open_pairs(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query its open block members: other component, no earlier band in common, promising signature."""
+    rows, sigs, comps = rows_per_band(percent / 100), _sigs(block["sig"]), block["component"].to_numpy()
+    earlier, t = int(block["band"].iloc[0]), percent / 100
+    least = t - SLACK * np.sqrt(t * (1 - t) / HASHES)
+    for k, (comp, sig) in enumerate(zip(queries["component"], _sigs(queries["sig"]))):
+        equal = sigs == sig
+        met = equal[:, :earlier * rows].reshape(len(sigs), earlier, rows).all(axis=2).any(axis=1)
+        yield k, np.flatnonzero((comps != comp) & ~met & (equal.mean(axis=1) >= least))
+
+
+def _rest_estimates(percent: int):
+    """Queries and members of a block that stand in a promising pair; one row each."""
+    def check(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        keys = ["band", "bucket", "block", "part", "component", "rep"]
+        if not len(queries) or not len(block):
+            return pd.DataFrame([], columns=[*keys, "asks"])
+        asking, asked = set(), set()
+        for k, found in _open_pairs(queries, block, percent):
+            if len(found):
+                asking.add(k)
+                asked.update(found.tolist())
+        return pd.concat([queries.iloc[sorted(asking)][keys].assign(asks=True), block.iloc[sorted(asked)][keys].assign(asks=False)])
+    return check
+
+
 def _rest(percent: int):
     def check(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         links: list[tuple[int, int]] = []
-        if not len(queries) or not len(block):
-            return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
-        sigs, bands = _sigs(block["sig"]), np.stack(block["bands"].to_numpy())
-        comps, reps, items = block["component"].to_numpy(), block["rep"].to_numpy(), [_unpacked(x) for x in block["items"]]
-        earlier = int(block["band"].iloc[0])
-        for rep, comp, sig, own, stored in zip(queries["rep"], queries["component"], _sigs(queries["sig"]), queries["bands"], queries["items"]):
-            open_ = (comps != comp) & ~(bands[:, :earlier] == np.asarray(own)[:earlier]).any(axis=1)
-            if not open_.any():
-                continue
-            mine = _unpacked(stored)
-            for k in np.flatnonzero(open_ & _promising(sig, sigs, percent)):
-                if _similar(mine, items[k], percent):
-                    links.append((int(rep), int(reps[k])))
+        if len(queries) and len(block):
+            reps, items = block["rep"].to_numpy(), [_unpacked(x) for x in block["items"]]
+            for k, found in _open_pairs(queries, block, percent):
+                mine = _unpacked(queries["items"].iloc[k])
+                links += [(int(queries["rep"].iloc[k]), int(reps[m])) for m in found if _similar(mine, items[m], percent)]
         return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
     return check
 
 
+def _starred(pairs: DataFrame, details: DataFrame):
+    """Cogroups of a hub with its members, the members of a large hub dealt to groups of about ``BLOCK``."""
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub"))
+    salts = F.ceil(F.col("of_hub") / BLOCK).cast("int")
+    columns = ["hub", "salt", *details.columns]
+    others = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(details, "rep").select(*columns)
+    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(details, F.col("hub") == F.col("rep")).select(*columns)
+    return centres.toDF(*columns).groupBy("hub", "salt").cogroup(others.toDF(*columns).groupBy("hub", "salt"))
+
+
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (u, v) between class representatives; ``reps`` has rep, set_key and bands."""
-    by_bucket, rows = ["band", "bucket"], rows_per_band(percent / 100)
+    by_bucket = ["band", "bucket"]
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     hubs = buckets.groupBy(*by_bucket).agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     full = written(buckets.join(hubs, by_bucket), "buckets")
     # Signatures and sets of those that share a bucket with another; the rest of the texts is not read again.
     needed = written(reps.join(full.select("rep").distinct(), "rep").select("rep", "set_key"), "needed")
-    sets = written(docs.join(needed, docs["doc_id"] == needed["rep"]).select("rep", "set_key", "text").mapInArrow(_detailer(size, rows), FULL), "sets")
+    sets = written(docs.join(needed, docs["doc_id"] == needed["rep"]).select("rep", "set_key", "text").mapInArrow(_detailer(size), FULL), "sets")
     if sets.count() > needed.count():
         sets = written(sets.dropDuplicates(["rep"]), "sets")
 
-    pairs = full.where("rep <> hub").select("hub", "rep").distinct()
-    sizes = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub")), "hubs")
-    salts = F.ceil(F.col("of_hub") / BLOCK).cast("int")
-    others = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(sets, "rep").select("hub", "salt", "rep", "items", "sig")
-    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(sets, F.col("hub") == F.col("rep")).select("hub", "salt", "rep", "items", "sig")
-    star = centres.toDF(*centres.columns).groupBy("hub", "salt").cogroup(others.toDF(*others.columns).groupBy("hub", "salt"))
-    first = written(star.applyInPandas(_star(percent), "u bigint, v bigint"), "star-links")
+    # Stars: estimates on signatures first, sets only for the promising pairs.
+    pairs = written(_starred(full.where("rep <> hub").select("hub", "rep").distinct(), sets.select("rep", "sig"))
+                    .applyInPandas(_star_estimates(percent), "hub bigint, rep bigint"), "star-estimates")
+    first = written(_starred(pairs, sets.select("rep", "items")).applyInPandas(_star(percent), "u bigint, v bigint"), "star-links")
 
     # What the stars leave open: buckets whose members lie in more than one component.
     found = written(components(first), "components").withColumnRenamed("node", "rep")
@@ -215,10 +249,14 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     # Members and queries are dealt to blocks and parts: a group has about BLOCK of each at most.
     keys, dealt = [*by_bucket, "block", "part"], F.sequence(F.lit(0), F.col("blocks") - 1)
     chosen = lambda seed: F.pmod(F.xxhash64(F.col("rep"), F.lit(seed)), F.col("blocks")).cast("int")
-    block = open_.select("rep", *by_bucket, "component", chosen(1).alias("block"), F.explode(dealt).alias("part")).join(sets, "rep")
-    asking = open_.where("component <> main").select("rep", *by_bucket, "component", F.explode(dealt).alias("block"), chosen(2).alias("part")).join(sets, "rep")
-    rest = asking.toDF(*asking.columns).groupBy(*keys).cogroup(block.toDF(*block.columns).groupBy(*keys))
-    return first.unionAll(written(rest.applyInPandas(_rest(percent), "u bigint, v bigint"), "rest-links"))
+    sigs = sets.select("rep", "sig")
+    block = open_.select("rep", *by_bucket, "component", chosen(1).alias("block"), F.explode(dealt).alias("part")).join(sigs, "rep")
+    asking = open_.where("component <> main").select("rep", *by_bucket, "component", F.explode(dealt).alias("block"), chosen(2).alias("part")).join(sigs, "rep")
+    together = lambda a, b: a.toDF(*a.columns).groupBy(*keys).cogroup(b.toDF(*b.columns).groupBy(*keys))
+    left = written(together(asking, block).applyInPandas(
+        _rest_estimates(percent), "band int, bucket bigint, block int, part int, component bigint, rep bigint, asks boolean"), "rest-estimates")
+    detailed = lambda asks: left.where("asks" if asks else "not asks").drop("asks").join(sets.select("rep", "sig", "items"), "rep")
+    return first.unionAll(written(together(detailed(True), detailed(False)).applyInPandas(_rest(percent), "u bigint, v bigint"), "rest-links"))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
