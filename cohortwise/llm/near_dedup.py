@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import written
+from cohortwise.llm.common import partitions_for, written
 from cohortwise.llm.components import components
 
 HASHES = 100
@@ -45,6 +45,9 @@ MULTIPLIERS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) +
 OFFSETS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 #: Words whose hashes a task remembers.
 CACHE = 400_000
+#: Rows of small groups that travel together.
+PACK = 2048
+BLOCK_KEYS = ["band", "bucket", "block", "part"]
 #: Bytes of a stored shingle hash.
 WIDTH = 6
 
@@ -154,72 +157,87 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, HASHES)
 
 
+Side = dict[str, np.ndarray]
+
+
 def _star_estimates(percent: int):
     """Members whose signature is close enough to that of their hub."""
-    def check(hub: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(hub) or not len(others):
-            return pd.DataFrame({"hub": [], "rep": []}, dtype="int64")
-        near = others["rep"][_promising(_sigs(hub["sig"])[0], _sigs(others["sig"]), percent)]
-        return pd.DataFrame({"hub": int(hub["hub"].iloc[0]), "rep": near}, dtype="int64")
+    def check(hub: Side, others: Side) -> list[tuple]:
+        near = _promising(_sigs(hub["sig"])[0], _sigs(others["sig"]), percent)
+        return [(int(hub["hub"][0]), int(rep)) for rep in others["rep"][near]]
     return check
 
 
 def _star(percent: int):
-    def check(hub: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(hub) or not len(others):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        centre = _unpacked(hub["items"].iloc[0])
-        linked = [int(rep) for rep, items in zip(others["rep"], others["items"]) if _similar(centre, _unpacked(items), percent)]
-        return pd.DataFrame({"u": [int(hub["rep"].iloc[0])] * len(linked), "v": linked}, dtype="int64")
+    def check(hub: Side, others: Side) -> list[tuple]:
+        centre = _unpacked(hub["items"][0])
+        return [(int(hub["hub"][0]), int(rep)) for rep, items in zip(others["rep"], others["items"]) if _similar(centre, _unpacked(items), percent)]
     return check
 
 
-def _open_pairs(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _open_pairs(queries: Side, block: Side, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each query its open block members: other component, no earlier band in common, promising signature."""
-    rows, sigs, comps = rows_per_band(percent / 100), _sigs(block["sig"]), block["component"].to_numpy()
-    earlier, t = int(block["band"].iloc[0]), percent / 100
+    rows, sigs, comps = rows_per_band(percent / 100), _sigs(block["sig"]), block["component"]
+    earlier, t = int(block["band"][0]), percent / 100
     least = t - SLACK * np.sqrt(t * (1 - t) / HASHES)
     for k, (comp, sig) in enumerate(zip(queries["component"], _sigs(queries["sig"]))):
         equal = sigs == sig
-        met = equal[:, :earlier * rows].reshape(len(sigs), earlier, rows).all(axis=2).any(axis=1)
-        yield k, np.flatnonzero((comps != comp) & ~met & (equal.mean(axis=1) >= least))
+        open_ = (comps != comp) & (equal.mean(axis=1) >= least)
+        if open_.any():
+            met = equal[:, :earlier * rows].reshape(len(sigs), earlier, rows).all(axis=2).any(axis=1)
+            yield k, np.flatnonzero(open_ & ~met)
 
 
 def _rest_estimates(percent: int):
     """Queries and members of a block that stand in a promising pair; one row each."""
-    def check(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        keys = ["band", "bucket", "block", "part", "component", "rep"]
-        if not len(queries) or not len(block):
-            return pd.DataFrame([], columns=[*keys, "asks"])
-        asking, asked = set(), set()
+    def check(queries: Side, block: Side) -> list[tuple]:
+        asking, asked = [], set()
         for k, found in _open_pairs(queries, block, percent):
             if len(found):
-                asking.add(k)
+                asking.append(k)
                 asked.update(found.tolist())
-        return pd.concat([queries.iloc[sorted(asking)][keys].assign(asks=True), block.iloc[sorted(asked)][keys].assign(asks=False)])
+        row = lambda side, k, asks: (*(int(side[c][k]) for c in (*BLOCK_KEYS, "component", "rep")), asks)
+        return [row(queries, k, True) for k in asking] + [row(block, k, False) for k in sorted(asked)]
     return check
 
 
 def _rest(percent: int):
-    def check(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        links: list[tuple[int, int]] = []
-        if len(queries) and len(block):
-            reps, items = block["rep"].to_numpy(), [_unpacked(x) for x in block["items"]]
-            for k, found in _open_pairs(queries, block, percent):
-                mine = _unpacked(queries["items"].iloc[k])
-                links += [(int(queries["rep"].iloc[k]), int(reps[m])) for m in found if _similar(mine, items[m], percent)]
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+    def check(queries: Side, block: Side) -> list[tuple]:
+        links, items = [], [_unpacked(x) for x in block["items"]]
+        for k, found in _open_pairs(queries, block, percent):
+            mine = _unpacked(queries["items"][k])
+            links += [(int(queries["rep"][k]), int(block["rep"][m])) for m in found if _similar(mine, items[m], percent)]
+        return links
     return check
 
 
-def _starred(pairs: DataFrame, details: DataFrame):
-    """Cogroups of a hub with its members, the members of a large hub dealt to groups of about ``BLOCK``."""
+def _together(left: DataFrame, right: DataFrame, keys: list[str], check, schema: str, packs: int) -> DataFrame:
+    """Apply ``check`` to the rows of both sides with equal keys. Small groups travel in packs: one group of the cogroup each."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    pack = F.pmod(F.xxhash64(*keys), F.lit(packs))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            sides = [({c: part[c].to_numpy() for c in part.columns}, part.groupby(keys).indices) for part in (a, b)]
+            (one, at), (two, other) = sides
+            for key, rows in at.items():
+                if key in other:
+                    out += check({c: v[rows] for c, v in one.items()}, {c: v[other[key]] for c, v in two.items()})
+        return pd.DataFrame(out, columns=names)
+
+    dealt = [side.toDF(*side.columns).withColumn("pack", pack).groupBy("pack") for side in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(run, schema)
+
+
+def _starred(pairs: DataFrame, details: DataFrame, check, schema: str) -> DataFrame:
+    """``check`` of every hub with its members, the members of a large hub dealt to groups of about ``BLOCK``."""
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub"))
     salts = F.ceil(F.col("of_hub") / BLOCK).cast("int")
     columns = ["hub", "salt", *details.columns]
     others = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(details, "rep").select(*columns)
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(details, F.col("hub") == F.col("rep")).select(*columns)
-    return centres.toDF(*columns).groupBy("hub", "salt").cogroup(others.toDF(*columns).groupBy("hub", "salt"))
+    return _together(centres, others, ["hub", "salt"], check, schema, partitions_for(pairs.count(), PACK))
 
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -230,33 +248,34 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     full = written(buckets.join(hubs, by_bucket), "buckets")
     # Signatures and sets of those that share a bucket with another; the rest of the texts is not read again.
     needed = written(reps.join(full.select("rep").distinct(), "rep").select("rep", "set_key"), "needed")
-    sets = written(docs.join(needed, docs["doc_id"] == needed["rep"]).select("rep", "set_key", "text").mapInArrow(_detailer(size), FULL), "sets")
+    sets = written(docs.join(needed.hint("merge"), docs["doc_id"] == needed["rep"]).select("rep", "set_key", "text").mapInArrow(_detailer(size), FULL), "sets")
     if sets.count() > needed.count():
         sets = written(sets.dropDuplicates(["rep"]), "sets")
 
     # Stars: estimates on signatures first, sets only for the promising pairs.
-    pairs = written(_starred(full.where("rep <> hub").select("hub", "rep").distinct(), sets.select("rep", "sig"))
-                    .applyInPandas(_star_estimates(percent), "hub bigint, rep bigint"), "star-estimates")
-    first = written(_starred(pairs, sets.select("rep", "items")).applyInPandas(_star(percent), "u bigint, v bigint"), "star-links")
+    met = written(full.where("rep <> hub").select("hub", "rep").distinct(), "stars")
+    pairs = written(_starred(met, sets.select("rep", "sig"), _star_estimates(percent), "hub bigint, rep bigint"), "star-estimates")
+    first = written(_starred(pairs, sets.select("rep", "items"), _star(percent), "u bigint, v bigint"), "star-links")
 
     # What the stars leave open: buckets whose members lie in more than one component.
     found = written(components(first), "components").withColumnRenamed("node", "rep")
     member = full.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = member.groupBy(*by_bucket, "component").agg(F.count(F.lit(1)).alias("n"))
     commonest = (counts.groupBy(*by_bucket).agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", (-F.col("component")).alias("back"))).alias("top"))
-                 .where("kinds > 1").select(*by_bucket, (-F.col("top.back")).alias("main")))
-    open_ = written(member.join(commonest, by_bucket).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "open-buckets")
-    # Members and queries are dealt to blocks and parts: a group has about BLOCK of each at most.
-    keys, dealt = [*by_bucket, "block", "part"], F.sequence(F.lit(0), F.col("blocks") - 1)
-    chosen = lambda seed: F.pmod(F.xxhash64(F.col("rep"), F.lit(seed)), F.col("blocks")).cast("int")
-    sigs = sets.select("rep", "sig")
-    block = open_.select("rep", *by_bucket, "component", chosen(1).alias("block"), F.explode(dealt).alias("part")).join(sigs, "rep")
-    asking = open_.where("component <> main").select("rep", *by_bucket, "component", F.explode(dealt).alias("block"), chosen(2).alias("part")).join(sigs, "rep")
-    together = lambda a, b: a.toDF(*a.columns).groupBy(*keys).cogroup(b.toDF(*b.columns).groupBy(*keys))
-    left = written(together(asking, block).applyInPandas(
-        _rest_estimates(percent), "band int, bucket bigint, block int, part int, component bigint, rep bigint, asks boolean"), "rest-estimates")
+                 .where("kinds > 1").select(*by_bucket, (-F.col("top.back")).alias("main"), F.col("top.n").alias("in_main")))
+    # Members are dealt to blocks, queries to parts: a group has about BLOCK of each at most.
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = written(member.join(commonest, by_bucket).withColumn("blocks", in_blocks(F.col("members")))
+                    .withColumn("parts", in_blocks(F.col("members") - F.col("in_main"))), "open-buckets")
+    chosen = lambda seed, of: F.pmod(F.xxhash64(F.col("rep"), F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    sigs, packs = sets.select("rep", "sig"), partitions_for(open_.count(), PACK)
+    block = open_.select("rep", *by_bucket, "component", chosen(1, "blocks").alias("block"), every("parts").alias("part")).join(sigs, "rep")
+    asking = open_.where("component <> main").select("rep", *by_bucket, "component", every("blocks").alias("block"), chosen(2, "parts").alias("part")).join(sigs, "rep")
+    left = written(_together(asking, block, BLOCK_KEYS, _rest_estimates(percent),
+                             "band int, bucket bigint, block int, part int, component bigint, rep bigint, asks boolean", packs), "rest-estimates")
     detailed = lambda asks: left.where("asks" if asks else "not asks").drop("asks").join(sets.select("rep", "sig", "items"), "rep")
-    return first.unionAll(written(together(detailed(True), detailed(False)).applyInPandas(_rest(percent), "u bigint, v bigint"), "rest-links"))
+    return first.unionAll(written(_together(detailed(True), detailed(False), BLOCK_KEYS, _rest(percent), "u bigint, v bigint", packs), "rest-links"))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
