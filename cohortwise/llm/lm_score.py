@@ -35,7 +35,8 @@ from cohortwise.llm.common import mounted_folder
 
 #: Tokens of training text behind one shard, and tokens a task holds at a time.
 SHARD_TOKENS = 4_000_000
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
+SCORE_TOKENS = 600_000
 SMALL = 255
 #: Partial sums that one task adds up.
 FAN_IN = 64
@@ -63,7 +64,7 @@ class _Numbers(dict):
         return place
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, most: int = CHUNK_TOKENS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(batch, first row, words per row, hashes of the chunk's distinct words, place of every word)."""
     for b, batch in enumerate(batches):
         first, sizes, places, numbers, held = 0, [], [], _Numbers(), 0
@@ -72,7 +73,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
             places.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
             sizes.append(len(words))
             held += len(words)
-            if held >= CHUNK_TOKENS or row + 1 == batch.num_rows:
+            if held >= most or row + 1 == batch.num_rows:
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers))
                 yield b, first, np.array(sizes), hashes, np.concatenate(places)
                 first, sizes, places, numbers, held = row + 1, [], [], _Numbers(), 0
@@ -340,7 +341,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         mapped = Model(**model)
         for batch in batches:
             ids = batch.column(0)
-            for _, first, sizes, hashes, places in _chunks(iter([batch]), 1):
+            for _, first, sizes, hashes, places in _chunks(iter([batch]), 1, SCORE_TOKENS):
                 n, known, base, own = mapped.score(sizes, hashes, places)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, len(sizes)), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
