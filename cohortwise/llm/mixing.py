@@ -4,7 +4,7 @@ Token shares p of the sources are raised to an exponent a and normalised, q ~ p^
 bisection, sixteen sections at a time, so that the entropy of q meets a target or no source is repeated more
 than a limit. A source's budget is its weight times the total budget. It is realised in whole passes and one partial
 pass: documents are hashed into small blocks, every pass permutes the blocks of a source by digest, and the
-partial pass takes blocks in that order as long as they fit the rest of the budget. Running sums over blocks are
+partial pass takes blocks in that order as long as at least half of the next one fits the rest of the budget. Running sums over blocks are
 made in two levels, so a source of any share is never ordered in one task.
 
 Without a budget, the smallest total is chosen that shows every document at least once.
@@ -106,7 +106,7 @@ def block_copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
     reached = F.col("earlier") + F.sum("block_tokens").over(inside)
     rest = F.round((F.col("epochs") - F.col("full")) * F.col("tokens"))
     return (blocks.join(upper, ["key", "part"])
-            .withColumn("partial", reached <= rest)
+            .withColumn("partial", reached - F.col("block_tokens") / 2 <= rest)
             .select("key", "block", "weight", "epochs", (F.col("full") + F.col("partial").cast("bigint")).alias("copies")))
 
 

@@ -74,7 +74,7 @@ w AS (SELECT key, tokens, docs, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT s
 d AS (SELECT t.*, w.tokens, w.weight, w.epochs, deal % ceil(docs / 8.0)::BIGINT AS block FROM t JOIN w USING (key)),
 k AS (SELECT key, block, sum(n_tokens) AS n, any_value(tokens) AS tokens, any_value(epochs) AS epochs,
              ('0x' || substr(md5(key || '|' || block || '|' || (floor(any_value(epochs))::BIGINT + 1)), 1, 8))::BIGINT AS place FROM d GROUP BY key, block),
-c AS (SELECT key, block, floor(epochs)::BIGINT + (sum(n) OVER (PARTITION BY key ORDER BY place, block ROWS UNBOUNDED PRECEDING)
+c AS (SELECT key, block, floor(epochs)::BIGINT + (sum(n) OVER (PARTITION BY key ORDER BY place, block ROWS UNBOUNDED PRECEDING) - n / 2.0
              <= round((epochs - floor(epochs)) * tokens))::BIGINT AS copies FROM k)
 SELECT d.doc_id, d.source, d.n_tokens, d.block, round(d.weight, 9) AS weight, round(d.epochs, 6) AS epochs, c.copies FROM d JOIN c USING (key, block)
 """
