@@ -39,9 +39,13 @@ def equal_width_code(value: Column, low: Column, high: Column, bins: int) -> Col
 
 
 def histogram_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Left-closed equal-width bin number; the last bin also holds the maximum."""
+    """Left-closed equal-width bin number; the last bin also holds the maximum.
+
+    Without a width all values fall in the middle bin; a missing value has no bin.
+    """
     position = F.floor(ratio((value - low) * F.lit(float(bins)), high - low))
-    return F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(bins // 2)).cast("int")
+    place = F.when(low == high, F.lit(bins // 2)).otherwise(F.least(position, F.lit(bins - 1)))
+    return F.when(value.isNotNull(), place).cast("int")
 
 
 def min_max(value: Column, low: Column, high: Column) -> Column:

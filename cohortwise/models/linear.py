@@ -195,7 +195,7 @@ def fit_all(sums: dict[str, CohortSums], features: dict[str, Sequence[str]], tar
         table = sums[cohort]
         for spec in specs.get(cohort, ()) if isinstance(specs, dict) else specs:
             used = tuple(spec.features or features[cohort])
-            for out in [FINAL, *(sorted(table.by_fold) if folds else [])]:
+            for out in [FINAL, *(sorted(k for k in table.by_fold if k is not None) if folds else [])]:
                 if table.without(out) is not None:
                     fits.append(LinearFit(cohort, spec, out, used, *solve(table, out, spec, used, target)))
     return fits
@@ -226,7 +226,7 @@ def score(df: DataFrame, target: str, fits: Sequence[LinearFit], cohort: str) ->
         for batch in batches:
             matrix = batch[names].to_numpy(dtype="float64", na_value=np.nan)
             y = batch["__y"].to_numpy(dtype="float64")
-            for (c, split, part), index in batch.groupby(["__c", "split", "fold"], sort=False).indices.items():
+            for (c, split, part), index in batch.groupby(["__c", "split", "fold"], sort=False, dropna=False).indices.items():
                 groups = [(c, FINAL)] + ([(c, part)] if split == "train" else [])
                 for group in groups:
                     if group not in plan:
@@ -269,7 +269,7 @@ def metrics_from_sums() -> list[Column]:
     ]
 
 
-def prediction_sql(fit: LinearFit) -> str:
-    """The fitted formula as SQL text."""
-    terms = [f"({float(w)!r}D) * `{f}`" for f, w in zip(fit.features, fit.coefficients) if w]
+def prediction_sql(fit: LinearFit, prefix: str = "") -> str:
+    """The fitted formula as SQL text over columns whose names start with ``prefix``."""
+    terms = [f"({float(w)!r}D) * `{prefix}{f}`" for f, w in zip(fit.features, fit.coefficients) if w]
     return " + ".join([f"({float(fit.intercept)!r}D)", *terms])

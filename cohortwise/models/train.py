@@ -18,8 +18,7 @@ from cohortwise.bounded import collect_bounded, small_frame
 from cohortwise.config import CohortConfig
 from cohortwise.models import linear, registry
 from cohortwise.operators.evaluate import metric_columns
-from cohortwise.operators.select import medians_where_missing, small_copy
-from cohortwise.operators.stats import profile
+from cohortwise.operators.stats import medians
 from cohortwise.operators.transform import fill, power_transform
 
 RESULT_SCHEMA = (
@@ -58,9 +57,9 @@ class TrainingData:
     def stages(self, cohort: str) -> list:
         """Impute and assemble: the leading stages of a saved tree model."""
         names = self.chosen[cohort]
-        filled = ", ".join(f"coalesce(cast(`{f}` as double), {_sql(self.fills.get(cohort, {}).get(f))}) AS `x_{f}`" for f in names)
+        filled = ", ".join(f"coalesce(cast(`{f}` as double), {_sql(self.fills.get(cohort, {}).get(f))}) AS `__x_{f}`" for f in names)
         return [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-                VectorAssembler(inputCols=[f"x_{f}" for f in names], outputCol="features", handleInvalid="skip")]
+                VectorAssembler(inputCols=[f"__x_{f}" for f in names], outputCol="features", handleInvalid="error")]
 
     def vectors(self, cohort: str) -> DataFrame:
         """(label, split, fold, features) of one cohort, kept for the many passes of tree training."""
@@ -91,19 +90,27 @@ def training_data(df: DataFrame, target: str, chosen: dict[str, list[str]], conf
                   gaps: DataFrame | None = None) -> TrainingData:
     """Impute the chosen features by cohort medians and keep the narrow table for training.
 
-    ``gaps`` are medians a selection has already computed.
+    ``gaps`` are medians a selection has already computed. Every chosen feature gets a median, also one without gaps in
+    the rows it is fitted on: rows scored later may miss it. A feature without any value in its cohort is an error.
     """
     cohort = config.cohort
     features = sorted({f for names in chosen.values() for f in names})
     source = df.where(F.col(cohort).isin(sorted(chosen)))
-    if gaps is None:
+    wanted = [(c, f) for c, names in chosen.items() for f in names]
+    known = {} if gaps is None else {(r[cohort], r.feature): r.value for r in collect_bounded(gaps.where(F.col("value").isNotNull()))}
+    lacking = sorted({f for c, f in wanted if (c, f) not in known})
+    if lacking:
         fit = source.where(F.col("split") == "train") if config.fit_on == "train" else source
-        gaps = small_copy(medians_where_missing(fit, small_copy(profile(fit, features, [cohort])), cohort))
+        for r in collect_bounded(medians(fit, lacking, [cohort])):
+            known.setdefault((r[cohort], r.feature), r.value)
+    void = [pair for pair in wanted if known.get(pair) is None]
+    if void:
+        raise ValueError(f"features without any value in their cohort: {void}")
     fills: dict[str, dict[str, float]] = {}
-    gaps = gaps.where(F.col("value").isNotNull() & F.col("feature").isin(*features))
-    for r in collect_bounded(gaps):
-        fills.setdefault(r[cohort], {})[r.feature] = r.value
-    rows = fill(source, gaps, features, cohort).where(F.col(target).isNotNull()).select(
+    for c, f in wanted:
+        fills.setdefault(c, {})[f] = known[c, f]
+    table = small_frame(df.sparkSession, [(c, f, known[c, f]) for c, f in wanted], f"{cohort} string, feature string, value double")
+    rows = fill(source, table, features, cohort).where(F.col(target).isNotNull()).select(
         *dict.fromkeys([cohort, "row_key", "split", "fold", target, *features]))
     return TrainingData(rows.persist(StorageLevel.MEMORY_AND_DISK), target, cohort, chosen, fills)
 
@@ -167,11 +174,8 @@ def _final(slot: dict) -> dict:
 def linear_pipeline(data: TrainingData, fit: linear.LinearFit) -> PipelineModel:
     """The fitted formula as a saveable pipeline of SQL stages."""
     fills = data.fills.get(fit.cohort, {})
-    filled = ", ".join(f"coalesce(cast(`{f}` as double), {_sql(fills.get(f))}) AS `{f}`" for f in fit.features)
-    plain = linear.prediction_sql(fit)
-    for f in fit.features:
-        plain = plain.replace(f"`{f}`", f"`x_{f}`")
-    filled = filled.replace(" AS `", " AS `x_")
+    filled = ", ".join(f"coalesce(cast(`{f}` as double), {_sql(fills.get(f))}) AS `__x_{f}`" for f in fit.features)
+    plain = linear.prediction_sql(fit, "__x_")
     return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
                                  SQLTransformer(statement=f"SELECT *, {plain} AS prediction FROM __THIS__")])
 
@@ -278,7 +282,7 @@ def train_tree(data: TrainingData, cohort: str, spec: registry.TreeSpec, cv: boo
         params = {p.name: str(v) for p, v in model.extractParamMap().items()}
         return _record(data, cohort, name, variant, params=params, **values), PipelineModel(stages=[*data.stages(cohort), model])
     except Exception as error:  # one failing model must not stop the others
-        reason = (str(error).splitlines() or [type(error).__name__])[0][:300]
+        reason = str(error) or type(error).__name__
         return _record(data, cohort, name, variant) | {"status": "failed", "error": reason}, None
 
 
@@ -306,7 +310,7 @@ class Search:
         return [registry.spark_params(p, name in registry.BOOSTED) for p in self.points(name)]
 
 
-def train_models(data: TrainingData, names: Sequence[str] | None = None, profile_name: str = "small",
+def train_models(data: TrainingData, names: Sequence[str] | None = None, profile_name: str = "full",
                  cv: bool = True, search: Search | None = None, scaler: str = "minmax", parallelism: int = 4,
                  trees: dict[str, registry.TreeSpec] | None = None) -> Training:
     """All models for all cohorts. Linear models share two passes; tree fits run as concurrent jobs."""
@@ -352,7 +356,7 @@ def importance_frame(data: TrainingData, models: dict, fits: dict) -> DataFrame:
 
 
 def finetune_top(data: TrainingData, base: DataFrame, k: int = 2, rank_by: str = "r2", search: Search | None = None,
-                 profile_name: str = "small", parallelism: int = 4,
+                 profile_name: str = "full", parallelism: int = 4,
                  trees: dict[str, registry.TreeSpec] | None = None) -> Training:
     """Tune the ``k`` best base models of every cohort again over finer spaces."""
     from cohortwise.operators.compare import rank_models
@@ -412,7 +416,7 @@ SCALER_SCHEMA = ("target string, cohort string, scaler string, model string, tes
 
 
 def compare_scalers(data: TrainingData, tree_names: Sequence[str] = (registry.FOREST, registry.BOOSTING, registry.TREE),
-                    profile_name: str = "small", parallelism: int = 4) -> DataFrame:
+                    profile_name: str = "full", parallelism: int = 4) -> DataFrame:
     """Every scaler with every model. Affine scalers share one set of sums; tree
     models ignore scaling, so they are fitted once and their rows repeated."""
     counts = {r[data.cohort]: r["count"] for r in collect_bounded(data.rows.groupBy(data.cohort).count())}
@@ -426,8 +430,8 @@ def compare_scalers(data: TrainingData, tree_names: Sequence[str] = (registry.FO
         _, scores, _ = linear_scores(source, specs)
         for (cohort, label), slot in sorted(_by_model(scores, data.cohort).items()):
             scaler, model = label.split("|")
-            test = slot["test"]
-            add(cohort, scaler, model, (test.mae, test.rmse, test.r2, *_cv(slot["cv"])))
+            test = slot.get("test")  # a cohort may have no test rows
+            add(cohort, scaler, model, (test and test.mae, test and test.rmse, test and test.r2, *_cv(slot["cv"])))
 
     linear_rows(data, linear.SCALERS)
     bent = power_transform(data.rows, data.features, data.cohort, data.train_rows).persist(StorageLevel.MEMORY_AND_DISK)

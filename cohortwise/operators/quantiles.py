@@ -11,6 +11,8 @@ bin small enough to order, or to a single value.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise.bounded import collect_bounded, small_frame
+from cohortwise.functions.columns import nan_to_null
 
 SKETCH_ACCURACY = 10_000
 MAX_ORDERED_VALUES = 1_000_000
@@ -52,7 +55,10 @@ def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities:
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
               by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles as (by..., feature, p, n, value); NULL where a group has no value."""
+    """Exact quantiles as (by..., feature, p, n, value); NULL where a group has no value.
+
+    NaN is a missing value. Infinities are values at the ends; between them there is no quantile (NULL).
+    """
     by, probs = list(by), [float(p) for p in probabilities]
     first = _first_count(df, list(columns), probs, by)
     groups: dict[tuple, int] = {}
@@ -74,15 +80,24 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
         value = None
         if wanted:
             a, b = found[g, feature, min(wanted)], found[g, feature, max(wanted)]
-            value = a + (b - a) * (position - min(wanted))
+            value = _between(a, b, position - min(wanted))
         rows.append(keys[g] + (feature, p, n, value))
     schema = T.StructType([df.schema[b] for b in by] + list(T.StructType.fromDDL("feature string, p double, n bigint, value double")))
     return small_frame(df.sparkSession, rows, schema)
 
 
+def _between(a: float, b: float, share: float) -> float | None:
+    """Linear interpolation; an infinite end draws everything but the other end itself."""
+    if a == b or share == 0:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return None if math.isinf(a) and math.isinf(b) else a if math.isinf(a) else b
+    return a + (b - a) * share
+
+
 def _cells(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """(keys..., feature, value): one row per column, produced and consumed inside one stage."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), nan_to_null(F.col(c).cast("double")).alias("value")) for c in columns])
     return df.select(*keys, F.inline(pairs))
 
 
@@ -98,7 +113,9 @@ def _first_count(df: DataFrame, columns: list[str], probs: list[float], by: list
     """Sizes, ranks and the logarithmic bin of every rank; a missing rank marks an empty column."""
     keys = [*by, "feature"]
     value = F.col("value")
-    number = F.floor(F.signum(value) * F.log1p(F.abs(value)) * _LOG_BINS)
+    # Infinities lie in bins of their own beyond those of the finite numbers.
+    size = F.log1p(F.least(F.abs(value), F.lit(sys.float_info.max)))
+    number = F.floor(F.signum(value) * (size * _LOG_BINS + F.when(F.abs(value) == float("inf"), 10.0).otherwise(0.0)))
     bins = _count_bins(_cells(df, columns, by), keys, number)
     total = bins.withColumn("n", F.sum("inside").over(Window.partitionBy(*keys)))
     asked = total.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortwise.bounded import attach, collect_bounded
-from cohortwise.functions.columns import histogram_bin, ratio
+from cohortwise.bounded import attach, collect_bounded, small_frame
+from cohortwise.functions.columns import histogram_bin, nan_to_null, ratio
 from cohortwise.operators.quantiles import quantiles
 
 
@@ -191,12 +191,19 @@ def compare_cohort_correlations(correlations: DataFrame, cohort: str, first: str
 # --- distributions --------------------------------------------------------
 
 def histogram(df: DataFrame, column: str, cohort: str, bins: int) -> DataFrame:
-    """Equal-width histogram per cohort: (cohort, bin, low, high, n, density)."""
-    values = df.select(cohort, F.col(column).alias("value")).where(F.col("value").isNotNull())
+    """Equal-width histogram per cohort, empty bins included: (cohort, bin, low, high, n, density).
+
+    A constant column gets half a unit on each side. Missing values, NaN and rows without cohort do not count.
+    """
+    values = df.select(cohort, nan_to_null(F.col(column).cast("double")).alias("value")).where(F.col("value").isNotNull() & F.col(cohort).isNotNull())
     ranges = values.groupBy(cohort).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total"))
-    binned = attach(values, ranges, [cohort]).groupBy(
-        cohort, "lo", "hi", "total", histogram_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    aside = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    ranges = ranges.withColumns({"lo": F.col("lo") - aside, "hi": F.col("hi") + aside})
+    ranges = small_frame(df.sparkSession, collect_bounded(ranges), ranges.schema)
+    counts = attach(values, ranges, [cohort]).groupBy(
+        cohort, histogram_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    binned = every.join(counts, [cohort, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     width = (F.col("hi") - F.col("lo")) / float(bins)
     return binned.select(
         cohort, "bin", (F.col("lo") + F.col("bin") * width).alias("low"),

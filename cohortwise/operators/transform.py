@@ -59,31 +59,36 @@ def scale_standard(df: DataFrame, columns: Sequence[str], cohort: str, fit: Data
     return _scale(df, columns, cohort, ("mean", "deviation"), z_score, fit)
 
 
-COARSE_POWERS = tuple(float(x) for x in np.arange(-2.0, 2.01, 0.25))
-FINE_OFFSETS = tuple(float(x) for x in np.round(np.arange(-0.25, 0.2501, 0.025), 3))
+COARSE_STEP, FINEST_STEP = 0.25, 0.025
+COARSE_POWERS = tuple(float(x) for x in np.arange(-2.0, 2.01, COARSE_STEP))
+#: Multiples of a step: beyond an edge, and around the best power so far.
+BEYOND = tuple(float(k) for k in range(1, 9))
+AROUND = tuple(k / 10 for k in range(-10, 11))
 
 
 def power_likelihoods(df: DataFrame, columns: Sequence[str], cohort: str,
                       powers: Sequence[float] = COARSE_POWERS, centers: DataFrame | None = None) -> DataFrame:
     """Yeo-Johnson log-likelihood of every power of a grid, in one aggregation.
 
-    (cohort, feature, power, loglik); with ``centers`` (cohort, feature, power)
-    the grid holds offsets from each group's own center.
+    (cohort, feature, power, loglik); with ``centers`` (cohort, feature, center, step)
+    the grid holds multiples of each group's step from its center. The likelihood is
+    NULL where the transformed values overflow or differ by rounding errors only.
     """
     cells = stacked(df, columns, [cohort])
     grid = F.explode(F.array(*[F.lit(float(p)) for p in powers])).alias("power")
     if centers is None:
         cells = cells.select("*", grid)
     else:
-        near = centers.withColumnRenamed("power", "center")
-        cells = attach(cells, near, [cohort, "feature"]).select("*", grid) \
-            .withColumn("power", F.col("center") + F.col("power"))
+        cells = attach(cells, centers, [cohort, "feature"]).where("center IS NOT NULL").select("*", grid) \
+            .withColumn("power", F.col("center") + F.col("power") * F.col("step"))
     x = F.col("value")
+    bent = yeo_johnson(x, F.col("power"))
     sums = cells.groupBy(cohort, "feature", "power").agg(
-        F.count(x).alias("n"), F.var_pop(yeo_johnson(x, F.col("power"))).alias("spread"),
+        F.count(x).alias("n"), F.var_pop(bent).alias("spread"), F.avg(bent).alias("level"),
         F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("shrink"))
+    sound = (F.col("spread") > 1e-24 * F.col("level") * F.col("level")) & (F.col("spread") < float("inf"))
     loglik = -F.col("n") / 2.0 * F.log("spread") + (F.col("power") - 1.0) * F.col("shrink")
-    return sums.select(cohort, "feature", "power", F.when(F.col("spread") > 0, loglik).alias("loglik"))
+    return sums.select(cohort, "feature", "power", F.when(sound, loglik).alias("loglik"))
 
 
 def best_powers(likelihoods: DataFrame, cohort: str) -> DataFrame:
@@ -93,10 +98,40 @@ def best_powers(likelihoods: DataFrame, cohort: str) -> DataFrame:
 
 
 def fit_powers(df: DataFrame, columns: Sequence[str], cohort: str) -> DataFrame:
-    """Grid of powers in steps of 0.25, then of 0.025 around the best: two passes."""
-    rows = collect_bounded(best_powers(power_likelihoods(df, columns, cohort), cohort))
-    centers = small_frame(df.sparkSession, rows, f"{cohort} string, feature string, power double")
-    return best_powers(power_likelihoods(df, columns, cohort, FINE_OFFSETS, centers), cohort)
+    """(cohort, feature, power): the best power in steps of 0.025 or less; 1 where nothing varies.
+
+    A grid of -2 to 2 is looked at first. Where the best power is at its edge, eight powers beyond follow in steps
+    of twice the size, until the best is inside. Then ever finer steps around it. There is no bound on the power.
+    """
+    spark, named = df.sparkSession, f"{cohort} string, feature string"
+    best: dict[tuple, tuple[float, float | None]] = {}
+
+    def look(grid: Sequence[float], at: dict[tuple, tuple[float, float]] | None = None) -> set[tuple]:
+        """Look at a grid, around (center, step) of the groups in ``at``; returns the groups with a better power."""
+        centers = None if at is None else small_frame(spark, [(*k, *v) for k, v in at.items()], f"{named}, center double, step double")
+        found = power_likelihoods(df, columns, cohort, grid, centers).groupBy(cohort, "feature").agg(
+            F.max_by("power", "loglik").alias("power"), F.max("loglik").alias("loglik"))
+        better = set()
+        for r in collect_bounded(found):
+            key = (r[cohort], r.feature)
+            if key not in best:
+                best[key] = (1.0, None)
+            if r.loglik is not None and (best[key][1] is None or r.loglik > best[key][1]):
+                best[key] = (r.power, r.loglik)
+                better.add(key)
+        return better
+
+    at_edge = {k for k in look(COARSE_POWERS) if abs(best[k][0]) == COARSE_POWERS[-1]}
+    steps = dict.fromkeys((k for k, (_, loglik) in best.items() if loglik is not None), COARSE_STEP)
+    while at_edge:
+        steps |= {k: 2 * steps[k] for k in at_edge}
+        ahead = {k: (best[k][0], float(np.copysign(steps[k], best[k][0]))) for k in at_edge}
+        better = look(BEYOND, ahead)
+        at_edge = {k for k in better if best[k][0] == ahead[k][0] + BEYOND[-1] * ahead[k][1]}
+    while around := {k: (best[k][0], step) for k, step in steps.items() if step > 1.001 * FINEST_STEP}:
+        look(AROUND, around)
+        steps |= {k: steps[k] / 10 for k in around}
+    return small_frame(spark, [(*k, power) for k, (power, _) in best.items()], f"{named}, power double")
 
 
 def power_transform(df: DataFrame, columns: Sequence[str], cohort: str, fit: DataFrame | None = None) -> DataFrame:

@@ -158,10 +158,10 @@ def max_normalised(spark, sf):
 
 
 def _gappy(spark, sf):
-    """Combustion rows whose storage ratio misses values where the denominator is zero."""
+    """Rows whose storage ratio misses values where the denominator is zero, and in the other cohort."""
     df = units(spark, sf, ["co2_emissions_g_per_km", "energy_storage_capacity", "torque_Nm"])
     ratio = next(f for f in FEATURES if f.name == "emission_per_storage")
-    return df.withColumn(ratio.name, feature_column(ratio, UNITS)).where(F.col(C) == SECOND)
+    return df.withColumn(ratio.name, feature_column(ratio, UNITS))
 
 
 def median_impute(spark, sf):
@@ -428,11 +428,11 @@ def cv_stability(spark, sf):
 
 
 def predictable_cohort(spark, sf):
-    return round_all(compare.most_predictable(_results(spark, sf, (MILEAGE, MAINTENANCE))), 6)
+    return round_all(compare.most_predictable(_results(spark, sf, (MILEAGE, MAINTENANCE, RATIO))), 6)
 
 
 def target_leaderboard(spark, sf):
-    return round_all(compare.leaderboard(_results(spark, sf, (MILEAGE, MAINTENANCE)), [FIRST, SECOND]), 6)
+    return round_all(compare.leaderboard(_results(spark, sf, (MILEAGE, MAINTENANCE, RATIO)), [FIRST, SECOND]), 6)
 
 
 def _scaler_results(spark, sf):

@@ -224,9 +224,9 @@ def results_cte(target: str = MILEAGE, tuned: bool = False) -> str:
     return text + ",\nresults AS (SELECT * FROM results_base)"
 
 
-def _both_targets(body: str) -> str:
-    """Results of two targets, each in its own subquery."""
-    parts = " UNION ALL ".join(f"SELECT * FROM (WITH {results_cte(t)} SELECT * FROM results)" for t in (MILEAGE, MAINTENANCE))
+def _all_targets(body: str) -> str:
+    """Results of all targets, each in its own subquery."""
+    parts = " UNION ALL ".join(f"SELECT * FROM (WITH {results_cte(t)} SELECT * FROM results)" for t in (MILEAGE, MAINTENANCE, RATIO))
     return f"WITH results AS ({parts}) {body}"
 
 
@@ -264,15 +264,16 @@ def _sides(metrics, digits: int, where: str = "TRUE") -> str:
 def _histogram(source: str, column: str, bins: int) -> str:
     """CTE chain ending in hist(cohort, bin, low, high, n, density)."""
     return f"""vals AS (SELECT cohort, {column} AS v FROM {source} WHERE {column} IS NOT NULL),
-bounds AS (SELECT cohort, min(v) AS lo, max(v) AS hi, count(*) AS total FROM vals GROUP BY cohort),
+ends AS (SELECT cohort, min(v) AS a, max(v) AS b, count(*) AS total FROM vals GROUP BY cohort),
+bounds AS (SELECT cohort, total, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM ends),
 placed AS (
-  SELECT bounds.*, CAST(coalesce(least(floor((v - lo) * {bins}.0 / nullif(hi - lo, 0)), {bins - 1}), {bins // 2}) AS INTEGER) AS bin,
-         (hi - lo) / {bins}.0 AS width
-  FROM vals JOIN bounds USING (cohort)),
+  SELECT cohort, CAST(least(floor((v - lo) * {bins}.0 / (hi - lo)), {bins - 1}) AS INTEGER) AS bin, count(*) AS hits
+  FROM vals JOIN bounds USING (cohort) GROUP BY ALL),
 hist AS (
-  SELECT cohort, bin, lo + bin * width AS low, lo + (bin + 1) * width AS high, count(*) AS n,
-         count(*)::DOUBLE / nullif(total * width, 0) AS density
-  FROM placed GROUP BY cohort, bin, lo, width, total)"""
+  SELECT w.cohort, CAST(k AS INTEGER) AS bin, lo + k * width AS low, lo + (k + 1) * width AS high, coalesce(hits, 0) AS n,
+         coalesce(hits, 0)::DOUBLE / (total * width) AS density
+  FROM (SELECT *, (hi - lo) / {bins}.0 AS width FROM bounds) w CROSS JOIN range({bins}) r(k)
+  LEFT JOIN placed p ON p.cohort = w.cohort AND p.bin = k)"""
 
 
 def _yeo_johnson(x: str, p: str) -> str:
@@ -348,9 +349,9 @@ def oracle() -> dict[str, str]:
         f"WITH {UNITS_CTE} SELECT row_key, \"torque_Nm\" / max(\"torque_Nm\") OVER (PARTITION BY cohort) AS normalized_torque, "
         "cost_per_km / max(cost_per_km) OVER (PARTITION BY cohort) AS normalized_cost, "
         "maintenance_cost_annual / max(maintenance_cost_annual) OVER (PARTITION BY cohort) AS normalized_maintenance FROM units")
-    gappy = f"WITH {UNITS_CTE}, g AS (SELECT row_key, {_div(_CO2, _E)} AS v, \"torque_Nm\" FROM units WHERE cohort = 'O')"
-    sql["median_impute"] = f"{gappy} SELECT row_key, {_r('coalesce(v, (SELECT median(v) FROM g))', 6, 'emission_per_storage')}, \"torque_Nm\" FROM g"
-    sql["mean_impute"] = f"{gappy} SELECT row_key, {_r('coalesce(v, (SELECT avg(v) FROM g))', 4, 'emission_per_storage')}, \"torque_Nm\" FROM g"
+    gappy = f"WITH {UNITS_CTE}, g AS (SELECT row_key, cohort, {_when(False, _div(_CO2, _E))} AS v, \"torque_Nm\" FROM units)"
+    sql["median_impute"] = f"{gappy} SELECT row_key, {_r('coalesce(v, median(v) OVER (PARTITION BY cohort))', 6, 'emission_per_storage')}, \"torque_Nm\" FROM g"
+    sql["mean_impute"] = f"{gappy} SELECT row_key, {_r('coalesce(v, avg(v) OVER (PARTITION BY cohort))', 4, 'emission_per_storage')}, \"torque_Nm\" FROM g"
     sql["missing_counts"] = (
         f"WITH {engineered_cte(RATIO)} SELECT cohort, feature, count(*) AS n_rows, count(*) - count(value) AS n_missing FROM "
         f"({_stack('engineered', candidate_names(None, RATIO, UNITS))}) GROUP BY ALL")
@@ -453,13 +454,13 @@ sums_grid AS (SELECT * FROM sums, grid)"""
     sql["train_test_gap"] = f"{res} SELECT target, cohort, model, {_r('train_r2 - test_r2', 6, 'r2_gap')}, {_r('test_mae / nullif(train_mae, 0)', 6, 'mae_ratio')} FROM results"
     sql["model_cohort_pivot"] = f"{res} {_sides(('test_r2', 'test_mae'), 6)}"
     sql["cv_stability"] = f"{res} {_sides(('base_cv_mae_mean', 'base_cv_mae_std'), 6, 'a.base_cv_mae_std IS NOT NULL AND b.base_cv_mae_std IS NOT NULL')}"
-    sql["predictable_cohort"] = _both_targets(
+    sql["predictable_cohort"] = _all_targets(
         f"SELECT target, arg_max(cohort, r) AS cohort, {_r('max(r)', 6, 'best_r2')}, {_r('max(r) - min(r)', 6, 'lead')} "
         "FROM (SELECT target, cohort, max(test_r2) AS r FROM results GROUP BY ALL) GROUP BY target")
     cells = ", ".join(f"max(model) FILTER (WHERE cohort = '{c}') AS {c}_model, "
                       + _r(f"max(test_r2) FILTER (WHERE cohort = '{c}')", 6, f"{c}_test_r2") + ", "
                       + _r(f"max(test_mae) FILTER (WHERE cohort = '{c}')", 6, f"{c}_test_mae") for c in ("F", "O"))
-    sql["target_leaderboard"] = _both_targets(f"SELECT target, {cells} FROM (SELECT *, {_rank()} AS rank FROM results) WHERE rank = 1 GROUP BY target")
+    sql["target_leaderboard"] = _all_targets(f"SELECT target, {cells} FROM (SELECT *, {_rank()} AS rank FROM results) WHERE rank = 1 GROUP BY target")
     # scaler comparison
     sca = f"WITH {scaler_cte()}"
     sql["scaler_results"] = (f"{sca} SELECT cohort, scaler, model, "

@@ -88,6 +88,42 @@ def test_scores_equal_metrics_of_the_saved_formula(data, tmp_path):
     assert (row.test_mae, row.test_rmse, row.test_r2) == pytest.approx((check.mae, check.rmse, check.r2), rel=1e-9)
 
 
+def test_no_row_is_lost_to_a_gap(table):
+    import dataclasses
+    gaps = table.withColumn("x", F.when((F.col("split") == "train") | (F.col("k") % 2 == 0), F.col("x")))
+    config = dataclasses.replace(VEHICLES, fit_on="train")
+    data = training_data(gaps, "y", {"a": ["x", "z"], "b": ["x", "z"]}, config)
+    trained = train_models(data, [registry.OLS, registry.TREE], cv=False)
+    assert trained.results.where("status <> 'ok' or test_mae is null").count() == 0
+    rows = gaps.where("cohort = 'a' and split = 'test'")
+    assert rows.where("x is null").count() > 0
+    for name in (registry.OLS, registry.TREE):
+        scored = trained.models["a", name].transform(rows.withColumn("z", F.lit(None).cast("double")))
+        assert scored.count() == rows.count() and scored.where("prediction is null").count() == 0
+        reported = trained.results.where((F.col("cohort") == "a") & (F.col("model") == name)).first().test_mae
+        check = regression_metrics(trained.models["a", name].transform(rows), [], "y").first()
+        assert check.mae == pytest.approx(reported, rel=1e-9)
+    with pytest.raises(ValueError, match="without any value"):
+        training_data(table.withColumn("void", F.lit(None).cast("double")), "y", {"a": ["void"]}, VEHICLES)
+
+
+def test_saved_formula_of_features_with_similar_names(table):
+    df = table.withColumns({"a": F.col("x"), "x_a": F.col("z") * 1e5, "x_x_a": F.col("w") / 1e3})
+    data = training_data(df, "y", {"b": ["a", "x_a", "x_x_a"]}, VEHICLES)
+    trained = train_models(data, [registry.OLS])
+    check = regression_metrics(trained.models["b", registry.OLS].transform(df.where("cohort = 'b' and split = 'test'")), [], "y").first()
+    assert check.mae == pytest.approx(trained.results.first().test_mae, rel=1e-9)
+
+
+def test_rows_without_split_or_fold_are_counted(table):
+    df = table.withColumn("split", F.when(F.col("k") % 10 > 0, F.col("split"))).withColumn("fold", F.when(F.col("k") % 7 > 0, F.col("fold")))
+    data = training_data(df, "y", {"b": ["x"]}, VEHICLES)
+    _, scores, _ = train.linear_scores(data, [linear.LinearSpec("o", "ols", 0.0, "none")])
+    counted = {r.split: r.n for r in scores.where("stage = 'final'").collect()}
+    want = {r.split: r["count"] for r in df.where("cohort = 'b'").groupBy("split").count().collect()}
+    assert counted == want
+
+
 def test_cross_validation_equals_a_manual_loop(data):
     record = next(r for r in train.train_linear(data, [registry.OLS])[0] if r["cohort"] == "b")
     pdf = data.rows.toPandas()

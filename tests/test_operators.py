@@ -194,7 +194,39 @@ def test_box_plot_and_histogram(spark):
     assert (box.q1, box.median, box.q3) == tuple(np.quantile(values, [0.25, 0.5, 0.75]))
     assert (box.whisker_low, box.whisker_high, box.n_outliers) == (1.0, 9.0, 1)
     counts = {r.bin: r.n for r in stats.histogram(df, "x", "cohort", 10).collect()}
-    assert counts == {0: 9, 9: 1}
+    assert counts == {k: {0: 9, 9: 1}.get(k, 0) for k in range(10)}
+
+
+def test_histogram_of_a_constant_column_has_width(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("a", None), ("a", float("nan")), (None, 7.0)], "cohort string, x double")
+    rows = {r.bin: r for r in stats.histogram(df, "x", "cohort", 30).collect()}
+    counts, edges = np.histogram([5.0, 5.0], 30)
+    assert [rows[k].n for k in range(30)] == counts.tolist() and rows[0].low == edges[0] and rows[29].high == pytest.approx(edges[30])
+    assert rows[15].density == pytest.approx(30.0)
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    groups = {"nan": [1.0, 2.0, 3.0, float("nan")], "up": [1.0, 2.0, float("inf"), float("inf")], "down": [float("-inf"), 1.0, 2.0, 3.0],
+              "ends": [float("-inf"), float("inf")]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, x double")
+    got = {(r.g, r.p): (r.n, r.value) for r in quantiles.quantiles(df, ["x"], [0.0, 0.5, 0.9, 1.0], ["g"]).collect()}
+    assert got["nan", 0.9] == (3, pytest.approx(2.8))
+    assert [got["up", p][1] for p in (0.0, 0.5, 1.0)] == [1.0, float("inf"), float("inf")]
+    assert got["down", 0.0][1] == float("-inf") and got["down", 0.5][1] == 1.5 and got["down", 1.0][1] == 3.0
+    assert got["ends", 0.5][1] is None and got["ends", 1.0][1] == float("inf")
+
+
+def test_powers_beyond_the_first_grid_are_found(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(0.2, 0.005, 600)
+    pdf = pd.DataFrame({"cohort": "a", "x": (1 - 4 * z) ** -0.25 - 1, "flat": 3.0})
+    found = {r.feature: r.power for r in transform.fit_powers(spark.createDataFrame(pdf), ["x", "flat"], "cohort").collect()}
+
+    def loglik(power):
+        bent = ((pdf.x + 1) ** power - 1) / power
+        return -len(pdf) / 2 * np.log(bent.var(ddof=0)) + (power - 1) * np.log1p(pdf.x).sum()
+    best = max(np.arange(-20, -0.01, 0.025), key=loglik)
+    assert found["flat"] == 1.0 and found["x"] < -2.25 and abs(found["x"] - best) <= 0.06
 
 
 def test_scratch_folder_follows_the_session(spark):
