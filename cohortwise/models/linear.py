@@ -227,6 +227,7 @@ def score(df: DataFrame, target: str, fits: Sequence[LinearFit], cohort: str) ->
             matrix = batch[names].to_numpy(dtype="float64", na_value=np.nan)
             y = batch["__y"].to_numpy(dtype="float64")
             for (c, split, part), index in batch.groupby(["__c", "split", "fold"], sort=False, dropna=False).indices.items():
+                split, part = (None if v != v else v for v in (split, part))  # missing ones count, but belong to no fold
                 groups = [(c, FINAL)] + ([(c, part)] if split == "train" else [])
                 for group in groups:
                     if group not in plan:
@@ -242,7 +243,7 @@ def score(df: DataFrame, target: str, fits: Sequence[LinearFit], cohort: str) ->
                     state[slot] = sums if slot not in state else state[slot] + sums
         for (c, out, split), sums in state.items():
             ids = plan[c, out][0]
-            yield pd.DataFrame({"fit": ids, "split": split, **dict(zip(("n", "sae", "sse", "sy", "syy"), sums))})
+            yield pd.DataFrame({"fit": ids, "split": [split] * len(ids), **dict(zip(("n", "sae", "sse", "sy", "syy"), sums))})
 
     schema = "fit int, split string, n double, sae double, sse double, sy double, syy double"
     rows = df.where(F.col(cohort).isin(sorted({f.cohort for f in fits}))).select(
