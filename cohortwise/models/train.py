@@ -416,9 +416,9 @@ SCALER_SCHEMA = ("target string, cohort string, scaler string, model string, tes
 
 
 def compare_scalers(data: TrainingData, tree_names: Sequence[str] = (registry.FOREST, registry.BOOSTING, registry.TREE),
-                    profile_name: str = "full", parallelism: int = 4) -> DataFrame:
+                    profile_name: str = "full", parallelism: int = 4, scalers: Sequence[str] = tuple(SCALER_NAMES)) -> DataFrame:
     """Every scaler with every model. Affine scalers share one set of sums; tree
-    models ignore scaling, so they are fitted once and their rows repeated."""
+    models ignore scaling, so they are fitted once and their rows repeated. Only the ``scalers`` asked for are fitted."""
     counts = {r[data.cohort]: r["count"] for r in collect_bounded(data.rows.groupBy(data.cohort).count())}
     rows = []
 
@@ -433,13 +433,16 @@ def compare_scalers(data: TrainingData, tree_names: Sequence[str] = (registry.FO
             test = slot.get("test")  # a cohort may have no test rows
             add(cohort, scaler, model, (test and test.mae, test and test.rmse, test and test.r2, *_cv(slot["cv"])))
 
-    linear_rows(data, linear.SCALERS)
-    bent = power_transform(data.rows, data.features, data.cohort, data.train_rows).persist(StorageLevel.MEMORY_AND_DISK)
-    linear_rows(TrainingData(bent, data.target, data.cohort, data.chosen, {}), ["power"])
-    bent.unpersist()
+    affine = [s for s in linear.SCALERS if s in scalers]
+    if affine:
+        linear_rows(data, affine)
+    if "power" in scalers:
+        bent = power_transform(data.rows, data.features, data.cohort, data.train_rows).persist(StorageLevel.MEMORY_AND_DISK)
+        linear_rows(TrainingData(bent, data.target, data.cohort, data.chosen, {}), ["power"])
+        bent.unpersist()
     if tree_names:
         trained = train_models(data, tree_names, profile_name, parallelism=parallelism)
         for r in collect_bounded(trained.results.where("status = 'ok'")):
-            for scaler in SCALER_NAMES:
+            for scaler in scalers:
                 add(r.cohort, scaler, r.model, (r.test_mae, r.test_rmse, r.test_r2, r.base_cv_mae_mean, r.base_cv_mae_std))
     return small_frame(data.spark, rows, SCALER_SCHEMA)

@@ -23,7 +23,7 @@ from cohortwise.operators.split import with_split
 from cohortwise.plans import charts, runs
 from cohortwise.plans.runs import RunOptions
 from cohortwise.sources import sinks
-from cohortwise.sources.tables import UNITS, embedding_units, event_units, read_table, units
+from cohortwise.sources.tables import UNITS, embedding_units, event_units, read_table, tables_of, units
 
 C = UNITS.cohort
 RATIO = UNITS.ratio_name
@@ -290,7 +290,18 @@ def feature_summary(spark, sf):
 
 def _single(spark, sf, target, features=None):
     names = features or [n for n in (*UNITS.originals, RATIO) if n != target]
-    df = prepared(spark, sf, target)
+    return _split_by_cohort(_roles_prepared(spark, sf, target, names), target, names)
+
+
+def _roles_prepared(spark, sf, target, names):
+    """Prepared rows with the roles that ``target`` and ``names`` need. Line items alone are scanned again by each
+    pass (a few columns); a join is written once."""
+    roles = [*UNITS.components, target, *names]
+    df = units(spark, sf, roles)
+    return runs.prepared_table(df if tables_of(roles) == {"lineitem"} else materialize(df, "units"), target, UNITS)
+
+
+def _split_by_cohort(df, target, names):
     cohorts = [r[C] for r in collect_bounded(df.select(C).distinct())]
     return training_data(df, target, {c: list(names) for c in sorted(cohorts)}, UNITS)
 
@@ -318,6 +329,38 @@ def lasso_by_cohort(spark, sf):
     return _coefficients(spark, sf, "lasso", 1.0, "minmax")
 
 
+def _two_features(spark, sf, kind, alpha, scaler, pooled=False):
+    """Mileage on the ratio and the unit cost: coefficients and errors on the test rows."""
+    names = [RATIO, "cost_per_km"]
+    df = _roles_prepared(spark, sf, MILEAGE, names)
+    data = _split_by_cohort(df.withColumn(C, F.lit("pooled")) if pooled else df, MILEAGE, names)
+    fits, scores, _ = linear_scores(data, [linear.LinearSpec("two", kind, alpha, scaler)], folds=False)
+    rows = []
+    for f in fits:
+        slope = dict(zip(f.features, map(float, f.coefficients)))
+        rows.append((f.cohort, f.intercept, slope[RATIO], slope["cost_per_km"]))
+    frame = small_frame(spark, rows, "cohort string, intercept double, slope_ratio double, slope_cost double")
+    tested = scores.where("split = 'test'").select(C, F.col("mae").alias("test_mae"), F.col("r2").alias("test_r2"))
+    return frame.join(tested, C).select(C, rounded("intercept", 4), rounded("slope_ratio", 6), rounded("slope_cost", 4),
+                                        rounded("test_mae", 6), rounded("test_r2", 6))
+
+
+def ols_two_features(spark, sf):
+    return _two_features(spark, sf, "ols", 0.0, "none")
+
+
+def ridge_two_features(spark, sf):
+    return _two_features(spark, sf, "ridge", 1.0, "minmax")
+
+
+def pooled_ols_two_features(spark, sf):
+    return _two_features(spark, sf, "ols", 0.0, "none", pooled=True)
+
+
+def pooled_ridge_two_features(spark, sf):
+    return _two_features(spark, sf, "ridge", 1.0, "minmax", pooled=True)
+
+
 def _one_model(spark, sf):
     """Least squares of mileage on the ratio: rows with predictions of their cohort's model."""
     data = _single(spark, sf, MILEAGE, [RATIO])
@@ -363,8 +406,21 @@ def lasso_grid_search(spark, sf):
         rounded(F.avg("r2"), 8, "cv_r2"))
 
 
+def search_winner(spark, sf):
+    """Grid search of both penalties by either metric: the winner, its penalty and its scores."""
+    data = _single(spark, sf, MILEAGE, [RATIO])
+    parts = []
+    for metric in ("mae", "r2"):
+        records, _ = train_linear(data, [registry.RIDGE, registry.LASSO], search=Search("grid", metric=metric))
+        parts.append(results_frame(spark, records).withColumn("metric", F.lit(metric)))
+    data.release()
+    return reduce(DataFrame.unionByName, parts).select(
+        "metric", "cohort", "model", rounded(F.col("params")["alpha"].cast("double"), 8, "alpha"),
+        rounded("tuned_cv_mae_mean", 4), rounded("base_cv_mae_mean", 4), rounded("test_r2", 6))
+
+
 def pooled_ols(spark, sf):
-    result = runs.run_pooled(table(spark, sf), MILEAGE, UNITS, [RATIO], RunOptions(
+    result = runs.run_pooled(units(spark, sf, UNITS.components), MILEAGE, UNITS, [RATIO], RunOptions(
         models=[registry.OLS], cross_validate=False, profile="small"))
     return round_all(result.select("train_mae", "train_r2", "test_mae", "test_rmse", "test_r2"), 6)
 
@@ -437,7 +493,7 @@ def target_leaderboard(spark, sf):
 
 def _scaler_results(spark, sf):
     """Three penalties and three scalers on one feature, as a scaler comparison table."""
-    return compare_scalers(_single(spark, sf, MILEAGE, [RATIO]), ()).where(F.col("scaler") != "PowerTransformer")
+    return compare_scalers(_single(spark, sf, MILEAGE, [RATIO]), (), scalers=linear.SCALERS)
 
 
 def _penalised(spark, sf):
@@ -479,6 +535,30 @@ def scaler_details(spark, sf):
 
 # --- sources and sinks ------------------------------------------------------
 
+def scaler_pivot_file(spark, sf):
+    """The pivoted scaler table, written and read back."""
+    path = _folder(spark, "scaler-details")
+    wide = scaler_details(spark, sf)
+    sinks.write_results(wide, path, "csv")
+    return sinks.read_results(spark, path, wide.schema, "csv")
+
+
+def importances_file(spark, sf):
+    """Absolute coefficients of the single-feature models, written and read back."""
+    path = _folder(spark, "importances")
+    data = _single(spark, sf, MILEAGE)
+    found = train_single_features(data).importances
+    data.release()
+    sinks.write_results(found, path, "csv")
+    return round_all(sinks.read_results(spark, path, found.schema, "csv"), 6)
+
+
+def scaler_target_summary(spark, sf):
+    """Every scaler with every linear model for all targets, averaged."""
+    return runs.overall_scaler_summary(runs.run_scalers(units(spark, sf), UNITS.targets, UNITS, trees=()))
+
+
+
 def _folder(spark: SparkSession, tag: str) -> str:
     return os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
 
@@ -567,15 +647,17 @@ def loguniform_search(spark, sf):
 def _tuned_tree(spark, sf, search, name):
     data = _training(spark, sf)
     spec = registry.tree_models("small")[name]
-    record, _ = train_tree(data, FIRST, spec, False, search.spark_candidates(name))
+    records = [train_tree(data, c, spec, False, search.spark_candidates(name))[0] for c in sorted(data.chosen)]
     data.release()
-    return results_frame(spark, [record]).drop("params")
+    return results_frame(spark, records).drop("params")
 
 
 def multi_metric_grid(spark, sf):
     data = _training(spark, sf)
     spec = registry.tree_models("small")[registry.TREE]
-    return multi_metric_search(data, FIRST, spec, [{"maxDepth": 3}, {"maxDepth": 6}]).drop("params")
+    parts = [multi_metric_search(data, c, spec, [{"maxDepth": 3}, {"maxDepth": 6}]) for c in sorted(data.chosen)]
+    data.release()
+    return reduce(DataFrame.unionByName, parts).drop("params")
 
 
 def finetune_top2(spark, sf):
@@ -617,7 +699,7 @@ def multi_target_run(spark, sf):
 
 def plain_run(spark, sf):
     options = RunOptions(models=_RUN_MODELS, profile="small", cross_validate=False)
-    return runs.run_plain(table(spark, sf), RATIO, UNITS, options).rankings.drop("params")
+    return runs.run_plain(table(spark, sf), RATIO, UNITS, options).drop("params")
 
 
 def final_report_best(spark, sf):
@@ -668,11 +750,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     zscore_scale, yeo_johnson_grid, yeo_johnson_best, onehot_cohort, correlation_pairs, wide_correlation,
     target_correlation, correlation_bars, top_correlations, corr_strength_buckets, cohort_corr_compare,
     corr_lower_triangle, variance_filter, feature_selection, feature_selection_fallback, feature_name_sets,
-    feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, regression_metrics_by_split,
-    predicted_vs_actual_rows, cv_linear_scores, alpha_grid_search, lasso_grid_search, pooled_ols, feature_models,
+    feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, ols_two_features, ridge_two_features,
+    pooled_ols_two_features, pooled_ridge_two_features, regression_metrics_by_split,
+    predicted_vs_actual_rows, cv_linear_scores, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
     model_ranking, model_ranking_by_mae, topk_models, best_models, tuned_vs_base, append_tuned, train_test_gap,
     model_cohort_pivot, cv_stability, predictable_cohort, target_leaderboard, scaler_results, scaler_summary,
-    scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, csv_scan,
+    scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, scaler_pivot_file,
+    importances_file, scaler_target_summary, csv_scan,
     cohort_files, rankings_file, scaler_file, selected_features_file, decision_tree, random_forest, boosted_trees,
     boosting_profiles, linear_models, random_search, loguniform_search, multi_metric_grid, finetune_top2,
     feature_importance, scaler_model_grid, single_target_run, multi_target_run, plain_run, final_report_best,

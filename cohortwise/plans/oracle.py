@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from cohortwise.config import ORIGINAL_FEATURES
-from cohortwise.models.registry import LASSO, OLS, RIDGE, log_space
-from cohortwise.operators.features import candidate_names
-from cohortwise.operators.transform import COARSE_POWERS
-from cohortwise.sources.tables import UNITS
-
+# Fixed values, written out here on purpose: a wrong list in the code under test must not agree with itself.
 MILEAGE, MAINTENANCE, RATIO = "mileage_km", "maintenance_cost_annual", "efficiency"
+ORIGINAL_FEATURES = ("co2_emissions_g_per_km", "cost_per_km", "energy_storage_capacity", "acceleration_0_100_kph_sec",
+                     "torque_Nm", "lifespan_years", "maintenance_cost_annual")
+OLS, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regression"
+COARSE_POWERS = (-2.0, -1.75, -1.5, -1.25, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0)
 SCALED = ("torque_Nm", "energy_storage_capacity", "lifespan_years")
 
 _KEY = ("md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
@@ -21,8 +20,8 @@ UNITS_CTE = f"""units AS (
          l_discount + 0.0 AS energy_storage_capacity, CAST(p_size AS DOUBLE) AS acceleration_0_100_kph_sec,
          p_retailprice AS "torque_Nm", CAST(l_linenumber AS DOUBLE) AS lifespan_years,
          o_totalprice AS maintenance_cost_annual
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"""
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey)"""
 
 DERIVED_CTE = UNITS_CTE + """,
 derived AS (
@@ -83,6 +82,11 @@ ENGINEERED = {
 }
 
 
+def candidates(target: str) -> list[str]:
+    """Originals, the ratio and the engineered features, without the target."""
+    return [n for n in (*ORIGINAL_FEATURES, RATIO, *ENGINEERED) if n != target]
+
+
 def engineered_cte(target: str) -> str:
     ranged = ("torque_Nm", _A, _K, _M)
     bounds = ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ranged)
@@ -117,7 +121,7 @@ def _pairs(source: str, names) -> str:
 
 def _target_correlations(target: str) -> str:
     """CTE chain ending in tc(cohort, feature, corr)."""
-    names = candidate_names(None, target, UNITS)
+    names = candidates(target)
     cells = ", ".join(f"{{'feature': '{n}', 'corr': corr({n}, {target})}}" for n in names)
     return engineered_cte(target) + f""",
 tc AS (SELECT cohort, feature, {_number('corr')} AS corr FROM
@@ -126,7 +130,7 @@ tc AS (SELECT cohort, feature, {_number('corr')} AS corr FROM
 
 def _selection(target: str) -> str:
     """CTE chain ending in picked(cohort, feature, position)."""
-    names = candidate_names(None, target, UNITS)
+    names = candidates(target)
     originals = [n for n in ORIGINAL_FEATURES if n != target]
     ranks = ", ".join(f"('{n}', {i + 1})" for i, n in enumerate(originals))
     return _target_correlations(target) + f""",
@@ -202,6 +206,23 @@ folds AS (SELECT -1 AS out UNION ALL SELECT DISTINCT fold FROM long),
 sums AS (SELECT cohort, feature, out AS fold, {_SUMS} FROM long, folds WHERE split = 'train' AND fold <> out GROUP BY ALL)"""
 
 
+def _two_features(penalty: float, cohort: str) -> str:
+    """Mileage on the ratio and the unit cost by Cramer's rule; the penalty acts on features scaled to their ranges."""
+    return f"""WITH {prepared_cte(MILEAGE)},
+rows AS (SELECT {cohort} AS cohort, split, efficiency AS a, cost_per_km AS b, mileage_km AS y FROM prepared),
+moments AS (
+  SELECT cohort, avg(a) AS ma, avg(b) AS mb, avg(y) AS my,
+         regr_sxx(a, a) + {penalty} * pow(max(a) - min(a), 2) AS aa, regr_sxx(b, b) + {penalty} * pow(max(b) - min(b), 2) AS bb,
+         regr_sxy(a, b) AS ab, regr_sxy(y, a) AS ay, regr_sxy(y, b) AS yb
+  FROM rows WHERE split = 'train' GROUP BY cohort),
+fit AS (SELECT cohort, ma, mb, my, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM moments),
+errors AS (SELECT cohort, wa, wb, my - wa * ma - wb * mb AS w0, y, y - (my + wa * (a - ma) + wb * (b - mb)) AS e
+           FROM rows JOIN fit USING (cohort) WHERE split = 'test')
+SELECT cohort, {_r('any_value(w0)', 4, 'intercept')}, {_r('any_value(wa)', 6, 'slope_ratio')}, {_r('any_value(wb)', 4, 'slope_cost')},
+       {_r('avg(abs(e))', 6, 'test_mae')}, {_r('1 - sum(e * e) / (var_pop(y) * count(*))', 6, 'test_r2')}
+FROM errors GROUP BY cohort"""
+
+
 def _results_cte(tag: str, target: str, label: str = "feature", variant: str = "base") -> str:
     return f""",
 results_{tag} AS (
@@ -354,7 +375,7 @@ def oracle() -> dict[str, str]:
     sql["mean_impute"] = f"{gappy} SELECT row_key, {_r('coalesce(v, avg(v) OVER (PARTITION BY cohort))', 4, 'emission_per_storage')}, \"torque_Nm\" FROM g"
     sql["missing_counts"] = (
         f"WITH {engineered_cte(RATIO)} SELECT cohort, feature, count(*) AS n_rows, count(*) - count(value) AS n_missing FROM "
-        f"({_stack('engineered', candidate_names(None, RATIO, UNITS))}) GROUP BY ALL")
+        f"({_stack('engineered', candidates(RATIO))}) GROUP BY ALL")
     sql["train_test_split"] = f"WITH {_LINES} SELECT row_key, CASE WHEN {_bucket(1, 100)} < 20 THEN 'test' ELSE 'train' END AS split FROM lines"
     sql["kfold_assignment"] = f"WITH {_LINES} SELECT row_key, CAST({_bucket(9, 5)} AS INTEGER) AS fold FROM lines WHERE {_bucket(1, 100)} >= 20"
     over = "OVER (PARTITION BY cohort)"
@@ -366,7 +387,7 @@ def oracle() -> dict[str, str]:
     sql["yeo_johnson_best"] = f"WITH {_likelihood_cte()} SELECT cohort, feature, arg_max(power, loglik) AS power FROM lik GROUP BY ALL"
     sql["onehot_cohort"] = f"WITH {_LINES} SELECT row_key, CAST(cohort = 'F' AS INTEGER) AS is_F, CAST(cohort = 'O' AS INTEGER) AS is_O FROM lines"
     # correlation and selection
-    names = [*candidate_names(None, MILEAGE, UNITS), MILEAGE]
+    names = [*candidates(MILEAGE), MILEAGE]
     sql["correlation_pairs"] = f"WITH {engineered_cte(MILEAGE)}, p AS ({_pairs('engineered', names)}) SELECT cohort, a, b, n, {_r('corr', 6)} FROM p"
     sql["wide_correlation"] = f"""WITH e AS (SELECT CAST(label AS VARCHAR) AS cohort, vec_id, generate_subscripts(embedding, 1) - 1 AS i,
       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -404,7 +425,7 @@ def oracle() -> dict[str, str]:
     electric = ("eco_efficiency", "green_performance")
     combustion = ("emission_intensity", "emission_per_storage")
     listed = ", ".join(f"('{n}', {str(n in ORIGINAL_FEATURES).upper()}, {str(n not in combustion).upper()}, {str(n not in electric).upper()})"
-                       for n in candidate_names(None, MAINTENANCE, UNITS))
+                       for n in candidates(MAINTENANCE))
     sql["feature_summary"] = f"""WITH RECURSIVE {_selection(MAINTENANCE)}, names(feature, original, f, o) AS (VALUES {listed}),
       mine AS (SELECT cohort, names.* FROM (SELECT DISTINCT cohort FROM engineered), names WHERE CASE WHEN cohort = 'F' THEN f ELSE o END)
       SELECT cohort, count(*) AS candidates, count(*) FILTER (WHERE original) AS originals, count(*) FILTER (WHERE NOT original) AS engineered,
@@ -414,6 +435,9 @@ def oracle() -> dict[str, str]:
                                       ("lasso_by_cohort", "lasso", "1.0", "minmax")):
         sql[name] = (f"WITH {long_cte(MILEAGE)}{SUMS_CTE}{_fit_ctes('m', kind, alpha, scaler)} SELECT cohort, feature, "
                      f"{_r('my - b * mx', 4, 'intercept')}, {_r('b', 6, 'slope')} FROM fit_m WHERE out = -1")
+    for name, penalty in (("ols_two_features", 0.0), ("ridge_two_features", 1.0)):
+        for prefix, cohort in (("", "cohort"), ("pooled_", "'pooled'")):
+            sql[prefix + name] = _two_features(penalty, cohort)
     one = f"WITH {long_cte(MILEAGE, [RATIO])}{SUMS_CTE}{_fit_ctes('m', 'ols', '0', 'none')}"
     sql["regression_metrics_by_split"] = f"{one} SELECT cohort, split, n, {_r('mae', 6)}, {_r('rmse', 6)}, {_r('r2', 6)} FROM score_m WHERE out = -1"
     sql["predicted_vs_actual_rows"] = (
@@ -422,14 +446,26 @@ def oracle() -> dict[str, str]:
     sql["cv_linear_scores"] = (
         f"{one} SELECT cohort, 'ols' AS model, count(*) AS folds, {_r('avg(mae)', 6, 'cv_mae_mean')}, "
         f"{_r('stddev_pop(mae)', 6, 'cv_mae_std')}, {_r('avg(r2)', 6, 'cv_r2_mean')} FROM score_m WHERE out >= 0 GROUP BY cohort")
-    alphas = ", ".join(f"({i}, CAST({a!r} AS DOUBLE))" for i, a in enumerate(log_space(-4, 3, 20)))
-    grid = f""", grid(candidate, alpha) AS (VALUES {alphas}),
+    grid = """, grid AS (SELECT CAST(i AS INTEGER) AS candidate, pow(10.0, -4 + 7.0 * i / 19) AS alpha FROM range(20) t(i)),
 sums_grid AS (SELECT * FROM sums, grid)"""
     for name, kind, shown in (("alpha_grid_search", "ridge", _r("avg(mae)", 4, "cv_mae")),
                               ("lasso_grid_search", "lasso", _r("avg(r2)", 8, "cv_r2"))):
         fits = _fit_ctes("g", kind, "alpha", "minmax", ", candidate", "_grid")
         fits = fits.replace("SELECT l.cohort, l.feature, candidate", "SELECT l.cohort, l.feature, f.candidate")
         sql[name] = f"WITH {long_cte(MILEAGE, [RATIO])}{SUMS_CTE}{grid}{fits} SELECT cohort, candidate, {shown} FROM score_g WHERE out >= 0 GROUP BY ALL"
+    winners = []
+    for kind, model in (("ridge", RIDGE), ("lasso", LASSO)):
+        fits = _fit_ctes("g", kind, "alpha", "minmax", ", candidate", "_grid") + _fit_ctes("one", kind, "1.0", "minmax")
+        fits = fits.replace("SELECT l.cohort, l.feature, candidate", "SELECT l.cohort, l.feature, f.candidate")
+        for metric, first in (("mae", "mae"), ("r2", "-r2")):
+            winners.append(f"""SELECT * FROM (WITH {long_cte(MILEAGE, [RATIO])}{SUMS_CTE}{grid}{fits},
+tried AS (SELECT cohort, candidate, avg(mae) AS mae, avg(r2) AS r2 FROM score_g WHERE out >= 0 GROUP BY ALL),
+won AS (SELECT cohort, arg_min(candidate, {first}) AS candidate, arg_min(mae, {first}) AS mae FROM tried GROUP BY cohort)
+SELECT '{metric}' AS metric, w.cohort, '{model}' AS model, {_r('any_value(alpha)', 8, 'alpha')}, {_r('any_value(w.mae)', 4, 'tuned_cv_mae_mean')},
+       {_r('(SELECT avg(o.mae) FROM score_one o WHERE o.out >= 0 AND o.cohort = w.cohort)', 4, 'base_cv_mae_mean')}, {_r('any_value(s.r2)', 6, 'test_r2')}
+FROM won w JOIN grid USING (candidate) JOIN score_g s ON s.cohort = w.cohort AND s.candidate = w.candidate AND s.out = -1 AND s.split = 'test'
+GROUP BY w.cohort)""")
+    sql["search_winner"] = " UNION ALL ".join(winners)
     sql["pooled_ols"] = f"""WITH {long_cte(MILEAGE, [RATIO])}{SUMS_CTE},
       pooled AS (SELECT sum(sxy) / sum(sxx) AS b FROM sums WHERE fold = -1),
       e AS (SELECT l.split, l.y, l.y - (s.my + b * (l.x - s.mx)) AS e FROM long l JOIN sums s ON s.cohort = l.cohort AND s.fold = -1, pooled),
@@ -484,6 +520,10 @@ sums_grid AS (SELECT * FROM sums, grid)"""
                       for m in ("test_r2", "test_mae", "cv_mae_mean"))
     sql["scaler_details"] = f"{sca} SELECT cohort, model, {cells} FROM {_PENALISED} GROUP BY cohort, model"
     # files
+    sql["scaler_pivot_file"] = sql["scaler_details"]
+    sql["importances_file"] = (
+        f"WITH {long_cte(MILEAGE)}{SUMS_CTE}{_fit_ctes('m', 'ols', '0', 'none')} SELECT '{MILEAGE}' AS target, cohort, feature AS model, feature, "
+        f"{_r('abs(b)', 6, 'importance')}, CAST(sign(b) AS INTEGER) AS sign FROM fit_m WHERE out = -1")
     sql["csv_scan"] = f"WITH {_LINES} SELECT cohort, row_key, mileage_km, energy_consumption FROM lines"
     sql["cohort_files"] = f"WITH {_LINES} SELECT cohort, row_key, efficiency FROM lines WHERE cohort = 'O'"
     return {name: text.strip() for name, text in sql.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -18,8 +18,9 @@ from cohortwise.models.train import (
 from cohortwise.operators import compare
 from cohortwise.operators.features import candidate_names, engineer
 from cohortwise.operators.prepare import clamp, prepare, with_ratio
-from cohortwise.operators.select import Selection, select_features
+from cohortwise.operators.select import Selection, select_features, small_copy
 from cohortwise.operators.split import with_split
+from cohortwise.operators.stats import profile
 from cohortwise.operators.transform import one_hot
 from cohortwise.sources import sinks
 
@@ -150,9 +151,19 @@ def overall_scaler_summary(results: DataFrame) -> DataFrame:
     return compare.group_means(compare.linear_only(results), ["target", "cohort", "scaler"])
 
 
-def run_plain(df: DataFrame, target: str, config: CohortConfig, options: RunOptions = RunOptions()) -> RunResult:
-    """The older analysis: no outlier filter, z-scores, ranked by MAE, no fine-tuning."""
-    return run_target(df, target, config, replace(options, remove_outliers=False, scaler="standard", rank_by="mae", finetune=0))
+def run_plain(df: DataFrame, target: str, config: CohortConfig, options: RunOptions = RunOptions()) -> DataFrame:
+    """The older analysis: the original columns as they are, means for missing values, z-scores, ranked by MAE.
+
+    No clamp, outlier filter, engineered features, selection or fine-tuning.
+    """
+    ready = with_split(with_ratio(df, config.ratio_name, config.ratio_numerator, config.ratio_denominator), config.row_key)
+    names = [n for n in config.originals if n != target]
+    means = small_copy(profile(ready, names, [config.cohort]).select(config.cohort, "feature", F.col("mean").alias("value")))
+    cohorts = sorted({r[config.cohort] for r in collect_bounded(means)})
+    data = training_data(ready, target, {c: names for c in cohorts}, config, means)
+    trained = train_models(data, options.models, options.profile, options.cross_validate, None, "standard", options.parallelism)
+    data.release()
+    return compare.rank_models(trained.results, "mae")
 
 
 def run_pooled(df: DataFrame, target: str, config: CohortConfig, features: Sequence[str],

@@ -51,13 +51,19 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scans of up to this many splits may be spread over the cores; larger ones never are.
+SMALL_SPLITS = 8
+
+
 def spread(df: DataFrame, scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` over all cores when ``scan`` has fewer splits than cores (one small file).
+    """Hash ``df`` over all cores when ``scan`` has a handful of splits, fewer than cores.
 
-    A table of many splits is returned as it is: no shuffle is added at scale.
+    A table of more than ``SMALL_SPLITS`` splits is returned as it is, on a cluster of any size: no shuffle is added
+    at scale. Rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else df
+    splits = scan.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores and splits <= SMALL_SPLITS else df
 
 
 def _unit_key() -> Column:
@@ -81,27 +87,33 @@ def _roles() -> dict[str, tuple[str, Column]]:
     }
 
 
+def tables_of(roles: Iterable[str]) -> set[str]:
+    """The tables that carry ``roles``; names that are not roles are ignored."""
+    known = _roles()
+    return {known[r][0] for r in roles if r in known}
+
+
 def units(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = None) -> DataFrame:
     """The line-item star schema as a cohort table.
 
-    Only the tables that carry the requested roles are joined (every line has
-    its order, customer and part). Orders and customers meet first, so the large
-    line-item side is shuffled once per remaining key; join strategies and the
+    Only the tables that carry the requested roles are joined. Joins are outer: a line without its order, customer
+    or part stays with missing values, so the rows never depend on the roles asked for. Orders and customers meet
+    first, so the large line-item side is shuffled once per remaining key; join strategies and the
     splitting of hot keys are left to adaptive execution.
     """
     known = _roles()
     wanted = list(known) if roles is None else [r for r in known if r in set(roles)]
-    tables = {known[r][0] for r in wanted}
+    tables = tables_of(wanted)
     scan = lines = parquet(spark, sf_dir, "lineitem")
     if tables & {"orders", "customer"}:
         orders = parquet(spark, sf_dir, "orders")
         if "customer" in tables:
             customer = parquet(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "part" in tables:
         part = parquet(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return spread(lines, scan, "l_orderkey", "l_linenumber").select(
         F.col("l_linestatus").alias("cohort"),
         F.md5(_unit_key()).alias("row_key"),
@@ -119,9 +131,13 @@ def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_units(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """Embeddings as a wide cohort table with one column per dimension."""
+def embedding_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a wide cohort table with one column per dimension; vectors of different lengths are an error."""
     scan = parquet(spark, sf_dir, "embeddings")
+    sizes = scan.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if sizes.least != sizes.most:
+        raise ValueError(f"embeddings have {sizes.least} to {sizes.most} dimensions")
+    width = max(sizes.most or 0, 0)
     return spread(scan, scan, "vec_id").select(
         F.col("label").cast("string").alias("cohort"),
         F.md5(F.col("vec_id").cast("string")).alias("row_key"),

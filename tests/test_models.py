@@ -230,3 +230,31 @@ def test_strict_leakage_removes_the_perfect_fit(spark, vehicles):
     options = runs.RunOptions(models=[registry.OLS], profile="small", cross_validate=False, finetune=0)
     run = runs.run_target(as_cohort_table(vehicles), "maintenance_cost_annual", strict, options)
     assert all(r.test_r2 < 0.5 for r in run.rankings.collect())
+
+
+def test_older_analysis_uses_plain_columns_and_means(spark):
+    """No clamp, filter or selection: the same as least squares by numpy on the original columns, means where missing."""
+    from cohortwise.config import ORIGINAL_FEATURES, VEHICLES
+    from cohortwise.operators.split import with_split
+    from cohortwise.plans.runs import RunOptions, run_plain
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        x = rng.normal(size=7) * 3
+        known = [float(v) for v in x]
+        if i % 11 == 0:
+            known[2] = None
+        rows.append((["EV", "Gas"][i % 2], f"{i * 7919:032x}", float(50 + x @ np.arange(1, 8) + rng.normal()), 1.0, *known))
+    df = spark.createDataFrame(rows, "cohort string, row_key string, mileage_km double, energy_consumption double, "
+                               + ", ".join(f"{n} double" for n in ORIGINAL_FEATURES))
+    df = df.withColumn("row_key", F.md5("row_key"))
+    got = {r.cohort: r for r in run_plain(df, "efficiency", VEHICLES, RunOptions(models=[registry.OLS], cross_validate=False)).collect()}
+    table = with_split(df, "row_key").toPandas()
+    for cohort, part in table.groupby("cohort"):
+        x = part[list(ORIGINAL_FEATURES)].astype(float)
+        x = np.column_stack([x.fillna(x.mean()).to_numpy(), np.ones(len(part))])
+        train, y = (part["split"] == "train").to_numpy(), part["mileage_km"].to_numpy()
+        w = np.linalg.lstsq(x[train], y[train], rcond=None)[0]
+        assert abs(got[cohort].test_mae - np.abs(x[~train] @ w - y[~train]).mean()) < 1e-6
+        assert got[cohort].features_used == 7
