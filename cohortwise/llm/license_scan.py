@@ -1,7 +1,7 @@
 """License scan: an ordered table of signature rules over normalised words, with overlap suppression.
 
 Texts become lower-case words separated by single spaces. Rules are regular expressions over that form,
-each with a family keyword; a document pays for a family's rules only if the keyword occurs in it.
+each with its family's keywords; a document pays for a family's rules only if one of the keywords occurs in it.
 Detections carry a priority. One is suppressed when another of at least its priority contains its interval, or
 contains it strictly; what is left gives the labels. Everything happens inside the row: no shuffle.
 
@@ -20,21 +20,22 @@ from cohortwise.llm.common import spaces, whole
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
-#: Families: label, gating keyword, name pattern, identifier pattern (both over normalised words).
+#: Families: label, gating keywords, name pattern, identifier pattern (all over normalised words). Every match of either
+#: pattern must hold one of the keywords.
 FAMILIES = (
-    ("gpl", "gnu", "gnu general public licen[sc]e", "gpl"),
-    ("lgpl", "gnu", "gnu (?:lesser|library) general public licen[sc]e", "lgpl"),
-    ("agpl", "gnu", "gnu affero general public licen[sc]e", "agpl"),
-    ("gfdl", "gnu", "gnu free documentation licen[sc]e", "gfdl"),
+    ("gpl", "gnu|gpl", "gnu general public licen[sc]e", "gpl"),
+    ("lgpl", "gnu|lgpl", "gnu (?:lesser|library) general public licen[sc]e", "lgpl"),
+    ("agpl", "gnu|agpl", "gnu affero general public licen[sc]e", "agpl"),
+    ("gfdl", "gnu|gfdl", "gnu free documentation licen[sc]e", "gfdl"),
     ("apache", "apache", "apache(?: software)? licen[sc]e", "apache"),
     ("mit", "mit", "mit licen[sc]e", "mit"),
     ("mit", "expat", "expat licen[sc]e", "expat"),
     ("bsd", "bsd", "bsd(?: style)? licen[sc]e", "bsd"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[sc]e", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[sc]e", "bsd 3 clause"),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", "mpl"),
-    ("epl", "eclipse", "eclipse public licen[sc]e", "epl"),
-    ("cddl", "cddl", "common development and distribution licen[sc]e", "cddl"),
+    ("mpl", "mozilla|mpl", "mozilla public licen[sc]e", "mpl"),
+    ("epl", "eclipse|epl", "eclipse public licen[sc]e", "epl"),
+    ("cddl", "common development|cddl", "common development and distribution licen[sc]e", "cddl"),
     ("cc0", "cc0", "(?:creative commons )?cc0", "cc0"),
     ("cc-by", "cc", "(?:creative commons )?cc by", "cc by"),
     ("cc-by-sa", "cc", "(?:creative commons )?cc by sa", "cc by sa"),
@@ -46,15 +47,15 @@ FAMILIES = (
     ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: licen[sc]e)?", "creative commons attribution sharealike"),
     ("isc", "isc", "isc licen[sc]e", "isc"),
     ("zlib", "zlib", "zlib licen[sc]e", "zlib"),
-    ("boost", "boost", "boost software licen[sc]e", "bsl 1 0"),
+    ("boost", "boost|bsl", "boost software licen[sc]e", "bsl 1 0"),
     ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
     ("artistic", "artistic", "artistic licen[sc]e", "artistic"),
-    ("eupl", "european", "european union public licen[sc]e", "eupl"),
-    ("ofl", "sil", "sil open font licen[sc]e", "ofl"),
-    ("psf", "python", "python software foundation licen[sc]e", "psf"),
+    ("eupl", "european|eupl", "european union public licen[sc]e", "eupl"),
+    ("ofl", "sil|ofl", "sil open font licen[sc]e", "ofl"),
+    ("psf", "python|psf", "python software foundation licen[sc]e", "psf"),
     ("php", "php", "php licen[sc]e", "php"),
     ("postgresql", "postgresql", "postgresql licen[sc]e", "postgresql"),
-    ("proprietary", "reserved", "all rights reserved", "proprietary"),
+    ("proprietary", "reserved|proprietary", "all rights reserved", "proprietary"),
 )
 #: Forms of a rule, best evidence first: confidence and template; {n} is the family's name, {i} its identifier.
 FORMS = (
@@ -71,7 +72,7 @@ FORMS = (
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """All signature rules in order: label, keyword, priority (0 is best), confidence, regular expression."""
+    """All signature rules in order: label, keywords, priority (0 is best), confidence, regular expression."""
     return [(label, keyword, rank, confidence, f"(?<= )(?:{form.format(n=name, i=ident)})(?= )")
             for rank, (confidence, form) in enumerate(FORMS) for label, keyword, name, ident in FAMILIES]
 
@@ -98,17 +99,18 @@ DETECTION = "array<struct<start:int,end:int,rank:int,label:string,confidence:dou
 
 
 def detections(text: Column) -> Column:
-    """All matches of all rules whose keyword occurs; the array is empty for other documents."""
-    by_word: dict[str, list] = {}
-    for label, keyword, rank, confidence, pattern in rules():
-        by_word.setdefault(keyword, []).append(F.struct(
+    """All matches of all rules that have a keyword in the text; the array is empty for other documents."""
+    by_words: dict[str, list] = {}
+    for label, keywords, rank, confidence, pattern in rules():
+        by_words.setdefault(keywords, []).append(F.struct(
             F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")))
-    table = F.array(*[F.struct(F.lit(f" {word} ").alias("keyword"), F.array(*own).alias("rules")) for word, own in by_word.items()])
+    table = F.array(*[F.struct(F.array(*[F.lit(f" {word} ") for word in words.split("|")]).alias("keywords"), F.array(*own).alias("rules"))
+                      for words, own in by_words.items()])
     of_rule = lambda r: F.transform(_spans(text, r["pattern"]), lambda s: F.struct(
         s["start"], s["end"], r["rank"], r["label"], r["confidence"]))
-    present = F.filter(table, lambda f: F.contains(text, f["keyword"]))
+    present = F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(text, k)))
     matching = F.flatten(F.transform(present, lambda f: F.filter(f["rules"], lambda r: F.rlike(text, r["pattern"]))))
-    gate = F.lit(" (?:" + "|".join(sorted(by_word)) + ") ")
+    gate = F.lit(" (?:" + "|".join(sorted({word for words in by_words for word in words.split("|")})) + ") ")
     return F.when(F.rlike(text, gate), F.flatten(F.transform(matching, of_rule)).cast(DETECTION)).otherwise(F.array().cast(DETECTION))
 
 
