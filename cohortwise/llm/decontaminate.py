@@ -2,9 +2,10 @@
 
 Texts are canonicalised: names (capitalised words inside a sentence), numbers and units after numbers become
 typed placeholders, the rest lower-case words. Windows of ``WINDOW`` template tokens of every document are
-hash-joined with those of the benchmark items. For every matching pair the values in the slots are aligned: an item's value
-must always stand for the same value in the document. Pairs that cover enough of an item and are consistent are
-leaks, verbatim or re-parameterised.
+hash-joined with those of the benchmark items. For every matching pair the values in the slots are aligned, once for the whole
+document and once for each occurrence (windows of about the same offset): an item's value must always stand for the
+same value in the document. Pairs with an occurrence that covers enough of an item and is consistent are leaks,
+verbatim or re-parameterised; the occurrence of most coverage, then of fewest changed values, describes the pair.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle of
 window hashes. Items shorter than a window are matched as a whole from ``LEAST`` tokens on; shorter ones cannot be told from
@@ -51,13 +52,13 @@ def _hashes(tokens: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, pos, hash, item_words (values of the window), item_windows. Windows made mostly of slots are left out."""
+    """item_id, size, pos, hash, item_words (values of the window), item_tokens, item_windows. Windows made mostly of slots are left out."""
     items = (benchmark.select("item_id", canonical(whole()).alias("words")).withColumn("tokens", template(F.col("words")))
              .where(F.size("words") >= LEAST).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))))
     at = F.posexplode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("pos", "start")
     rows = items.select("item_id", "size", "words", "tokens", at)
     window = F.slice("tokens", F.col("start"), F.col("size"))
-    rows = rows.select("item_id", "size", "pos", F.xxhash64(window).alias("hash"), F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
+    rows = rows.select("item_id", "size", F.size("words").alias("item_tokens"), "pos", F.xxhash64(window).alias("hash"), F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
                        F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("#")))).alias("literal"))
     kept = rows.where(F.col("literal") * 2 >= F.col("size")).drop("literal")
     per_item = kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
@@ -65,7 +66,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per window of a document that occurs in an item: doc_id, content, item_id, pos, both sides' values."""
+    """One row per window of a document that occurs in an item: doc_id, content, item_id, pos, shift (offset), both sides' values."""
     index = written(item_windows(benchmark), "benchmark-windows")
     bounded = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sizes = [r["size"] for r in index.select("size").distinct().collect()] or [WINDOW]
@@ -76,28 +77,42 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = index.where(F.col("size") == size).drop("size")
         at = rows.select("doc_id", "content", "words", F.posexplode(_hashes(F.col("tokens"), size)).alias("at", "hash"))
         found = at.join(F.broadcast(own) if bounded else own, "hash").select(
-            "doc_id", "content", "item_id", "item_windows", "pos", "item_words", F.slice("words", F.col("at") + 1, size).alias("doc_words"))
+            "doc_id", "content", "item_id", "item_tokens", "item_windows", "pos", (F.col("at") - F.col("pos")).alias("shift"), "item_words", F.slice("words", F.col("at") + 1, size).alias("doc_words"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _occurrences() -> Column:
+    """Parts of a match's document that are judged: all of it, and the two overlapping bands of offsets the match lies in.
+
+    Bands are half as wide as the item, so that two copies never share one and values may change their length.
+    """
+    width = F.greatest(F.lit(2), F.floor(F.col("item_tokens") / 2))
+    part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at"))
+    return F.array(part("all", F.lit(0)), part("band", F.floor(F.col("shift") / width)), part("half", F.floor(F.col("shift") / width + 0.5)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (document, item) pairs: doc_id, content, item_id, coverage, slots, changed_slots, kind."""
     found = written(matches(docs, benchmark), "template-matches")
     pair = ["doc_id", "content", "item_id"]
-    covered = found.groupBy(*pair).agg((F.countDistinct("pos") / F.first("item_windows")).alias("coverage"))
-    aligned = found.select(*pair, F.explode(F.arrays_zip("item_words", "doc_words")).alias("slot")).where(F.startswith("slot.item_words", F.lit("#")))
-    per_value = aligned.groupBy(*pair, F.col("slot.item_words").alias("value")).agg(
+    parts = found.select("*", F.explode(_occurrences()).alias("occurrence"))
+    key = [*pair, "occurrence"]
+    covered = parts.groupBy(*key).agg((F.countDistinct("pos") / F.first("item_windows")).alias("coverage"))
+    aligned = parts.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("slot")).where(F.startswith("slot.item_words", F.lit("#")))
+    per_value = aligned.groupBy(*key, F.col("slot.item_words").alias("value")).agg(
         F.countDistinct("slot.doc_words").alias("meanings"), F.max((F.col("slot.doc_words") != F.col("slot.item_words")).cast("int")).alias("changed"))
-    slots = per_value.groupBy(*pair).agg(F.count(F.lit(1)).alias("slots"), F.sum("changed").alias("changed_slots"),
-                                         F.sum((F.col("meanings") > 1).cast("int")).alias("torn"))
-    same = lambda: [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in pair]
+    slots = per_value.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.sum("changed").alias("changed_slots"),
+                                        F.sum((F.col("meanings") > 1).cast("int")).alias("torn"))
+    same = lambda: [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
     joined = covered.alias("c").join(slots.alias("s"), same(), "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return (joined.where((F.col("coverage") >= COVERAGE) & (number("torn") * 3 <= number("slots")))
-            .select("c.doc_id", "c.content", "c.item_id", F.round("coverage", 6).alias("coverage"), number("slots").alias("slots"),
-                    number("changed_slots").alias("changed_slots"),
-                    F.when(number("changed_slots") > 0, "reparameterised").otherwise("verbatim").alias("kind")))
+    best = (joined.where((F.col("coverage") >= COVERAGE) & (number("torn") * 3 <= number("slots")))
+            .groupBy(*[F.col(f"c.{k}").alias(k) for k in pair])
+            .agg(F.max(F.struct("coverage", (-number("changed_slots")).alias("same"), number("slots").alias("slots"))).alias("best")))
+    return best.select("doc_id", "content", "item_id", F.round("best.coverage", 6).alias("coverage"), F.col("best.slots").alias("slots"),
+                       (-F.col("best.same")).alias("changed_slots"),
+                       F.when(F.col("best.same") < 0, "reparameterised").otherwise("verbatim").alias("kind"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
