@@ -8,10 +8,11 @@ same value in the document. Pairs with an occurrence that covers enough of an it
 verbatim or re-parameterised; the occurrence of most coverage, then of fewest changed values, describes the pair.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle of
-window hashes. Items shorter than a window are matched as a whole from ``LEAST`` tokens on; shorter ones cannot be told from
-chance and are ignored.
+window hashes. Windows made mostly of slots are matched by their real values. Items shorter than a window are matched
+as a whole, below ``LEAST`` tokens by their real values. Scripts without spaces count every letter as a token.
 
-Defined cases: NULL texts are empty and match nothing. Documents are told apart by doc_id and content, NULL ids too;
+Defined cases: NULL texts are empty and match nothing, items without tokens too. Different texts under one item_id, NULL
+too, are different items and get a row each. Documents are told apart by doc_id and content, NULL ids too;
 repeated rows are judged alike. Empty tables on either side give no pairs. Other columns pass through ``clean``.
 """
 
@@ -31,6 +32,7 @@ BROADCAST_WINDOWS = 2_000_000
 UNITS = ("mm|cm|m|km|in|inch|inches|ft|feet|foot|yd|yards?|miles?|mg|g|kg|tons?|lb|lbs|oz|ml|l|liters?|litres?|gallons?|s|sec|secs|seconds?|"
          "min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|kmh|mph|kph|w|kw|kwh|v|a|hz|mb|gb|tb")
 NAME, NUMBER, UNIT = "#n", "#0", "#u"
+UNSPACED = "([[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]&&\\p{L}]\\p{M}*)"
 
 
 def canonical(text: Column) -> Column:
@@ -38,48 +40,51 @@ def canonical(text: Column) -> Column:
     named = F.regexp_replace(text, "(?<=[\\p{L},;] )(\\p{Lu}\\p{L}+)", NAME + "$1")
     numbered = F.regexp_replace(named, "(?<![\\p{L}\\d#])(\\d+(?:[.,:]\\d+)*)", NUMBER + "$1")
     united = F.regexp_replace(numbered, f"(?<=\\d)( ?)({UNITS})(?![\\p{{L}}\\d])", f" {UNIT}$2")
-    return F.filter(F.split(F.lower(united), "[^\\p{L}\\p{M}\\d#]+", -1), lambda w: w != "")
+    spaced = F.regexp_replace(united, UNSPACED, " $1 ")
+    return F.filter(F.split(F.lower(spaced), "[^\\p{L}\\p{M}\\d#]+", -1), lambda w: w != "")
 
 
 def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("#")), F.substring(w, 1, 2)).otherwise(w))
 
 
-def _hashes(tokens: Column, size: int) -> Column:
-    """Hash of each window of ``size`` template tokens, in order."""
-    return F.when(F.size(tokens) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - F.lit(size - 1)), lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _windows(words: Column, tokens: Column, kinds: list[tuple[int, bool]]) -> Column:
+    """(at, hash) of each window of the given sizes, over real values where ``exact``, else over template tokens."""
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    own = lambda size, exact: F.when(F.size(words) >= size, F.transform(
+        F.sequence(F.lit(0), F.size(words) - F.lit(size)),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words if exact else tokens, i + 1, size)).alias("hash")))).otherwise(none)
+    return F.concat(*[own(size, exact) for size, exact in kinds])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, pos, hash, item_words (values of the window), item_tokens, item_windows. Windows made mostly of slots are left out."""
-    items = (benchmark.select("item_id", canonical(whole()).alias("words")).withColumn("tokens", template(F.col("words")))
-             .where(F.size("words") >= LEAST).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))))
-    at = F.posexplode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("pos", "start")
-    rows = items.select("item_id", "size", "words", "tokens", at)
-    window = F.slice("tokens", F.col("start"), F.col("size"))
-    rows = rows.select("item_id", "size", F.size("words").alias("item_tokens"), "pos", F.xxhash64(window).alias("hash"), F.slice("words", F.col("start"), F.col("size")).alias("item_words"),
-                       F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("#")))).alias("literal"))
-    kept = rows.where(F.col("literal") * 2 >= F.col("size")).drop("literal")
-    per_item = kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    return kept.join(per_item, "item_id").dropDuplicates(["item_id", "size", "pos"])
+    """One row per window of an item: item_id, item (digest of its text), size, item_tokens, pos, hash, exact (by real
+    values), literal_windows and item_windows (their numbers in the item), item_words (values of the window)."""
+    items = (benchmark.select("item_id", whole().alias("text")).select("item_id", F.xxhash64("text").alias("item"), canonical(F.col("text")).alias("words"))
+             .where(F.size("words") > 0).dropDuplicates(["item_id", "item"])
+             .withColumn("tokens", template(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))))
+    literal = lambda window: F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("#"))))
+    window = lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, F.col("size")).alias("item_words"), F.slice("tokens", i + 1, F.col("size")).alias("template"),
+                                ((F.size("words") < LEAST) | (literal(F.slice("tokens", i + 1, F.col("size"))) * 2 < F.col("size"))).alias("exact"))
+    items = items.withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), window))
+    rows = items.select("item_id", "item", "size", F.size("words").alias("item_tokens"), F.size("windows").alias("item_windows"),
+                        F.size(F.filter("windows", lambda w: ~w["exact"])).alias("literal_windows"), F.explode("windows").alias("w"))
+    return rows.select("item_id", "item", "size", "item_tokens", "item_windows", "literal_windows", "w.pos", "w.exact", "w.item_words",
+                       F.when(F.col("w.exact"), F.xxhash64("w.item_words")).otherwise(F.xxhash64("w.template")).alias("hash"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per window of a document that occurs in an item: doc_id, content, item_id, pos, shift (offset), both sides' values."""
+    """One row per window of a document that occurs in an item: doc_id, content, the item's columns, shift (offset), both sides' values."""
     index = written(item_windows(benchmark), "benchmark-windows")
     bounded = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    sizes = [r["size"] for r in index.select("size").distinct().collect()] or [WINDOW]
+    kinds = sorted((r["size"], r["exact"]) for r in index.select("size", "exact").distinct().collect()) or [(WINDOW, False)]
     rows = docs.select("doc_id", whole().alias("_text")).select("doc_id", F.xxhash64("_text").alias("content"), canonical(F.col("_text")).alias("words"))
     rows = rows.withColumn("tokens", template(F.col("words")))
-    out = None
-    for size in sizes:
-        own = index.where(F.col("size") == size).drop("size")
-        at = rows.select("doc_id", "content", "words", F.posexplode(_hashes(F.col("tokens"), size)).alias("at", "hash"))
-        found = at.join(F.broadcast(own) if bounded else own, "hash").select(
-            "doc_id", "content", "item_id", "item_tokens", "item_windows", "pos", (F.col("at") - F.col("pos")).alias("shift"), "item_words", F.slice("words", F.col("at") + 1, size).alias("doc_words"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    at = rows.select("doc_id", "content", "words", F.explode(_windows(F.col("words"), F.col("tokens"), kinds)).alias("w"))
+    at = at.select("doc_id", "content", "words", "w.at", "w.hash")
+    return at.join(F.broadcast(index) if bounded else index, "hash").select(
+        "doc_id", "content", "item_id", "item", "size", "item_tokens", "item_windows", "literal_windows", "pos", "exact",
+        (F.col("at") - F.col("pos")).alias("shift"), "item_words", F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words"))
 
 
 def _occurrences() -> Column:
@@ -95,10 +100,11 @@ def _occurrences() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (document, item) pairs: doc_id, content, item_id, coverage, slots, changed_slots, kind."""
     found = written(matches(docs, benchmark), "template-matches")
-    pair = ["doc_id", "content", "item_id"]
+    pair = ["doc_id", "content", "item_id", "item"]
     parts = found.select("*", F.explode(_occurrences()).alias("occurrence"))
     key = [*pair, "occurrence"]
-    covered = parts.groupBy(*key).agg((F.countDistinct("pos") / F.first("item_windows")).alias("coverage"))
+    share = lambda pos, total: F.coalesce(F.try_divide(F.size(F.collect_set(pos)), F.first(total)), F.lit(0.0))
+    covered = parts.groupBy(*key).agg(F.greatest(share(F.when(~F.col("exact"), F.col("pos")), "literal_windows"), share(F.col("pos"), "item_windows")).alias("coverage"))
     aligned = parts.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("slot")).where(F.startswith("slot.item_words", F.lit("#")))
     per_value = aligned.groupBy(*key, F.col("slot.item_words").alias("value")).agg(
         F.countDistinct("slot.doc_words").alias("meanings"), F.max((F.col("slot.doc_words") != F.col("slot.item_words")).cast("int")).alias("changed"))

@@ -21,3 +21,14 @@ def test_each_occurrence_is_judged_alone(spark):
     bench = table(spark, [(1, ITEM)], "item_id")
     assert pairs(docs, bench) == {(1, 1): "verbatim", (2, 1): "reparameterised", (3, 1): "verbatim", (4, 1): "reparameterised", (5, 1): "reparameterised"}
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def test_every_item_is_indexed(spark):
+    sums = "12 + 7, 45 + 19, 3 + 88, 61 + 24, 90 + 5, 17 + 33"
+    chinese = "如果一列火车早上出发，中午到达，路上花了多少时间"
+    bench = table(spark, [(1, sums), (None, ITEM), (3, "Zebras graze where rivers bend and tall reeds grow by the quiet mill"), (3, "Cobblers mend old boots while the rain drums on the tin roof above"),
+                          (4, "Define entropy"), (5, chinese), (6, "...")], "item_id")
+    docs = table(spark, [(1, f"Sums: {sums}."), (2, ITEM), (3, "Then cobblers mend old boots while the rain drums on the tin roof above"), (4, "Please define entropy now"),
+                         (5, "问题：" + chinese + "。"), (6, "Zebras graze where rivers bend and tall reeds grow by the quiet mill"), (7, "11 + 8, 44 + 20, 2 + 89, 60 + 25, 91 + 4, 16 + 34"), (8, "entropy, define")], "doc_id")
+    assert pairs(docs, bench) == dict.fromkeys([(1, 1), (2, None), (3, 3), (4, 4), (5, 5), (6, 3)], "verbatim")
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [7, 8]
