@@ -5,7 +5,7 @@ typed placeholders, the rest lower-case words. Windows of ``WINDOW`` template to
 hash-joined with those of the benchmark items. For every matching pair the values in the slots are aligned, once for the whole
 document and once for each occurrence (windows of about the same offset): an item's value must always stand for the
 same value in the document. Pairs with an occurrence that covers enough of an item and is consistent are leaks,
-verbatim or re-parameterised; the occurrence of most coverage, then of fewest changed values, describes the pair.
+verbatim or re-parameterised, and so are pairs with a consistent run of ``RUN`` words, however long the item; the occurrence of most coverage, then of fewest changed values, describes the pair.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle of
 window hashes. Windows made mostly of slots are matched by their real values. Items shorter than a window are matched
@@ -18,7 +18,7 @@ repeated rows are judged alike. Empty tables on either side give no pairs. Other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.llm.common import whole, written
@@ -27,6 +27,8 @@ WINDOW = 8
 LEAST = 4
 #: Share of an item's windows that must occur in the document.
 COVERAGE = 0.3
+#: Tokens of an unbroken run of matching windows that make a leak whatever the share.
+RUN = 13
 BROADCAST_WINDOWS = 2_000_000
 #: Units that may follow a number.
 UNITS = ("mm|cm|m|km|in|inch|inches|ft|feet|foot|yd|yards?|miles?|mg|g|kg|tons?|lb|lbs|oz|ml|l|liters?|litres?|gallons?|s|sec|secs|seconds?|"
@@ -37,7 +39,7 @@ UNSPACED = "([[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{
 
 def canonical(text: Column) -> Column:
     """Template tokens of a text: words, and ``#n``, ``#0``, ``#u`` followed by the value they stand for."""
-    named = F.regexp_replace(text, "(?<=[\\p{L},;] )(\\p{Lu}\\p{L}+)", NAME + "$1")
+    named = F.regexp_replace(text, "(?<=[\\p{L},;]\\s{1,8})(\\p{Lu}\\p{L}+)", NAME + "$1")
     numbered = F.regexp_replace(named, "(?<![\\p{L}\\d#])(\\d+(?:[.,:]\\d+)*)", NUMBER + "$1")
     united = F.regexp_replace(numbered, f"(?<=\\d)( ?)({UNITS})(?![\\p{{L}}\\d])", f" {UNIT}$2")
     spaced = F.regexp_replace(united, UNSPACED, " $1 ")
@@ -58,18 +60,19 @@ def _windows(words: Column, tokens: Column, kinds: list[tuple[int, bool]]) -> Co
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """One row per window of an item: item_id, item (digest of its text), size, item_tokens, pos, hash, exact (by real
+    """One row per window of an item: item_id, item (digest of its text), form (as it is or in lower case), size, item_tokens, pos, hash, exact (by real
     values), literal_windows and item_windows (their numbers in the item), item_words (values of the window)."""
-    items = (benchmark.select("item_id", whole().alias("text")).select("item_id", F.xxhash64("text").alias("item"), canonical(F.col("text")).alias("words"))
-             .where(F.size("words") > 0).dropDuplicates(["item_id", "item"])
+    items = (benchmark.select("item_id", whole().alias("text")).dropDuplicates(["item_id", "text"])
+             .select("item_id", F.xxhash64("text").alias("item"), F.posexplode(F.array_distinct(F.array("text", F.lower("text")))).alias("form", "text"))
+             .select("item_id", "item", "form", canonical(F.col("text")).alias("words")).where(F.size("words") > 0)
              .withColumn("tokens", template(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))))
     literal = lambda window: F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("#"))))
     window = lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, F.col("size")).alias("item_words"), F.slice("tokens", i + 1, F.col("size")).alias("template"),
                                 ((F.size("words") < LEAST) | (literal(F.slice("tokens", i + 1, F.col("size"))) * 2 < F.col("size"))).alias("exact"))
     items = items.withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), window))
-    rows = items.select("item_id", "item", "size", F.size("words").alias("item_tokens"), F.size("windows").alias("item_windows"),
+    rows = items.select("item_id", "item", "form", "size", F.size("words").alias("item_tokens"), F.size("windows").alias("item_windows"),
                         F.size(F.filter("windows", lambda w: ~w["exact"])).alias("literal_windows"), F.explode("windows").alias("w"))
-    return rows.select("item_id", "item", "size", "item_tokens", "item_windows", "literal_windows", "w.pos", "w.exact", "w.item_words",
+    return rows.select("item_id", "item", "form", "size", "item_tokens", "item_windows", "literal_windows", "w.pos", "w.exact", "w.item_words",
                        F.when(F.col("w.exact"), F.xxhash64("w.item_words")).otherwise(F.xxhash64("w.template")).alias("hash"))
 
 
@@ -83,28 +86,33 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = rows.select("doc_id", "content", "words", F.explode(_windows(F.col("words"), F.col("tokens"), kinds)).alias("w"))
     at = at.select("doc_id", "content", "words", "w.at", "w.hash")
     return at.join(F.broadcast(index) if bounded else index, "hash").select(
-        "doc_id", "content", "item_id", "item", "size", "item_tokens", "item_windows", "literal_windows", "pos", "exact",
+        "doc_id", "content", "item_id", "item", "form", "size", "item_tokens", "item_windows", "literal_windows", "pos", "exact",
         (F.col("at") - F.col("pos")).alias("shift"), "item_words", F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words"))
 
 
 def _occurrences() -> Column:
-    """Parts of a match's document that are judged: all of it, and the two overlapping bands of offsets the match lies in.
+    """Parts of a match's document that are judged: all of it, the two overlapping bands of offsets the match lies in, and its run.
 
     Bands are half as wide as the item, so that two copies never share one and values may change their length.
     """
     width = F.greatest(F.lit(2), F.floor(F.col("item_tokens") / 2))
-    part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at"))
-    return F.array(part("all", F.lit(0)), part("band", F.floor(F.col("shift") / width)), part("half", F.floor(F.col("shift") / width + 0.5)))
+    part = lambda kind, at, run=F.lit(0): F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at"), run.cast("bigint").alias("run"))
+    return F.array(part("all", F.lit(0)), part("band", F.floor(F.col("shift") / width)), part("half", F.floor(F.col("shift") / width + 0.5)),
+                   part("run", F.col("shift"), F.col("run")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (document, item) pairs: doc_id, content, item_id, coverage, slots, changed_slots, kind."""
     found = written(matches(docs, benchmark), "template-matches")
     pair = ["doc_id", "content", "item_id", "item"]
-    parts = found.select("*", F.explode(_occurrences()).alias("occurrence"))
-    key = [*pair, "occurrence"]
+    form = [*pair, "form"]
+    # Rows of a window share document, item and offset: at most the item's length.
+    run = F.col("pos") - F.dense_rank().over(Window.partitionBy(*form, "shift").orderBy("pos"))
+    parts = found.dropDuplicates([*form, "shift", "pos"]).withColumn("run", run).select("*", F.explode(_occurrences()).alias("occurrence"))
+    key = [*form, "occurrence"]
     share = lambda pos, total: F.coalesce(F.try_divide(F.size(F.collect_set(pos)), F.first(total)), F.lit(0.0))
-    covered = parts.groupBy(*key).agg(F.greatest(share(F.when(~F.col("exact"), F.col("pos")), "literal_windows"), share(F.col("pos"), "item_windows")).alias("coverage"))
+    covered = parts.groupBy(*key).agg(F.greatest(share(F.when(~F.col("exact"), F.col("pos")), "literal_windows"), share(F.col("pos"), "item_windows")).alias("coverage"),
+                                      (F.max("pos") - F.min("pos") + F.first("size")).alias("span"))
     aligned = parts.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("slot")).where(F.startswith("slot.item_words", F.lit("#")))
     per_value = aligned.groupBy(*key, F.col("slot.item_words").alias("value")).agg(
         F.countDistinct("slot.doc_words").alias("meanings"), F.max((F.col("slot.doc_words") != F.col("slot.item_words")).cast("int")).alias("changed"))
@@ -113,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = lambda: [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
     joined = covered.alias("c").join(slots.alias("s"), same(), "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    best = (joined.where((F.col("coverage") >= COVERAGE) & (number("torn") * 3 <= number("slots")))
+    best = (joined.where(((F.col("coverage") >= COVERAGE) | ((F.col("c.occurrence.kind") == "run") & (F.col("span") >= RUN))) & (number("torn") * 3 <= number("slots")))
             .groupBy(*[F.col(f"c.{k}").alias(k) for k in pair])
             .agg(F.max(F.struct("coverage", (-number("changed_slots")).alias("same"), number("slots").alias("slots"))).alias("best")))
     return best.select("doc_id", "content", "item_id", F.round("best.coverage", 6).alias("coverage"), F.col("best.slots").alias("slots"),

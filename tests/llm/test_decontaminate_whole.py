@@ -32,3 +32,16 @@ def test_every_item_is_indexed(spark):
                          (5, "问题：" + chinese + "。"), (6, "Zebras graze where rivers bend and tall reeds grow by the quiet mill"), (7, "11 + 8, 44 + 20, 2 + 89, 60 + 25, 91 + 4, 16 + 34"), (8, "entropy, define")], "doc_id")
     assert pairs(docs, bench) == dict.fromkeys([(1, 1), (2, None), (3, 3), (4, 4), (5, 5), (6, 3)], "verbatim")
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [7, 8]
+
+
+def test_passages_of_long_items(spark):
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}") + "o"
+    words = [word(k) for k in range(250)]
+    words[30], words[36] = "12", "15"
+    text = lambda start, n: "Before it. " + " ".join(words[start:start + n]) + " and after"
+    bench = table(spark, [(1, " ".join(words)), (2, "they walked along the shore when Maria met Jonas, and Anna told Peter about it, then Clara went home with Oskar again")], "item_id")
+    names = bench.where("item_id = 2").first().text
+    docs = table(spark, [(1, text(60, 60)), (2, text(100, 13)), (3, text(100, 12)), (4, text(25, 20).replace("12", "3").replace("15", "4")),
+                         (5, names.lower()), (6, names.replace(" ", "\n")), (7, " ".join(words[k] for j in range(0, 90, 9) for k in range(j, j + 7)))], "doc_id")
+    got = pairs(docs, bench)
+    assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (4, 1): "reparameterised", (5, 2): "verbatim", (6, 2): "verbatim"}
