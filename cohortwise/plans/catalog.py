@@ -663,7 +663,7 @@ def multi_metric_grid(spark, sf):
 def finetune_top2(spark, sf):
     data = _training(spark, sf)
     base = train_models(data, [*registry.LINEAR_KINDS, registry.TREE], "small", cv=False).results
-    tuned = finetune_top(data, base.where(F.col("model") != registry.OLS), search=Search(
+    tuned = finetune_top(data, base, search=Search(
         iterations=4, spaces=registry.FINE_SPACES), profile_name="small")
     data.release()
     return compare.append_tuned(base, tuned.results).drop("params")
