@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, near_dedup, quality, secret_scan, tool_calls, toxicity
+from cohortwise.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, near_dedup, quality, secret_scan, simhash, tool_calls, toxicity
 from cohortwise.llm.common import table
 
 
@@ -48,7 +48,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_decontamination, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_near_dedup, op8_license_scan, op9_chat_tool_calls, op10_toxicity)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_decontamination, op4_exact_dedup, op5_lm_scoring, op6_source_mixing,
+                                   op7_near_dedup, op8_license_scan, op9_chat_tool_calls, op10_toxicity, op11_simhash_near_dedup)}
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s, length(coalesce(text, '')) AS n FROM documents),
