@@ -151,7 +151,7 @@ PHRASES = [(1, None, "en"), (2, "", None), (3, "New York city. " * 12 + "new yor
 def test_phrases_of_odd_rows(spark, small, monkeypatch):
     ship(spark)
     if small:  # many chunks, tries, waves and parts
-        for name, value in {"SHARD_PHRASES": 3, "WAVE_BYTES": 1, "RANKED": 2}.items():
+        for name, value in {"SHARD_PHRASES": 3, "WAVE_BYTES": 1, "RANKED": 2, "FAN_IN": 1, "CHUNK_TOKENS": 50}.items():
             monkeypatch.setattr(collocations, name, value)
     assert got_phrases(collocations.collocations(frame(spark, PHRASES))) == plain_phrases(PHRASES)
     assert collocations.collocations(frame(spark, [])).count() == 0 and collocations.collocations(frame(spark, PHRASES[:2])).count() == 0
