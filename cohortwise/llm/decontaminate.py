@@ -3,12 +3,12 @@
 Texts are canonicalised: names (capitalised words inside a sentence), numbers and units after numbers become
 typed placeholders, the rest lower-case words. Windows of ``WINDOW`` template tokens of every document are
 hash-joined with those of the benchmark items. For every matching pair the values in the slots are aligned, once for the whole
-document and once for each occurrence (windows of about the same offset): an item's value must always stand for the
-same value in the document. Pairs with an occurrence that covers enough of an item and is consistent are leaks,
+document and once for each occurrence (windows of about the same offset): an item's value should always stand for the
+same value in the document, and does for two thirds of the slots at least. Pairs with an occurrence that covers enough of an item and is consistent are leaks,
 verbatim or re-parameterised, and so are pairs with a consistent run of ``RUN`` words, however long the item; the occurrence of most coverage, then of fewest changed values, describes the pair.
 
-The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle of
-window hashes. Windows made mostly of slots are matched by their real values. Items shorter than a window are matched
+Tokens are hashed once; only windows that pass a bitmap of the benchmark's hashes leave their document, with the words they
+hold. The benchmark's windows are broadcast up to ``BROADCAST_BYTES``; a larger benchmark is joined by a shuffle of window hashes. Windows made mostly of slots are matched by their real values. Items shorter than a window are matched
 as a whole, below ``LEAST`` tokens by their real values. Scripts without spaces count every letter as a token.
 
 Defined cases: NULL texts are empty and match nothing, items without tokens too. Different texts under one item_id, NULL
@@ -29,18 +29,22 @@ LEAST = 4
 COVERAGE = 0.3
 #: Tokens of an unbroken run of matching windows that make a leak whatever the share.
 RUN = 13
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of the benchmark's windows up to which they are broadcast.
+BROADCAST_BYTES = 64_000_000
+GATE_BITS = 22
 #: Units that may follow a number.
 UNITS = ("mm|cm|m|km|in|inch|inches|ft|feet|foot|yd|yards?|miles?|mg|g|kg|tons?|lb|lbs|oz|ml|l|liters?|litres?|gallons?|s|sec|secs|seconds?|"
          "min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|kmh|mph|kph|w|kw|kwh|v|a|hz|mb|gb|tb")
 NAME, NUMBER, UNIT = "#n", "#0", "#u"
-UNSPACED = "([[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]&&\\p{L}]\\p{M}*)"
+#: All these scripts lie beyond U+0E00.
+UNSPACED = "(?=[\\u0E00-\\x{10FFFF}])([[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]&&\\p{L}]\\p{M}*)"
 
 
 def canonical(text: Column) -> Column:
     """Template tokens of a text: words, and ``#n``, ``#0``, ``#u`` followed by the value they stand for."""
-    named = F.regexp_replace(text, "(?<=[\\p{L},;]\\s{1,8})(\\p{Lu}\\p{L}+)", NAME + "$1")
-    numbered = F.regexp_replace(named, "(?<![\\p{L}\\d#])(\\d+(?:[.,:]\\d+)*)", NUMBER + "$1")
+    # A look at the next letter comes first: it is cheap and fails almost everywhere.
+    named = F.regexp_replace(text, "(?=\\p{Lu})(?<=[\\p{L},;]\\s{1,8})(\\p{Lu}\\p{L}+)", NAME + "$1")
+    numbered = F.regexp_replace(named, "(?=\\d)(?<![\\p{L}\\d#])(\\d+(?:[.,:]\\d+)*)", NUMBER + "$1")
     united = F.regexp_replace(numbered, f"(?<=\\d)( ?)({UNITS})(?![\\p{{L}}\\d])", f" {UNIT}$2")
     spaced = F.regexp_replace(united, UNSPACED, " $1 ")
     return F.filter(F.split(F.lower(spaced), "[^\\p{L}\\p{M}\\d#]+", -1), lambda w: w != "")
@@ -50,15 +54,37 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("#")), F.substring(w, 1, 2)).otherwise(w))
 
 
-def _windows(words: Column, tokens: Column, kinds: list[tuple[int, bool]]) -> Column:
-    """(at, hash) of each window of the given sizes, over real values where ``exact``, else over template tokens."""
-    none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    own = lambda size, exact: F.when(F.size(words) >= size, F.transform(
-        F.sequence(F.lit(0), F.size(words) - F.lit(size)),
-        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words if exact else tokens, i + 1, size)).alias("hash")))).otherwise(none)
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(kinds: list[tuple[int, bool]], wanted) -> Column:
+    """(at, hash, doc_words) of the windows of the given sizes that ``wanted`` lets pass. ``exact`` and ``loose`` hold a hash per
+    token, by its real value and by its template."""
+    none = F.array().cast("array<struct<at:int,hash:bigint,doc_words:array<string>>>")
+
+    def own(size: int, exact: bool) -> Column:
+        tokens = "exact" if exact else "loose"
+        every = F.transform(F.sequence(F.lit(0), F.size("words") - F.lit(size)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, size)).alias("hash")))
+        passed = F.filter(every, lambda w: wanted(w["hash"]))
+        return F.when(F.size("words") >= size, F.transform(passed, lambda w: F.struct(w["at"].alias("at"), w["hash"].alias("hash"), F.slice("words", w["at"] + 1, size).alias("doc_words")))).otherwise(none)
     return F.concat(*[own(size, exact) for size, exact in kinds])
 
 
+def _gate(index: DataFrame, rows: int):
+    """A test that lets all hashes of ``index`` pass and few others: a bitmap, added up by groups, of at most 2**``GATE_BITS`` bits."""
+    bits = min(GATE_BITS, max(10, (32 * rows).bit_length()))
+    shift = lambda c, n: F.call_function("shiftrightunsigned", c, n)
+    place = lambda h: shift(h, F.lit(70 - bits)).cast("int")
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    parts = index.groupBy(place(F.col("hash")).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("hash")))).alias("bits"))
+    table = [0] * 2 ** (bits - 6)
+    for r in parts.collect():  # one row per 64 bits
+        table[r["place"]] = r["bits"]
+    literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into a constant
+    return lambda h: shift(F.get(literal, place(h)), bit(h)).bitwiseAND(F.lit(1)) == 1
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """One row per window of an item: item_id, item (digest of its text), form (as it is or in lower case), size, item_tokens, pos, hash, exact (by real
     values), literal_windows and item_windows (their numbers in the item), item_words (values of the window)."""
@@ -67,27 +93,27 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
              .select("item_id", "item", "form", canonical(F.col("text")).alias("words")).where(F.size("words") > 0)
              .withColumn("tokens", template(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))))
     literal = lambda window: F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("#"))))
-    window = lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, F.col("size")).alias("item_words"), F.slice("tokens", i + 1, F.col("size")).alias("template"),
+    window = lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, F.col("size")).alias("item_words"), F.xxhash64(F.slice("exact", i + 1, F.col("size"))).alias("of_words"), F.xxhash64(F.slice("loose", i + 1, F.col("size"))).alias("of_template"),
                                 ((F.size("words") < LEAST) | (literal(F.slice("tokens", i + 1, F.col("size"))) * 2 < F.col("size"))).alias("exact"))
+    items = written(items, "benchmark-tokens").withColumns({"exact": _hashed(F.col("words")), "loose": _hashed(F.col("tokens"))})
     items = items.withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), window))
     rows = items.select("item_id", "item", "form", "size", F.size("words").alias("item_tokens"), F.size("windows").alias("item_windows"),
                         F.size(F.filter("windows", lambda w: ~w["exact"])).alias("literal_windows"), F.explode("windows").alias("w"))
     return rows.select("item_id", "item", "form", "size", "item_tokens", "item_windows", "literal_windows", "w.pos", "w.exact", "w.item_words",
-                       F.when(F.col("w.exact"), F.xxhash64("w.item_words")).otherwise(F.xxhash64("w.template")).alias("hash"))
+                       F.when(F.col("w.exact"), F.col("w.of_words")).otherwise(F.col("w.of_template")).alias("hash"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per window of a document that occurs in an item: doc_id, content, the item's columns, shift (offset), both sides' values."""
     index = written(item_windows(benchmark), "benchmark-windows")
-    bounded = index.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(100 + F.octet_length(F.concat_ws(" ", "item_words"))).alias("b")).first()
     kinds = sorted((r["size"], r["exact"]) for r in index.select("size", "exact").distinct().collect()) or [(WINDOW, False)]
     rows = docs.select("doc_id", whole().alias("_text")).select("doc_id", F.xxhash64("_text").alias("content"), canonical(F.col("_text")).alias("words"))
-    rows = rows.withColumn("tokens", template(F.col("words")))
-    at = rows.select("doc_id", "content", "words", F.explode(_windows(F.col("words"), F.col("tokens"), kinds)).alias("w"))
-    at = at.select("doc_id", "content", "words", "w.at", "w.hash")
-    return at.join(F.broadcast(index) if bounded else index, "hash").select(
+    rows = rows.withColumns({"exact": _hashed(F.col("words")), "loose": _hashed(template(F.col("words")))})
+    at = rows.select("doc_id", "content", F.explode(_windows(kinds, _gate(index, size["n"]))).alias("w")).select("doc_id", "content", "w.*")
+    return at.join(F.broadcast(index) if (size["b"] or 0) <= BROADCAST_BYTES else index, "hash").select(
         "doc_id", "content", "item_id", "item", "form", "size", "item_tokens", "item_windows", "literal_windows", "pos", "exact",
-        (F.col("at") - F.col("pos")).alias("shift"), "item_words", F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words"))
+        (F.col("at") - F.col("pos")).alias("shift"), "item_words", "doc_words")
 
 
 def _occurrences() -> Column:
