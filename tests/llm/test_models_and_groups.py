@@ -37,6 +37,16 @@ def test_components(spark):
     assert got == {**{k: 1 for k in range(1, 41)}, 90: 90, 91: 90, 95: 90}
 
 
+def test_every_text_of_an_id_is_searched(spark):
+    """One id with three texts, and a near copy of each under another id."""
+    ship(spark)
+    texts = [" ".join(f"{c}{k}" for k in range(80)) for c in "abc"]
+    near = [" ".join(t.split()[:-1] + ["other"]) for t in texts]
+    rows = [(5, t, None, None, "clash") for t in texts] + [(i, t, None, None, "clash") for i, t in zip((10, 9, 11), near)] + [(20, "x " + texts[0][::-1], None, None, "")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {5: (5, True), 9: (5, False), 10: (5, False), 11: (5, False), 20: (20, True)}
+
+
 def near_plain(docs, size, percent):
     sets = {d: frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if (w := (t or "").encode().lower().split()) else frozenset() for d, t in docs}
     least = {d: d for d in sets}
