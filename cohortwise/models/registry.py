@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
+
+from cohortwise.models.growth import Growth
 
 SEED = 42
 
@@ -20,7 +22,7 @@ BOOSTED = (BOOSTING, SUBSAMPLED, SLOW, HISTOGRAM)
 
 @dataclass(frozen=True)
 class TreeSpec:
-    """A tree-based model as Spark parameters. Boosting profiles are Spark's own boosted trees."""
+    """A tree-based model of Spark's own, by its parameters."""
 
     name: str
     estimator: type
@@ -32,20 +34,47 @@ class TreeSpec:
         return self.estimator(featuresCol="features", labelCol="label", predictionCol="prediction", **accepted)
 
 
-def tree_models(profile: str = "full") -> dict[str, TreeSpec]:
-    """``full`` mirrors the usual settings; ``small`` keeps forests and boosting short."""
+@dataclass(frozen=True)
+class GrownSpec:
+    """A tree or boosted model that grows from shared histograms; candidates come in the vocabulary of Spark parameters."""
+
+    name: str
+    growth: Growth
+
+    def grown(self, **changes) -> Growth:
+        names = {"maxIter": "rounds", "maxDepth": "depth", "minInstancesPerNode": "least", "stepSize": "step", "subsamplingRate": "rows", "maxBins": "bins", "seed": "seed"}
+        known = {names[k]: v for k, v in changes.items() if k in names}
+        share = changes.get("featureSubsetStrategy")
+        if share is not None:
+            known["columns"] = 1.0 if share == "all" else float(share)
+        if "depth" in known and self.growth.shape != "level":
+            known["depth"] = min(known["depth"], MAX_SHAPED_DEPTH)
+        return replace(self.growth, **known)
+
+    def parameters(self, growth: Growth) -> dict[str, str]:
+        return {k: str(v) for k, v in vars(growth).items()}
+
+
+#: Depth of symmetric and leaf-wise trees: a level of 2**12 nodes is the most they look at.
+MAX_SHAPED_DEPTH = 12
+
+
+def tree_models(profile: str = "full") -> dict[str, TreeSpec | GrownSpec]:
+    """``full`` mirrors the usual settings; ``small`` keeps forests and boosting short.
+
+    The three boosting profiles differ in algorithm: rows and columns sampled for each tree with penalised leaves,
+    symmetric trees in small steps, and best-first trees over fine histograms.
+    """
     full = profile == "full"
     trees, rounds = (200, 100) if full else (10, 5)
     specs = [
         TreeSpec(FOREST, RandomForestRegressor, dict(numTrees=trees, maxDepth=30 if full else 8,
                                                      featureSubsetStrategy="all", seed=SEED)),
-        TreeSpec(BOOSTING, GBTRegressor, dict(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED)),
-        TreeSpec(TREE, DecisionTreeRegressor, dict(maxDepth=10, seed=SEED)),
-        TreeSpec(SUBSAMPLED, GBTRegressor, dict(maxIter=rounds, maxDepth=6 if full else 4, stepSize=0.3,
-                                                subsamplingRate=0.8, featureSubsetStrategy="0.6", seed=SEED)),
-        TreeSpec(SLOW, GBTRegressor, dict(maxIter=rounds, maxDepth=6 if full else 4, stepSize=0.05, seed=SEED)),
-        TreeSpec(HISTOGRAM, GBTRegressor, dict(maxIter=rounds, maxDepth=5 if full else 4, stepSize=0.1, maxBins=256,
-                                               minInstancesPerNode=20, seed=SEED)),
+        GrownSpec(BOOSTING, Growth(rounds=rounds, depth=3, step=0.1)),
+        GrownSpec(TREE, Growth(depth=10)),
+        GrownSpec(SUBSAMPLED, Growth(rounds=rounds, depth=6 if full else 4, step=0.3, l2=1.0, rows=0.8, columns=0.6)),
+        GrownSpec(SLOW, Growth(rounds=rounds, depth=6 if full else 4, step=0.05, l2=3.0, shape="symmetric")),
+        GrownSpec(HISTOGRAM, Growth(rounds=rounds, depth=6 if full else 4, step=0.1, least=20, shape="leaves", bins=255)),
     ]
     return {s.name: s for s in specs}
 
@@ -77,6 +106,7 @@ SEARCH_SPACES = {
     SLOW: {"n_estimators": [200, 500, 800, 1200, 1600], "learning_rate": [0.3, 0.1, 0.05, 0.01, 0.005, 0.001],
            "max_depth": [3, 4, 5, 6, 8]},
 }
+# Finer spaces of the second search.
 FINE_SPACES = {
     RIDGE: {"alpha": log_space(-4, 3, 40)},
     LASSO: {"alpha": log_space(-4, 3, 40), "max_iter": [2000, 5000, 10000], "tol": [1e-3, 1e-4]},
@@ -85,7 +115,7 @@ FINE_SPACES = {
     TREE: SEARCH_SPACES[TREE],
     BOOSTING: SEARCH_SPACES[BOOSTING],
 }
-# (kind, low, high): int steps of 100 or 1, log-uniform and uniform ranges.
+# Fixed values. (kind, low, high): int steps of 100 or 1, log-uniform and uniform ranges.
 RANGES = {
     SUBSAMPLED: {"n_estimators": ("hundreds", 200, 1600), "max_depth": ("int", 3, 12),
                  "learning_rate": ("log", 1e-4, 0.3), "subsample": ("uniform", 0.6, 1.0), "colsample": ("uniform", 0.6, 1.0)},

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.bounded import collect_bounded, small_frame
 from cohortwise.config import CohortConfig
-from cohortwise.models import linear, registry
+from cohortwise.models import growth, linear, registry, sampler
 from cohortwise.operators.evaluate import metric_columns
 from cohortwise.operators.stats import medians
 from cohortwise.operators.transform import fill, power_transform
@@ -41,6 +41,7 @@ class TrainingData:
     fills: dict[str, dict[str, float]]
     _vectors: dict = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
+    _grower: growth.Grower | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -70,7 +71,17 @@ class TrainingData:
                 self._vectors[cohort] = assembled.select("label", "split", "fold", "features").persist(StorageLevel.MEMORY_AND_DISK)
             return self._vectors[cohort]
 
+    @property
+    def grower(self) -> growth.Grower:
+        """Binned blocks of all cohorts, shared by every tree that grows from histograms."""
+        if self._grower is None:
+            self._grower = growth.Grower(self.rows, self.target, self.cohort, self.chosen)
+        return self._grower
+
     def release(self) -> None:
+        if self._grower is not None:
+            self._grower.release()
+            self._grower = None
         for df in (self.rows, *self._vectors.values()):
             df.unpersist()
 
@@ -286,6 +297,101 @@ def train_tree(data: TrainingData, cohort: str, spec: registry.TreeSpec, cv: boo
         return _record(data, cohort, name, variant) | {"status": "failed", "error": reason}, None
 
 
+# --- trees from shared histograms -------------------------------------------
+
+def _fold_metrics(grown: growth.Grown, cohort: str, index: int) -> list[tuple]:
+    """(fold, mae, rmse, r2) of the left-out folds."""
+    return [(fold, *values[1:]) for (c, i, fold, split), values in sorted(grown.scores.items(), key=lambda kv: kv[0][2])
+            if c == cohort and i == index and split == "cv"]
+
+
+def _grown_values(grown: growth.Grown, cohort: str, index: int) -> dict:
+    part = {s: grown.scores.get((cohort, index, growth.FINAL, s)) for s in ("train", "test")}
+    train, test = part["train"], part["test"]
+    return {"train_mae": train and train[1], "train_r2": train and train[3],
+            "test_mae": test and test[1], "test_rmse": test and test[2], "test_r2": test and test[3]}
+
+
+def grown_pipeline(data: TrainingData, cohort: str, grown: growth.Grown, index: int, growth_: growth.Growth) -> PipelineModel:
+    """The trees as a saveable pipeline: fill gaps, then one SQL expression over flat node arrays."""
+    names, fit = data.chosen[cohort], grown.fits[cohort, index]
+    formula = growth.prediction_sql(fit.base, grown.trees(cohort, index, growth_), [f"__x_{f}" for f in names], growth_.depth)
+    return PipelineModel(stages=[data.stages(cohort)[0], SQLTransformer(statement=f"SELECT *, {formula} AS prediction FROM __THIS__")])
+
+
+def train_grown(data: TrainingData, wanted: dict[str, list[registry.GrownSpec]], cv: bool = True, candidates=None, metric: str = "mae",
+                label=lambda n: n, variant: str = "base"):
+    """Cross-validate, search and fit the models ``wanted`` by cohort: (records, models, importances).
+
+    All of them grow in the same passes; final trees grow for the winners only. ``candidates`` gives the parameter sets of
+    a model. If a pass fails, the models are tried one by one, so that only the failing ones are reported as failed.
+    """
+    specs = list({s.name: s for each in wanted.values() for s in each}.values())
+    try:
+        return _train_grown(data, wanted, specs, cv, candidates or (lambda name: ()), metric, label, variant)
+    except Exception as error:
+        if len(specs) > 1:
+            parts = [train_grown(data, {c: [s for s in each if s.name == spec.name] for c, each in wanted.items()}, cv, candidates, metric, label, variant) for spec in specs]
+            return sum((p[0] for p in parts), []), {k: v for p in parts for k, v in p[1].items()}, {k: v for p in parts for k, v in p[2].items()}
+        reason = str(error) or type(error).__name__
+        return [_record(data, c, label(s.name), variant) | {"status": "failed", "error": reason} for c, each in wanted.items() for s in each], {}, {}
+
+
+def _train_grown(data, wanted, specs, cv, candidates, metric, label, variant):
+    changes = {s.name: [dict(c) for c in candidates(s.name)] for s in specs}
+    growths, at = [], {}
+    for s in specs:
+        for k, change in enumerate([{}, *changes[s.name]]):
+            at[s.name, k] = len(growths)
+            growths.append(s.grown(**change))
+    base_cv = cv and variant == "base"
+    scored = None
+    if any(changes.values()):
+        scored = data.grower.grow(growths, folds=True, final=False)
+    winner: dict[tuple[str, str], int] = {}
+    column = {"mae": 0, "rmse": 1, "r2": 2}[metric]
+    for c, each in wanted.items():
+        for s in each:
+            means = {k: statistics.fmean(v) for k in range(1, len(changes[s.name]) + 1)
+                     if (v := [m[1 + column] for m in _fold_metrics(scored, c, at[s.name, k]) if m[1 + column] is not None])} if scored else {}
+            winner[c, s.name] = _best(means, metric) or 0
+    finals = sorted({at[n, k] for (_, n), k in winner.items()})
+    grown = data.grower.grow([growths[i] for i in finals], folds=base_cv and scored is None, final=True)
+    records, models, importances = [], {}, {}
+    for c, each in wanted.items():
+        for s in each:
+            k = winner[c, s.name]
+            chosen, index = growths[at[s.name, k]], finals.index(at[s.name, k])
+            if (c, index) not in grown.fits:
+                records.append(_record(data, c, label(s.name), variant) | {"status": "failed", "error": "no training rows or features"})
+                continue
+            values = _grown_values(grown, c, index)
+            folds = lambda source, i: [m[1] for m in _fold_metrics(source, c, i)]
+            if base_cv and (maes := folds(*((scored, at[s.name, 0]) if scored else (grown, index)))):
+                values["base_cv_mae_mean"], values["base_cv_mae_std"] = statistics.fmean(maes), statistics.pstdev(maes)
+            if k and (maes := folds(scored, at[s.name, k])):
+                values["tuned_cv_mae_mean"], values["tuned_cv_mae_std"] = statistics.fmean(maes), statistics.pstdev(maes)
+            records.append(_record(data, c, label(s.name), variant, params=s.parameters(chosen), **values))
+            models[c, label(s.name)] = grown_pipeline(data, c, grown, index, chosen)
+            importances[c, label(s.name)] = grown.importances(c, index, chosen)
+    return records, models, importances
+
+
+def sequential_trials(data: TrainingData, spec: registry.GrownSpec, ranges: dict[str, tuple], iterations: int = 30, batch: int = 10,
+                      metric: str = "mae", seed: int = registry.SEED) -> DataFrame:
+    """Trials of a sequential search, cross-validated; a batch grows in shared passes for all cohorts. ``chosen`` marks the best."""
+    column, sign = {"mae": (1, 1.0), "rmse": (2, 1.0), "r2": (3, -1.0)}[metric]
+
+    def losses(points: list[dict]) -> dict[str, list[float | None]]:
+        grown = data.grower.grow([spec.grown(**registry.spark_params(p, spec.name in registry.BOOSTED)) for p in points], final=False)
+        mean = lambda values: sign * statistics.fmean(values) if values else None
+        return {c: [mean([m[column] for m in _fold_metrics(grown, c, i) if m[column] is not None]) for i in range(len(points))] for c in data.chosen}
+
+    trials = sampler.sequential_search(data.spark, sorted(data.chosen), spec.name, ranges, losses, iterations, batch, seed)
+    best = trials.groupBy("cohort").agg(F.min(F.struct("loss", "trial")).alias("b")).select("cohort", F.col("b.trial").alias("best"))
+    return trials.join(F.broadcast(best), "cohort").withColumn("chosen", F.col("trial") == F.col("best")).drop("best")
+
+
 # --- orchestration --------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -321,7 +427,13 @@ def train_models(data: TrainingData, names: Sequence[str] | None = None, profile
     if wanted:
         records, fits = train_linear(data, wanted, scaler, search)
         models = {key: linear_pipeline(data, fit) for key, fit in fits.items()}
-    jobs = [(c, trees[n]) for c in data.chosen for n in names if n in trees]
+    grown = [trees[n] for n in names if isinstance(trees.get(n), registry.GrownSpec)]
+    gains: dict = {}
+    if grown:
+        found, formulas, gains = train_grown(data, {c: grown for c in data.chosen}, cv, search.spark_candidates if search else None, search.metric if search else "mae")
+        records = records + found
+        models |= formulas
+    jobs = [(c, trees[n]) for c in data.chosen for n in names if isinstance(trees.get(n), registry.TreeSpec)]
 
     def run(job):
         cohort, spec = job
@@ -333,20 +445,22 @@ def train_models(data: TrainingData, names: Sequence[str] | None = None, profile
             records.append(record)
             if model is not None:
                 models[record["cohort"], record["model"]] = model
-    return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits))
+    return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits, gains))
 
 
 def results_frame(spark: SparkSession, records: Sequence[dict]) -> DataFrame:
     return small_frame(spark, [tuple(r.get(f) for f in _FIELDS) for r in records], RESULT_SCHEMA)
 
 
-def importance_frame(data: TrainingData, models: dict, fits: dict) -> DataFrame:
+def importance_frame(data: TrainingData, models: dict, fits: dict, gains: dict | None = None) -> DataFrame:
     """(target, cohort, model, feature, importance, sign): tree importances or absolute coefficients."""
     rows = []
     for (cohort, name), model in models.items():
         fit = fits.get((cohort, name))
         if fit is not None:
             pairs = zip(fit.features, fit.coefficients)
+        elif gains and (cohort, name) in gains:
+            pairs = zip(data.chosen[cohort], gains[cohort, name])
         else:
             pairs = zip(data.chosen[cohort], model.stages[-1].featureImportances.toArray())
         for feature, value in pairs:
@@ -376,7 +490,16 @@ def finetune_top(data: TrainingData, base: DataFrame, k: int = 2, rank_by: str =
         linear_names = [n for n in registry.LINEAR_KINDS if any((c, n) in top for c in plan)]
         records, fits = _linear_records(data, plan, linear_names, points, search.metric, label, "tuned")
         models = {key: linear_pipeline(data, fit) for key, fit in fits.items()}
-    jobs = [(c, n) for c, n in top if n in trees]
+    grown: dict[str, list] = {}
+    for c, n in top:
+        if isinstance(trees.get(n), registry.GrownSpec):
+            grown.setdefault(c, []).append(trees[n])
+    gains: dict = {}
+    if grown:
+        found, formulas, gains = train_grown(data, grown, False, lambda n: _tuning_candidates(search, n) or [{}], search.metric, label, "tuned")
+        records = records + found
+        models |= formulas
+    jobs = [(c, n) for c, n in top if isinstance(trees.get(n), registry.TreeSpec)]
     run = lambda job: train_tree(data, job[0], trees[job[1]], False, _tuning_candidates(search, job[1]) or [{}],
                                  search.metric, parallelism, label(job[1]), "tuned")
     with ThreadPoolExecutor(max(1, min(parallelism, len(jobs) or 1))) as pool:
@@ -384,7 +507,7 @@ def finetune_top(data: TrainingData, base: DataFrame, k: int = 2, rank_by: str =
             records.append(record)
             if model is not None:
                 models[record["cohort"], record["model"]] = model
-    return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits))
+    return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits, gains))
 
 
 def _tuning_candidates(search: Search, name: str) -> list[dict]:
@@ -395,10 +518,14 @@ def _tuning_candidates(search: Search, name: str) -> list[dict]:
     return search.spark_candidates(name)
 
 
-def multi_metric_search(data: TrainingData, cohort: str, spec: registry.TreeSpec, candidates: Sequence[dict],
+def multi_metric_search(data: TrainingData, cohort: str, spec: registry.TreeSpec | registry.GrownSpec, candidates: Sequence[dict],
                         parallelism: int = 4) -> DataFrame:
     """Mean MAE, RMSE and R2 of every candidate; ``chosen`` marks the lowest MAE."""
-    scores = fold_scores(data, cohort, spec, candidates, parallelism)
+    if isinstance(spec, registry.GrownSpec):
+        grown = data.grower.grow([spec.grown(**c) for c in candidates], final=False)
+        scores = [(i, *m) for i in range(len(candidates)) for m in _fold_metrics(grown, cohort, i)]
+    else:
+        scores = fold_scores(data, cohort, spec, candidates, parallelism)
     means = {m: _mean_by_candidate(scores, m) for m in ("mae", "rmse", "r2")}
     best = _best(means["mae"], "mae")
     rows = [(cohort, spec.name, i, {k: str(v) for k, v in p.items()}, *(means[m].get(i) for m in ("mae", "rmse", "r2")), i == best)

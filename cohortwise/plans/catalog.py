@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.bounded import attach, collect_bounded, materialize, scratch_dir, small_frame
-from cohortwise.models import linear, registry
+from cohortwise.models import growth, linear, registry
 from cohortwise.models.train import (
-    Search, compare_scalers, finetune_top, linear_scores, multi_metric_search, train_linear, train_models,
-    train_single_features, train_tree, training_data, results_frame)
+    Search, compare_scalers, finetune_top, linear_scores, multi_metric_search, sequential_trials, train_linear, train_models,
+    train_single_features, training_data, results_frame)
 from cohortwise.operators import compare, prepare as prep, stats, transform
 from cohortwise.operators.evaluate import predicted_vs_actual, regression_metrics
 from cohortwise.operators.features import FEATURES, candidate_names, engineer, feature_column, range_columns, value_ranges
@@ -30,7 +30,8 @@ RATIO = UNITS.ratio_name
 MILEAGE, MAINTENANCE = "mileage_km", "maintenance_cost_annual"
 FIRST, SECOND = "F", "O"
 SCALED = ["torque_Nm", "energy_storage_capacity", "lifespan_years"]
-SMALL = RunOptions(profile="small", cross_validate=False, finetune=0)
+#: Rounds of boosting in the search over its ranges.
+ROUNDS = 20
 
 
 def rounded(column: Column | str, digits: int, name: str | None = None) -> Column:
@@ -421,7 +422,7 @@ def search_winner(spark, sf):
 
 def pooled_ols(spark, sf):
     result = runs.run_pooled(units(spark, sf, UNITS.components), MILEAGE, UNITS, [RATIO], RunOptions(
-        models=[registry.OLS], cross_validate=False, profile="small"))
+        models=[registry.OLS], cross_validate=False))
     return round_all(result.select("train_mae", "train_r2", "test_mae", "test_rmse", "test_r2"), 6)
 
 
@@ -604,19 +605,31 @@ def _training(spark, sf, target=MAINTENANCE):
     return runs.train_from(table(spark, sf), target, UNITS)[2]
 
 
-def _trees(spark, sf, names, cv=False):
+def _trees(spark, sf, names, cv=True, search=None):
     data = _training(spark, sf)
-    results = train_models(data, names, "small", cv=cv).results
+    results = train_models(data, names, cv=cv, search=search).results
     data.release()
     return results.drop("params")
 
 
 def decision_tree(spark, sf):
-    return _trees(spark, sf, [registry.TREE], cv=True)
+    return _trees(spark, sf, [registry.TREE])
+
+
+def depth_two_trees(spark, sf):
+    """Trees of two levels over eight bins of equal width, on all rows and with each fold left out: their scores."""
+    names = [RATIO, "cost_per_km"]
+    data = _split_by_cohort(_roles_prepared(spark, sf, MILEAGE, names), MILEAGE, names)
+    grower = growth.Grower(data.rows, MILEAGE, C, data.chosen, growth.width_edges)
+    grown = grower.grow([growth.Growth(depth=2, bins=8)])
+    grower.release()
+    data.release()
+    rows = [(c, fold, split, *values) for (c, _, fold, split), values in sorted(grown.scores.items())]
+    return round_all(small_frame(spark, rows, "cohort string, left_out int, split string, n bigint, mae double, rmse double, r2 double"), 4)
 
 
 def random_forest(spark, sf):
-    return _trees(spark, sf, [registry.FOREST])
+    return _trees(spark, sf, [registry.FOREST], cv=False)
 
 
 def boosted_trees(spark, sf):
@@ -635,50 +648,57 @@ def linear_models(spark, sf):
 
 
 def random_search(spark, sf):
-    return _tuned_tree(spark, sf, Search(iterations=2, spaces={registry.TREE: {
-        "max_depth": [3, 6, 8], "min_samples_leaf": [1, 8, 16]}}), registry.TREE)
+    """Thirty candidates of the tree's space, five folds, both cohorts."""
+    return _trees(spark, sf, [registry.TREE], search=Search())
 
 
-def loguniform_search(spark, sf):
-    return _tuned_tree(spark, sf, Search("ranges", iterations=2, ranges={registry.BOOSTING: {
-        "max_depth": ("int", 2, 3), "learning_rate": ("log", 0.05, 0.3), "subsample": ("uniform", 0.6, 1.0)}}), registry.BOOSTING)
+def sequential_search(spark, sf):
+    """Thirty trials of the tree's ranges, proposed in three batches."""
+    data = _training(spark, sf)
+    ranges = {"max_depth": ("int", 2, 30), "min_samples_leaf": ("int", 1, 50), "min_samples_split": ("int", 2, 100)}
+    trials = sequential_trials(data, registry.tree_models()[registry.TREE], ranges)
+    data.release()
+    return trials.drop("params")
 
 
-def _tuned_tree(spark, sf, search, name):
+def loguniform_search(spark, sf):
+    """Trials over the ranges of boosting; the number of rounds stays at ``ROUNDS``, a growth of the range's 1500 takes too many passes here."""
     data = _training(spark, sf)
-    spec = registry.tree_models("small")[name]
-    records = [train_tree(data, c, spec, False, search.spark_candidates(name))[0] for c in sorted(data.chosen)]
+    ranges = {k: v for k, v in registry.RANGES[registry.BOOSTING].items() if k != "n_estimators"}
+    spec = registry.tree_models()[registry.BOOSTING]
+    trials = sequential_trials(data, registry.GrownSpec(spec.name, spec.grown(maxIter=ROUNDS)), ranges, iterations=30, batch=15)
     data.release()
-    return results_frame(spark, records).drop("params")
+    return trials.drop("params")
 
 
 def multi_metric_grid(spark, sf):
+    """The whole grid of the tree's space by three metrics."""
     data = _training(spark, sf)
-    spec = registry.tree_models("small")[registry.TREE]
-    parts = [multi_metric_search(data, c, spec, [{"maxDepth": 3}, {"maxDepth": 6}]) for c in sorted(data.chosen)]
+    spec = registry.tree_models()[registry.TREE]
+    points = Search("grid").spark_candidates(registry.TREE)
+    parts = [multi_metric_search(data, c, spec, points) for c in sorted(data.chosen)]
     data.release()
     return reduce(DataFrame.unionByName, parts).drop("params")
 
 
 def finetune_top2(spark, sf):
     data = _training(spark, sf)
-    base = train_models(data, [*registry.LINEAR_KINDS, registry.TREE], "small", cv=False).results
-    tuned = finetune_top(data, base, search=Search(
-        iterations=4, spaces=registry.FINE_SPACES), profile_name="small")
+    base = train_models(data, _RUN_MODELS).results
+    tuned = finetune_top(data, base)
     data.release()
     return compare.append_tuned(base, tuned.results).drop("params")
 
 
 def feature_importance(spark, sf):
     data = _training(spark, sf)
-    trained = train_models(data, [registry.RIDGE, registry.TREE], "small", cv=False)
+    trained = train_models(data, [registry.RIDGE, registry.TREE], cv=False)
     data.release()
     return compare.top_importances(trained.importances)
 
 
 def scaler_model_grid(spark, sf):
     data = _training(spark, sf)
-    rows = compare_scalers(data, [registry.TREE], "small")
+    rows = compare_scalers(data, [registry.TREE, registry.BOOSTING])
     data.release()
     return rows
 
@@ -687,30 +707,28 @@ _RUN_MODELS = [*registry.LINEAR_KINDS, registry.TREE]
 
 
 def single_target_run(spark, sf):
-    options = RunOptions(models=_RUN_MODELS, profile="small", cross_validate=False,
-                         finetune_search=Search(iterations=3, spaces=registry.FINE_SPACES))
+    options = RunOptions(models=_RUN_MODELS, search=Search())
     return runs.run_target(table(spark, sf), MAINTENANCE, UNITS, options).rankings.drop("params")
 
 
 def multi_target_run(spark, sf):
-    options = RunOptions(models=[registry.OLS, registry.TREE], profile="small", cross_validate=False, finetune=0)
+    options = RunOptions(models=_RUN_MODELS, finetune=0)
     return runs.union_results(runs.run_targets(units(spark, sf), UNITS.targets, UNITS, options)).drop("params")
 
 
 def plain_run(spark, sf):
-    options = RunOptions(models=_RUN_MODELS, profile="small", cross_validate=False)
-    return runs.run_plain(table(spark, sf), RATIO, UNITS, options).drop("params")
+    return runs.run_plain(table(spark, sf), RATIO, UNITS, RunOptions(models=_RUN_MODELS)).drop("params")
 
 
 def final_report_best(spark, sf):
-    options = RunOptions(models=_RUN_MODELS, profile="small", cross_validate=False, finetune=0)
+    options = RunOptions(models=_RUN_MODELS, finetune=0)
     run = runs.run_target(table(spark, sf), MILEAGE, UNITS, options)
     return runs.final_report(run.rankings, run.importances)["best_importances"]
 
 
 def run_summary_json(spark, sf):
     path = _folder(spark, "summary")
-    options = RunOptions(models=[registry.OLS, registry.RIDGE], profile="small", finetune=0)
+    options = RunOptions(models=[registry.OLS, registry.RIDGE], finetune=0)
     run = runs.run_target(table(spark, sf), MILEAGE, UNITS, options)
     names = [n for n in candidate_names(None, MILEAGE, UNITS) if n not in UNITS.originals]
     summary = sinks.run_summary(run.results, run.selection, UNITS.originals, names)
@@ -721,7 +739,7 @@ def run_summary_json(spark, sf):
 
 def model_parameters(spark, sf):
     data = _training(spark, sf)
-    trained = train_models(data, [registry.RIDGE, registry.TREE], "small", cv=False)
+    trained = train_models(data, [registry.RIDGE, registry.TREE], cv=False)
     data.release()
     return sinks.parameters(trained.results)
 
@@ -731,7 +749,7 @@ def model_roundtrip(spark, sf):
     df = engineered(spark, sf, MAINTENANCE)
     selection = select_features(df, MAINTENANCE, UNITS)
     data = training_data(df, MAINTENANCE, selection.chosen, UNITS, selection.fills)
-    trained = train_models(data, [registry.TREE], "small", cv=False)
+    trained = train_models(data, [registry.TREE], cv=False)
     base = _folder(spark, "models")
     parts = None
     for c in sorted(selection.chosen):
@@ -757,7 +775,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     model_cohort_pivot, cv_stability, predictable_cohort, target_leaderboard, scaler_results, scaler_summary,
     scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, scaler_pivot_file,
     importances_file, scaler_target_summary, csv_scan,
-    cohort_files, rankings_file, scaler_file, selected_features_file, decision_tree, random_forest, boosted_trees,
+    cohort_files, rankings_file, scaler_file, selected_features_file, decision_tree, depth_two_trees, sequential_search, random_forest, boosted_trees,
     boosting_profiles, linear_models, random_search, loguniform_search, multi_metric_grid, finetune_top2,
     feature_importance, scaler_model_grid, single_target_run, multi_target_run, plain_run, final_report_best,
     run_summary_json, model_parameters, model_roundtrip)}

@@ -317,8 +317,39 @@ fences AS (SELECT quantile_cont(efficiency, 0.25) AS q1, quantile_cont(efficienc
 kept AS (SELECT lines.* FROM lines, fences WHERE {_inside('efficiency')})"""
 
 
+def _depth_two() -> str:
+    """Trees of two levels over eight equally wide bins, by trying every split in plain SQL; six fits by cohort (-1: all rows)."""
+    code = lambda k: " + ".join(f"CASE WHEN x{k} > low{k} + {b} * ((high{k} - low{k}) / 8.0) THEN 1 ELSE 0 END" for b in range(1, 8))
+    fit = "cohort, left_out"
+
+    def level(source: str, node: str, out: str) -> str:
+        cells = " UNION ALL ".join(f"SELECT {fit}, {node} AS node, {k} AS f, c{k} AS b, g FROM {source} WHERE learn" for k in (0, 1))
+        over = f"PARTITION BY {fit}, node, f"
+        return f"""
+h{out} AS (SELECT {fit}, node, f, b, count(*) AS n, sum(g) AS s FROM ({cells}) GROUP BY ALL),
+l{out} AS (SELECT {fit}, node, f, b, sum(n) OVER ({over} ORDER BY b) AS nl, sum(s) OVER ({over} ORDER BY b) AS sl, sum(n) OVER ({over}) AS n, sum(s) OVER ({over}) AS s FROM h{out}),
+p{out} AS (SELECT {fit}, node, f, b FROM l{out} WHERE nl < n QUALIFY row_number() OVER (PARTITION BY {fit}, node
+  ORDER BY round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 3) DESC, f, b) = 1)"""
+
+    return f"""
+WITH {prepared_cte(MILEAGE)},
+t AS (SELECT cohort, split, fold, mileage_km AS y, efficiency AS x0, cost_per_km AS x1 FROM prepared),
+e AS (SELECT cohort, min(x0) AS low0, max(x0) AS high0, min(x1) AS low1, max(x1) AS high1 FROM t WHERE split = 'train' GROUP BY cohort),
+r AS (SELECT cohort, split, fold, y, {code(0)} AS c0, {code(1)} AS c1, left_out, split = 'train' AND fold <> left_out AS learn
+      FROM t JOIN e USING (cohort), (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS left_out)),
+m AS (SELECT {fit}, avg(y) AS base FROM r WHERE learn GROUP BY ALL),
+z AS MATERIALIZED (SELECT r.*, base, y - base AS g FROM r JOIN m USING ({fit})),{level("z", "0", "1")},
+z1 AS MATERIALIZED (SELECT z.*, CASE WHEN (CASE WHEN f = 0 THEN c0 ELSE c1 END) > b THEN 1 ELSE 0 END AS side FROM z JOIN p1 USING ({fit})),{level("z1", "side", "2")},
+z2 AS (SELECT z1.*, 2 * side + CASE WHEN (CASE WHEN f = 0 THEN c0 ELSE c1 END) > b THEN 1 ELSE 0 END AS leaf FROM z1 JOIN p2 ON z1.cohort = p2.cohort AND z1.left_out = p2.left_out AND z1.side = p2.node),
+v AS (SELECT {fit}, leaf, avg(g) AS value FROM z2 WHERE learn GROUP BY ALL),
+d AS (SELECT cohort, left_out, CASE WHEN left_out < 0 THEN split ELSE 'cv' END AS split, y, base + value - y AS error FROM z2 JOIN v USING ({fit}, leaf)
+      WHERE left_out < 0 OR (split = 'train' AND fold = left_out))
+SELECT cohort, left_out, split, count(*) AS n, {_r('avg(abs(error))', 4, 'mae')}, {_r('sqrt(avg(error * error))', 4, 'rmse')}, {_r('1 - avg(error * error) / var_pop(y)', 4, 'r2')}
+FROM d GROUP BY ALL"""
+
+
 def oracle() -> dict[str, str]:
-    sql: dict[str, str] = {}
+    sql: dict[str, str] = {"depth_two_trees": _depth_two()}
     # projections, filters, distributions
     sql["ratio_target"] = f"WITH {_LINES} SELECT cohort, row_key, efficiency FROM lines"
     sql["clamp_lower"] = f"WITH {DERIVED_CTE} SELECT cohort, row_key, co2_emissions_g_per_km FROM derived"
