@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.bounded import attach, collect_bounded, materialize, scratch_dir, small_frame
-from cohortwise.models import growth, linear, registry
+from cohortwise.models import growth, linear, many, registry
 from cohortwise.models.train import (
     Search, compare_scalers, finetune_top, linear_scores, multi_metric_search, sequential_trials, train_linear, train_models,
     train_single_features, training_data, results_frame)
@@ -23,7 +23,7 @@ from cohortwise.operators.split import with_split
 from cohortwise.plans import charts, runs
 from cohortwise.plans.runs import RunOptions
 from cohortwise.sources import sinks
-from cohortwise.sources.tables import UNITS, embedding_units, event_units, read_table, tables_of, units
+from cohortwise.sources.tables import UNITS, embedding_units, event_units, part_units, read_table, tables_of, units
 
 C = UNITS.cohort
 RATIO = UNITS.ratio_name
@@ -407,6 +407,17 @@ def lasso_grid_search(spark, sf):
         rounded(F.avg("r2"), 8, "cv_r2"))
 
 
+def part_models(spark, sf):
+    """Least squares and ridge for every part as its own cohort, on all rows and with each fold left out."""
+    rows = with_split(part_units(spark, sf))
+    specs = [linear.LinearSpec("ols", "ols", scaler="none"), linear.LinearSpec("ridge", "ridge", 1.0, "minmax")]
+    fits = many.fit_many(rows, "quantity", ["tax", "discount"], C, specs)
+    values = {"intercept": F.col("intercept"), "w_tax": F.col("coefficients")[0], "w_discount": F.col("coefficients")[1],
+              "train_rmse": F.col("train_rmse"), "train_r2": F.col("train_r2"), "held_rmse": F.col("held_rmse")}
+    # Few rows with short decimals give values that lie exactly between two roundings: a small step decides them alike.
+    return fits.select(C, "model", "left_out", "n", "held_n", *[rounded(v + 1e-8, 5, name) for name, v in values.items()])
+
+
 def search_winner(spark, sf):
     """Grid search of both penalties by either metric: the winner, its penalty and its scores."""
     data = _single(spark, sf, MILEAGE, [RATIO])
@@ -770,7 +781,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     corr_lower_triangle, variance_filter, feature_selection, feature_selection_fallback, feature_name_sets,
     feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, ols_two_features, ridge_two_features,
     pooled_ols_two_features, pooled_ridge_two_features, regression_metrics_by_split,
-    predicted_vs_actual_rows, cv_linear_scores, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
+    predicted_vs_actual_rows, cv_linear_scores, part_models, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
     model_ranking, model_ranking_by_mae, topk_models, best_models, tuned_vs_base, append_tuned, train_test_gap,
     model_cohort_pivot, cv_stability, predictable_cohort, target_leaderboard, scaler_results, scaler_summary,
     scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, scaler_pivot_file,

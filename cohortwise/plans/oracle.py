@@ -348,8 +348,29 @@ SELECT cohort, left_out, split, count(*) AS n, {_r('avg(abs(error))', 4, 'mae')}
 FROM d GROUP BY ALL"""
 
 
+def _part_models() -> str:
+    """Normal equations of two features for every part, with each fold left out (-1: none), and their errors over the rows."""
+    keyed = f"SELECT CAST(l_partkey AS VARCHAR) AS cohort, {_KEY} AS row_key, l_quantity AS y, l_tax + 0.0 AS a, l_discount + 0.0 AS b FROM lineitem"
+    solved = ("(ga * hbb - gb * hab) / (haa * hbb - hab * hab)", "(gb * haa - ga * hab) / (haa * hbb - hab * hab)")
+    return f"""
+WITH t AS (SELECT *, CASE WHEN {_bucket(1, 100)} < 20 THEN 'test' ELSE 'train' END AS split, CAST({_bucket(9, 5)} AS INTEGER) AS fold FROM ({keyed})),
+o AS (SELECT DISTINCT cohort, unnest([-1, fold]) AS left_out FROM t WHERE split = 'train'),
+x AS (SELECT t.*, left_out, CASE WHEN split = 'train' AND fold <> left_out THEN 'learn' WHEN split = 'test' AND left_out = -1 OR split = 'train' AND fold = left_out THEN 'held' END AS part
+      FROM t JOIN o USING (cohort)),
+s AS (SELECT cohort, left_out, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS saa, var_pop(b) * count(*) AS sbb, covar_pop(a, b) * count(*) AS sab,
+      covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby, max(a) - min(a) AS ra, max(b) - min(b) AS rb FROM x WHERE part = 'learn' GROUP BY ALL),
+h AS (SELECT *, 'ols' AS model, 1.0::DOUBLE AS ua, 1.0::DOUBLE AS ub, saa AS haa, sbb AS hbb, sab AS hab, say AS ga, sby AS gb FROM s
+      UNION ALL SELECT *, 'ridge', ra, rb, saa / (ra * ra) + 1, sbb / (rb * rb) + 1, sab / (ra * rb), say / ra, sby / rb FROM s),
+w AS (SELECT cohort, left_out, model, n, my, ma, mb, {solved[0]} / ua AS wa, {solved[1]} / ub AS wb FROM h),
+e AS (SELECT w.*, part, y, y - my - wa * (a - ma) - wb * (b - mb) AS error FROM w LEFT JOIN x USING (cohort, left_out)),
+g AS (SELECT cohort, model, left_out, n, my - wa * ma - wb * mb AS intercept, wa AS w_tax, wb AS w_discount, sqrt(avg(error * error) FILTER (part = 'learn')) AS train_rmse,
+      1 - avg(error * error) FILTER (part = 'learn') / nullif(var_pop(y) FILTER (part = 'learn'), 0) AS train_r2, count(*) FILTER (part = 'held') AS held_n,
+      sqrt(avg(error * error) FILTER (part = 'held')) AS held_rmse FROM e GROUP BY ALL)
+SELECT cohort, model, CAST(left_out AS INTEGER) AS left_out, n, held_n, {", ".join(_r(f"{c} + 1e-8", 5, c) for c in ("intercept", "w_tax", "w_discount", "train_rmse", "train_r2", "held_rmse"))} FROM g"""
+
+
 def oracle() -> dict[str, str]:
-    sql: dict[str, str] = {"depth_two_trees": _depth_two()}
+    sql: dict[str, str] = {"depth_two_trees": _depth_two(), "part_models": _part_models()}
     # projections, filters, distributions
     sql["ratio_target"] = f"WITH {_LINES} SELECT cohort, row_key, efficiency FROM lines"
     sql["clamp_lower"] = f"WITH {DERIVED_CTE} SELECT cohort, row_key, co2_emissions_g_per_km FROM derived"

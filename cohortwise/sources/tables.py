@@ -121,6 +121,14 @@ def units(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = None)
     )
 
 
+def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part as the cohort: as many cohorts as there are parts."""
+    scan = parquet(spark, sf_dir, "lineitem")
+    return spread(scan, scan, "l_orderkey", "l_linenumber").select(
+        F.col("l_partkey").cast("string").alias("cohort"), F.md5(_unit_key()).alias("row_key"), F.col("l_quantity").alias("quantity"),
+        (F.col("l_tax") + 0.0).alias("tax"), (F.col("l_discount") + 0.0).alias("discount"))
+
+
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a cohort table: one numeric column, five cohorts, heavy tails."""
     scan = parquet(spark, sf_dir, "events")
