@@ -18,7 +18,7 @@ from cohortwise.models.train import (
 from cohortwise.operators import compare, prepare as prep, stats, transform
 from cohortwise.operators.evaluate import predicted_vs_actual, regression_metrics
 from cohortwise.operators.features import FEATURES, candidate_names, engineer, feature_column, range_columns, value_ranges
-from cohortwise.operators.select import Selection, filled_variance, medians_where_missing, select_features, small_copy
+from cohortwise.operators.select import Selection, choose_by_rounds, filled_variance, medians_where_missing, select_features, small_copy
 from cohortwise.operators.split import with_split
 from cohortwise.plans import charts, runs
 from cohortwise.plans.runs import RunOptions
@@ -274,6 +274,15 @@ def feature_selection(spark, sf):
     return _selection(spark, sf, MAINTENANCE).table.where("selected").select(C, "feature", "position")
 
 
+def feature_selection_rounds(spark, sf):
+    """The same selection with pruning by rounds of joins, as for tables of many columns."""
+    df, names = engineered(spark, sf, MAINTENANCE), candidate_names(None, MAINTENANCE, UNITS)
+    profile = small_copy(stats.profile(df, [*names, MAINTENANCE], [C]))
+    pairs = materialize(stats.correlation_pairs(df, [*names, MAINTENANCE], C, profile), "pairs")
+    found = choose_by_rounds(pairs, profile, small_copy(medians_where_missing(df, profile, C)), MAINTENANCE, UNITS, names)
+    return found.table.where("selected").select(C, "feature", "position")
+
+
 def feature_selection_fallback(spark, sf):
     return _selection(spark, sf, RATIO).table.where("selected").select(C, "feature", "position")
 
@@ -596,6 +605,14 @@ def rankings_file(spark, sf):
     return round_all(sinks.best_of(sinks.read_results(spark, path, ranked.schema, "csv")), 6)
 
 
+def best_of_runs(spark, sf):
+    """Three targets as three stored runs; the best model of each target and cohort over all of them."""
+    store = sinks.RunStore(spark, _folder(spark, "store"))
+    for target in (MILEAGE, MAINTENANCE, RATIO):
+        store.save({"rankings": compare.rank_models(_results(spark, sf, (target,))).select("target", "cohort", "model", "test_r2", "test_mae")}, run=target)
+    return round_all(store.best().select("target", "cohort", "run", "model", "test_r2", "test_mae"), 6)
+
+
 def scaler_file(spark, sf):
     path = _folder(spark, "scalers")
     long = _scaler_results(spark, sf).select("cohort", "scaler", "model", "test_mae", "n_samples")
@@ -778,7 +795,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     max_normalised, median_impute, mean_impute, missing_counts, train_test_split, kfold_assignment, minmax_scale,
     zscore_scale, yeo_johnson_grid, yeo_johnson_best, onehot_cohort, correlation_pairs, wide_correlation,
     target_correlation, correlation_bars, top_correlations, corr_strength_buckets, cohort_corr_compare,
-    corr_lower_triangle, variance_filter, feature_selection, feature_selection_fallback, feature_name_sets,
+    corr_lower_triangle, variance_filter, feature_selection, feature_selection_rounds, feature_selection_fallback, feature_name_sets,
     feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, ols_two_features, ridge_two_features,
     pooled_ols_two_features, pooled_ridge_two_features, regression_metrics_by_split,
     predicted_vs_actual_rows, cv_linear_scores, part_models, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
@@ -786,7 +803,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     model_cohort_pivot, cv_stability, predictable_cohort, target_leaderboard, scaler_results, scaler_summary,
     scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, scaler_pivot_file,
     importances_file, scaler_target_summary, csv_scan,
-    cohort_files, rankings_file, scaler_file, selected_features_file, decision_tree, depth_two_trees, sequential_search, random_forest, boosted_trees,
+    cohort_files, rankings_file, best_of_runs, scaler_file, selected_features_file, decision_tree, depth_two_trees, sequential_search, random_forest, boosted_trees,
     boosting_profiles, linear_models, random_search, loguniform_search, multi_metric_grid, finetune_top2,
     feature_importance, scaler_model_grid, single_target_run, multi_target_run, plain_run, final_report_best,
     run_summary_json, model_parameters, model_roundtrip)}

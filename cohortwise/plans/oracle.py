@@ -470,7 +470,7 @@ def oracle() -> dict[str, str]:
     sql["variance_filter"] = f"WITH {chosen} SELECT cohort, feature, variance > 0.01 AS passes FROM variances WHERE variance IS NOT NULL".replace("WITH units", "WITH RECURSIVE units", 1)
     for name, target in (("feature_selection", MAINTENANCE), ("feature_selection_fallback", RATIO)):
         sql[name] = f"WITH RECURSIVE {_selection(target)} SELECT cohort, feature, CAST(position AS INTEGER) AS position FROM picked"
-    sql["selected_features_file"] = sql["feature_selection"]
+    sql["selected_features_file"] = sql["feature_selection_rounds"] = sql["feature_selection"]
     sql["feature_name_sets"] = (
         f"{tc}, n AS (SELECT feature, bool_or(cohort = 'F') AS f, bool_or(cohort = 'O') AS o FROM tc WHERE corr IS NOT NULL GROUP BY feature) "
         "SELECT feature, CASE WHEN f AND o THEN 'both' WHEN f THEN 'first_only' ELSE 'second_only' END AS membership FROM n")
@@ -549,6 +549,7 @@ GROUP BY w.cohort)""")
                       + _r(f"max(test_r2) FILTER (WHERE cohort = '{c}')", 6, f"{c}_test_r2") + ", "
                       + _r(f"max(test_mae) FILTER (WHERE cohort = '{c}')", 6, f"{c}_test_mae") for c in ("F", "O"))
     sql["target_leaderboard"] = _all_targets(f"SELECT target, {cells} FROM (SELECT *, {_rank()} AS rank FROM results) WHERE rank = 1 GROUP BY target")
+    sql["best_of_runs"] = _all_targets(f"SELECT target, cohort, target AS run, model, {_r('test_r2', 6)}, {_r('test_mae', 6)} FROM (SELECT *, {_rank()} AS rank FROM results) WHERE rank = 1")
     # scaler comparison
     sca = f"WITH {scaler_cte()}"
     sql["scaler_results"] = (f"{sca} SELECT cohort, scaler, model, "

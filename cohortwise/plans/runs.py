@@ -106,19 +106,33 @@ def union_results(runs: dict[str, RunResult], part: str = "rankings") -> DataFra
 
 
 def save_run(run: RunResult, path: str, config: CohortConfig) -> None:
-    """Rankings, selection, parameters, nested summary and the best model of every cohort."""
-    spark = run.rankings.sparkSession
+    """Rankings, selection, parameters, nested summary and the best model of every cohort, as single files in one folder."""
     sinks.write_results(run.rankings, f"{path}/rankings")
     sinks.write_json(sinks.selected_features_table(run.selection), f"{path}/selected_features")
     sinks.write_json(sinks.parameters(run.results), f"{path}/parameters")
     sinks.write_results(compare.top_importances(run.importances), f"{path}/importances", "csv")
+    sinks.write_json(_summary(run, config), f"{path}/summary")
+    _save_best(run, f"{path}/models")
+
+
+def store_run(run: RunResult, store: sinks.RunStore, config: CohortConfig, name: str | None = None) -> str:
+    """The same tables and models as one run of a store: readers see all of it or nothing."""
+    tables = {"rankings": run.rankings, "selected_features": sinks.selected_features_table(run.selection), "parameters": sinks.parameters(run.results),
+              "importances": compare.top_importances(run.importances), "summary": _summary(run, config)}
+    return store.save(tables, lambda folder: _save_best(run, folder), name)
+
+
+def _summary(run: RunResult, config: CohortConfig) -> DataFrame:
     target = next(iter(run.models))[0] if run.models else config.ratio_name
     names = [n for n in candidate_names(None, target, config) if n not in config.originals]
-    sinks.write_json(sinks.run_summary(run.results, run.selection, config.originals, names), f"{path}/summary")
+    return sinks.run_summary(run.results, run.selection, config.originals, names)
+
+
+def _save_best(run: RunResult, folder: str) -> None:
     for r in collect_bounded(run.best.select("target", "cohort", "model")):
         model = run.models.get((r.target, r.cohort, r.model))
         if model is not None:
-            sinks.save_model(model, f"{path}/models", r.target, r.cohort)
+            sinks.save_model(model, folder, r.target, r.cohort)
 
 
 def final_report(rankings: DataFrame, importances: DataFrame, k: int = 5) -> dict[str, DataFrame]:

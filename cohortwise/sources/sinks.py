@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +89,76 @@ def save_model(model: PipelineModel, base: str, target: str, cohort: str) -> str
 
 def load_model(base: str, target: str, cohort: str) -> PipelineModel:
     return PipelineModel.load(model_path(base, target, cohort))
+
+
+# --- run store ---------------------------------------------------------------
+
+class RunStore:
+    """Stored runs that readers see as a whole or not at all.
+
+    A run is written into a folder of its own below ``runs``; its manifest, one small file that names the tables and their
+    schemas, is created last. Readers list manifests only, so a run that failed between two tables is never read, and an earlier
+    run is never touched. A manifest is created under another name and renamed, which the file systems Spark writes to do
+    in one step or, in object stores, as one put.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        self._files = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def save(self, tables: dict[str, DataFrame], models: Callable[[str], None] | None = None, run: str | None = None) -> str:
+        """Write all ``tables``, let ``models`` write below the run's folder, then publish the run under its name."""
+        run = run or uuid.uuid4().hex
+        if self._files.exists(self._path(self._manifest(run))):
+            raise ValueError(f"run {run} exists")
+        folder = f"{self.base}/runs/{run}-{uuid.uuid4().hex[:8]}"
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+        if models:
+            models(f"{folder}/models")
+        manifest = {"run": run, "folder": folder, "tables": {name: df.schema.jsonValue() for name, df in tables.items()}}
+        staged = self._path(f"{self.base}/manifests/.{uuid.uuid4().hex}")
+        out = self._files.create(staged)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self._files.rename(staged, self._path(self._manifest(run))):
+            self._files.delete(staged, False)
+            raise ValueError(f"run {run} exists")
+        return run
+
+    def _manifest(self, run: str) -> str:
+        return f"{self.base}/manifests/{run}.json"
+
+    def manifests(self) -> dict[str, dict]:
+        """Published runs by name."""
+        where = self._path(f"{self.base}/manifests")
+        names = [s.getPath().getName() for s in self._files.listStatus(where)] if self._files.exists(where) else []
+        paths = [f"{self.base}/manifests/{n}" for n in sorted(names) if n.endswith(".json") and not n.startswith(".")]
+        if not paths:
+            return {}
+        found = [json.loads(r.value) for r in self.spark.read.text(paths, wholetext=True).collect()]  # one small file a run
+        return {m["run"]: m for m in found}
+
+    def read(self, table: str) -> DataFrame | None:
+        """The table of all published runs, with their names in ``run``."""
+        parts = [self.spark.read.schema(T.StructType.fromJson(m["tables"][table])).parquet(f"{m['folder']}/{table}").withColumn("run", F.lit(run))
+                 for run, m in self.manifests().items() if table in m["tables"]]
+        out = None
+        for part in parts:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def best(self, rank_by: str = "test_r2") -> DataFrame | None:
+        """Best model of every target and cohort over all published runs; ties go to the first run and model by name."""
+        rankings = self.read("rankings")
+        if rankings is None:
+            return None
+        value = F.col(rank_by) if rank_by.endswith("r2") else -F.col(rank_by)
+        key = F.struct(F.isnull(value).alias("none"), (-value).alias("back"), "run", "model")
+        rows = rankings.groupBy("target", "cohort").agg(F.min_by(F.struct(*[c for c in rankings.columns if c not in ("target", "cohort")]), key).alias("r"))
+        return rows.select("target", "cohort", "r.*")
+
+    def folder(self, run: str) -> str:
+        return self.manifests()[run]["folder"]
