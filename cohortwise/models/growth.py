@@ -10,6 +10,10 @@ Boosting is second-order: trees fit gradients with the hessian as weight (one ea
 ``l2``. Shapes: ``level`` splits every node down to ``depth``; ``leaves`` keeps of these splits the ``leaves - 1`` that a
 best-first growth would have made; ``symmetric`` gives all nodes of a level the split with the largest common gain.
 
+Small fits: where a fit's training rows are at most ``WHOLE_ROWS`` (and ``WHOLE_BYTES`` of codes), the passes would cost more than
+the work. Its rows go to one group once, which grows all its trees with the same functions; the groups of the other fits, folds and
+candidates run beside it. Larger fits grow in passes, with equal results.
+
 Deep single trees: a node with at most ``LOCAL_ROWS`` training rows is finished by one group, which receives its rows once,
 grows the rest level by level with the same split function, scores the rows that are to be scored, and returns sums of
 errors; only final fits return nodes. The left-out and test rows of a node are hash shares, so they are as bounded as it is.
@@ -42,6 +46,8 @@ BLOCK_ROWS = 16_384
 CELLS = 3_000_000
 #: Training rows of a node that one group finishes.
 LOCAL_ROWS = 4096
+#: Training rows and bytes of codes of a fit that one group grows as a whole.
+WHOLE_ROWS, WHOLE_BYTES = 400_000, 32_000_000
 #: Bytes of all tasks' sums up to which the driver adds them up itself; beyond, groups of executors do.
 COLLECT_BYTES = 8_000_000
 #: Nodes whose sums travel in one row, and rows of sums that one group adds up.
@@ -67,6 +73,10 @@ class Growth:
     bins: int = BINS
     seed: int = SEED
 
+    def row_seed(self, r: int) -> int:
+        """Which rows the tree of round ``r`` sees, if not all."""
+        return self.seed * 1_000_003 + r + 1
+
     def shared(self) -> "Growth":
         """The growth whose prefix this one is, up to ``rounds`` and, for single trees, ``depth``."""
         return replace(self, rounds=0, depth=0) if self.rounds == 1 and self.shape == "level" else replace(self, rounds=0)
@@ -160,6 +170,7 @@ class Fit:
     depth: int
     place: int  # among the cohort's fits: row of the stored scores
     base: float
+    size: int  # training rows
     trees: list[Tree] = field(default_factory=list)
     stored: int = 0  # trees in the stored scores
     frontier: list[int] = field(default_factory=list)
@@ -170,6 +181,11 @@ class Fit:
     def single(self) -> bool:
         return self.rounds == 1 and self.growth.shape == "level"
 
+    def columns(self, r: int, features: int) -> list[int]:
+        """Features that the tree of round ``r`` may use."""
+        rng = np.random.default_rng([self.growth.seed, r])
+        return sorted(rng.permutation(features)[:max(1, round(self.growth.columns * features))].tolist())
+
 
 @dataclass
 class Grown:
@@ -447,10 +463,12 @@ def _scorer(sent, features: dict[str, int]):
     return run
 
 
-def grow_here(codes: np.ndarray, rest: np.ndarray, least: int, l2: float, depth: int, bins: int) -> Tree:
+def grow_here(codes: np.ndarray, rest: np.ndarray, least: int, l2: float, depth: int, bins: int, common: bool = False) -> Tree:
     """A whole tree of few rows, level by level."""
     tree, frontier, node = Tree(), np.array([0]), np.zeros(len(rest), dtype=np.int64)
-    tree.value[0] = rest.sum() / (len(rest) + l2)
+    tree.value[0] = rest.sum() / (len(rest) + l2) if len(rest) + l2 > 0 else 0.0
+    if len(rest) < max(2, 2 * least):
+        return tree
     for level in range(depth):
         slots = np.full(len(tree.left), -1)
         slots[frontier] = np.arange(len(frontier))
@@ -463,7 +481,7 @@ def grow_here(codes: np.ndarray, rest: np.ndarray, least: int, l2: float, depth:
             sums[:, k, :, 0] = np.bincount(cell, minlength=len(frontier) * bins).reshape(-1, bins)
             sums[:, k, :, 1] = np.bincount(cell, rest[on], minlength=len(frontier) * bins).reshape(-1, bins)
         after = []
-        for at, gain, feature, split, nl, sl, n, s in zip(frontier.tolist(), *(x.tolist() for x in best_splits(sums, least, l2, False))):
+        for at, gain, feature, split, nl, sl, n, s in zip(frontier.tolist(), *(x.tolist() for x in best_splits(sums, least, l2, common))):
             if gain > 0:
                 left = tree.children(at, feature, split, gain)
                 tree.value[left], tree.value[left + 1] = sl / (nl + l2), (s - sl) / (n - nl + l2)
@@ -504,6 +522,65 @@ def _dealer(sent, features: dict[str, int]):
     return run
 
 
+def grow_fit(fit: Fit, codes: np.ndarray, label: np.ndarray, role: np.ndarray, key: np.ndarray, bins: int, limits) -> Iterator[tuple]:
+    """All trees of a fit: (limit, role, sums of errors) as they fall due; the trees end up in ``fit``."""
+    g, learn = fit.growth, np.flatnonzero(role == 0)
+    score = np.full(len(label), fit.base)
+    roles = [r for r in np.unique(role).tolist() if (r != 9) == (fit.left_out == FINAL)]
+    for r in range(fit.rounds):
+        allowed = fit.columns(r, len(codes))
+        at = learn[_sampled(key[learn], g.rows, g.row_seed(r))] if g.rows < 1 else learn
+        tree = grow_here(codes[allowed][:, at], label[at] - score[at], g.least, g.l2, fit.depth, bins, g.shape == "symmetric")
+        tree.feature = [allowed[f] if down else 0 for f, down in zip(tree.feature, tree.left)]
+        if g.shape == "leaves":
+            tree = tree.best_first(g.leaves)
+        tree.value = [g.step * v for v in tree.value]
+        fit.trees.append(tree)
+        arrays = tree.arrays()
+        if not fit.single:
+            score += arrays[3][walk(arrays, codes, fit.depth)]
+        for k, (rounds, depth) in enumerate(limits):
+            if rounds == r + 1:
+                reached = score + arrays[3][walk(arrays, codes, depth)] if fit.single else score
+                for split in roles:
+                    mine = role == split
+                    error, y = (reached - label)[mine], label[mine] - fit.base
+                    yield k, split, float(len(y)), np.abs(error).sum(), (error * error).sum(), y.sum(), (y * y).sum()
+
+
+def _whole_dealer(sent, features: dict[str, int]):
+    """Every row that a fit learns from or is scored on, by fit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: dict[str, list[tuple[int, int]]] = sent.value
+        for block in _decoded(batches, features):
+            for number, left_out in plan.get(block.cohort, ()):
+                role = block.split.copy()
+                if left_out != FINAL:
+                    role = np.where(role > 0, -1, np.where(block.fold == left_out, 9, 0)).astype(np.int8)
+                at = np.flatnonzero(role >= 0)
+                row = (number, block.codes[:, at].tobytes(), block.label[at].tobytes(), role[at].tobytes(), block.key[at].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _WHOLE_ARROW)], schema=_WHOLE_ARROW)
+    return run
+
+
+_WHOLE = "fit int, codes binary, label binary, role binary, key binary"
+_WHOLE_ARROW = pa.schema([("fit", pa.int32()), ("codes", pa.binary()), ("label", pa.binary()), ("role", pa.binary()), ("key", pa.binary())])
+
+
+def _whole_grower(fits: dict[int, tuple[Fit, tuple]], features: dict[str, int], bins: int):
+    names = [c.strip().split(" ")[0] for c in _FINISHED.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        fit, limits = fits[int(rows["fit"].iloc[0])]
+        read = lambda name, kind: np.frombuffer(b"".join(rows[name]), dtype=kind)
+        codes = np.concatenate([np.frombuffer(c, dtype=np.uint8).reshape(features[fit.cohort], -1) for c in rows["codes"]], axis=1)
+        out = [(fit.number, 0, *sums, *[None] * 6) for sums in grow_fit(fit, codes, read("label", np.float64), read("role", np.int8), read("key", np.uint64), bins, limits)]
+        if fit.left_out == FINAL:
+            out += [(fit.number, r, -1, -1, *[0.0] * 5, t.feature, t.split, t.left, t.value, t.gain, t.level) for r, t in enumerate(fit.trees)]
+        return pd.DataFrame(out, columns=names)
+    return run
+
+
 _FINISHED = ("fit int, node int, lim int, split int, n double, a double, e double, y double, yy double, "
              "feature array<int>, bin array<int>, down array<int>, value array<double>, gain array<double>, level array<int>")
 
@@ -580,18 +657,18 @@ class Grower:
         out.passes = self.passes
         return out
 
-    def _means(self) -> dict[str, dict[int, float]]:
-        """Mean label of the training rows by cohort, for each left-out fold and for all rows."""
+    def _means(self) -> dict[str, dict[int, tuple[float, int]]]:
+        """Mean label and number of the training rows by cohort, for each left-out fold and for all rows."""
         sums: dict[str, list] = {}
         for r in collect_bounded(self.train.groupBy(self.cohort, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(self.target).cast("double")).alias("s"))):
             sums.setdefault(r[self.cohort], []).append((r.fold, r.n, r.s))
         means = {}
         for c, parts in sums.items():
             n, s = sum(p[1] for p in parts), sum(p[2] for p in parts)
-            means[c] = {FINAL: s / n}
+            means[c] = {FINAL: (s / n, n)}
             for fold, own, total in parts:
                 if fold is not None and n > own:
-                    means[c][fold] = (s - total) / (n - own)
+                    means[c][fold] = (s - total) / (n - own), n - own
         return means
 
     def _grow(self, out: Grown, growths, indexes, bins: int, folds: bool, final: bool) -> None:
@@ -616,20 +693,23 @@ class Grower:
             for base, members in shared.items():
                 rounds, depth = max(growths[i].rounds for i in members), max(growths[i].depth for i in members)
                 for left_out in [*sorted(f for f in means[c] if f != FINAL and folds), *([FINAL] if final else [])]:
-                    fit = Fit(len(fits), c, replace(growths[members[0]], rounds=rounds, depth=depth), left_out, rounds, depth, place, means[c][left_out])
+                    fit = Fit(len(fits), c, replace(growths[members[0]], rounds=rounds, depth=depth), left_out, rounds, depth, place, *means[c][left_out])
                     owners[fit.number] = members
                     place += 1
                     fits.append(fit)
                     if left_out == FINAL:
                         out.fits.update({(c, i): fit for i in members})
         counts = {c: sum(f.cohort == c for f in fits) for c in chosen}
+        whole = [f for f in fits if f.size <= WHOLE_ROWS and f.size * self.features[f.cohort] <= WHOLE_BYTES]
+        if whole:
+            self._wholes(out, blocks, whole, owners, growths)
+            fits = [f for f in fits if f not in whole]
 
         for r in range(max((f.rounds for f in fits), default=0)):
             active = [f for f in fits if r < f.rounds]
             for f in active:
                 f.trees.append(Tree())
-                k, rng = self.features[f.cohort], np.random.default_rng([f.growth.seed, r])
-                f.allowed = sorted(rng.permutation(k)[:max(1, round(f.growth.columns * k))].tolist())
+                f.allowed = f.columns(r, self.features[f.cohort])
                 f.frontier, f.local = [0], []
             while splitting := [f for f in active if f.frontier]:
                 self._level(blocks, splitting)
@@ -654,10 +734,37 @@ class Grower:
         if blocks is not first:
             discard(blocks)
 
+    def _wholes(self, out: Grown, blocks: DataFrame, fits: list[Fit], owners, growths) -> None:
+        """Grow small fits, a group each."""
+        self.passes += 1
+        plan: dict[str, list[tuple[int, int]]] = {}
+        for f in fits:
+            plan.setdefault(f.cohort, []).append((f.number, f.left_out))
+        sent = self.spark.sparkContext.broadcast(plan)
+        jobs = {f.number: (replace(f, trees=[]), tuple((growths[i].rounds, growths[i].depth) for i in owners[f.number])) for f in fits}
+        dealt = blocks.mapInArrow(_whole_dealer(sent, self.features), _WHOLE).repartition(len(fits), "fit")
+        found = materialize(dealt.groupBy("fit").applyInPandas(_whole_grower(jobs, self.features, self.bins), _FINISHED), "finished")
+        of = {f.number: f for f in fits}
+        for r in found.where("lim < 0").orderBy("fit", "node").toLocalIterator():  # trees of final fits, which the models hold anyway
+            of[r.fit].trees.append(Tree(list(r.feature), list(r.bin), list(r.down), list(r.value), list(r.gain), list(r.level)))
+        for r in collect_bounded(found.where("lim >= 0")):
+            self._note(out, of[r.fit], owners[r.fit][r.lim], r)
+        discard(found)
+        sent.unpersist()
+
+    def _note(self, out: Grown, fit: Fit, index: int, r) -> None:
+        """Metrics from sums of errors."""
+        if not r.n:
+            return
+        spread = r.yy - r.y * r.y / r.n
+        split = {0: "train", 1: "test", 2: None, 9: "cv"}[r.split]
+        r2 = 1 - r.e / spread if spread > 1e-12 * max(r.yy, 1e-300) else None
+        out.scores[fit.cohort, index, fit.left_out, split] = (int(r.n), r.a / r.n, float(np.sqrt(r.e / r.n)), r2)
+
     def _sent(self, fit: Fit, growing: bool = False) -> _Sent:
         done = fit.trees[:-1] if growing else fit.trees
         g = fit.growth
-        return _Sent(fit.number, fit.left_out, fit.place, fit.base, fit.depth, g.rows, g.seed * 1_000_003 + len(fit.trees),
+        return _Sent(fit.number, fit.left_out, fit.place, fit.base, fit.depth, g.rows, g.row_seed(len(fit.trees) - 1),
                      fit.allowed, [t.arrays() for t in done[fit.stored:]])
 
     def _send(self, fits: Sequence[Fit], sent: dict[int, _Sent] | None = None):
@@ -751,12 +858,7 @@ class Grower:
                 by_fit[r.fit][0].trees[0].graft(r.node, Tree(list(r.feature), list(r.bin), list(r.down), list(r.value), list(r.gain), list(r.level)))
         for r in collect_bounded(rows.groupBy(*keys).agg(*sums)):
             f, members = by_fit[r.fit]
-            if not r.n:
-                continue
-            spread = r.yy - r.y * r.y / r.n
-            split = {0: "train", 1: "test", 2: None, 9: "cv"}[r.split]
-            r2 = 1 - r.e / spread if spread > 1e-12 * max(r.yy, 1e-300) else None
-            out.scores[f.cohort, members[r.lim], f.left_out, split] = (int(r.n), r.a / r.n, float(np.sqrt(r.e / r.n)), r2)
+            self._note(out, f, members[r.lim], r)
         if rules:
             discard(found)
             local.unpersist()

@@ -31,7 +31,7 @@ MILEAGE, MAINTENANCE = "mileage_km", "maintenance_cost_annual"
 FIRST, SECOND = "F", "O"
 SCALED = ["torque_Nm", "energy_storage_capacity", "lifespan_years"]
 #: Rounds of boosting in the search over its ranges.
-ROUNDS = 20
+ROUNDS = 100
 
 
 def rounded(column: Column | str, digits: int, name: str | None = None) -> Column:

@@ -1,5 +1,7 @@
 """Trees from shared histograms against plain versions of themselves."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -67,10 +69,10 @@ def predict(tree, codes):
     return np.where(codes[f] <= b, predict(left, codes), predict(right, codes))
 
 
-@pytest.mark.parametrize("local, collect, cells", [(0, 10**7, 10**6), (40, 10**7, 10**6), (4096, 10**7, 10**6), (0, 0, 200)])
-def test_single_trees_equal_a_plain_search(data, pdf, monkeypatch, local, collect, cells):
-    """Any mixture of passes, groups that finish nodes and sums that groups add up grows the same trees."""
-    for name, value in {"LOCAL_ROWS": local, "COLLECT_BYTES": collect, "CELLS": cells, "FAN_IN": 2}.items():
+@pytest.mark.parametrize("whole, local, collect, cells", [(10**6, 0, 0, 200), (0, 40, 10**7, 10**6), (0, 4096, 10**7, 10**6), (240, 0, 0, 200)])
+def test_single_trees_equal_a_plain_search(data, pdf, monkeypatch, whole, local, collect, cells):
+    """Any mixture of whole fits, passes, groups that finish nodes and sums that groups add up grows the same trees."""
+    for name, value in {"WHOLE_ROWS": whole, "LOCAL_ROWS": local, "COLLECT_BYTES": collect, "CELLS": cells, "FAN_IN": 2}.items():
         monkeypatch.setattr(growth, name, value)
     wanted = [Growth(depth=2), Growth(depth=5), Growth(depth=5, least=20), Growth(depth=30, least=7)]
     grower = Grower(data.rows, "y", "cohort", data.chosen)
@@ -92,8 +94,10 @@ def test_single_trees_equal_a_plain_search(data, pdf, monkeypatch, local, collec
     assert grower.passes <= 30 or cells == 200  # the levels of the deepest tree, whatever the number of fits
 
 
-def test_boosting_equals_a_plain_loop(data, pdf, monkeypatch):
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_boosting_equals_a_plain_loop(data, pdf, monkeypatch, whole):
     monkeypatch.setattr(growth, "REFRESH", 3)
+    monkeypatch.setattr(growth, "WHOLE_ROWS", whole)
     wanted = [Growth(rounds=4, depth=2, step=0.3, l2=1.5), Growth(rounds=8, depth=2, step=0.3, l2=1.5)]
     grown = data.grower.grow(wanted)
     rows = pdf[pdf.cohort == "b"]
@@ -105,6 +109,18 @@ def test_boosting_equals_a_plain_loop(data, pdf, monkeypatch):
             assert grown.scores["b", int(r == 7), FINAL, "test"][1] == pytest.approx(np.abs(score - y)[~learn].mean(), rel=1e-9)
 
 
+def test_passes_and_whole_fits_agree_for_every_shape(data, monkeypatch):
+    wanted = [replace(registry.tree_models("small")[name].growth, rounds=3, depth=3) for name in (registry.SUBSAMPLED, registry.SLOW, registry.HISTOGRAM)]
+    whole = data.grower.grow(wanted)
+    monkeypatch.setattr(growth, "WHOLE_ROWS", 0)
+    passes = data.grower.grow(wanted)
+    assert whole.scores.keys() == passes.scores.keys()
+    for key, values in whole.scores.items():
+        assert values == pytest.approx(passes.scores[key], rel=1e-9), key
+    for key, fit in whole.fits.items():
+        assert [(t.feature, t.split, t.left) for t in fit.trees] == [(t.feature, t.split, t.left) for t in passes.fits[key].trees]
+
+
 def losses(data, spec, rounds):
     grown = data.grower.grow([spec.grown(maxIter=r) for r in rounds], folds=False)
     return [grown.scores["b", i, FINAL, "train"][2] for i in range(len(rounds))], grown
