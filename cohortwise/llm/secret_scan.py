@@ -97,8 +97,9 @@ def parts(docs: DataFrame) -> DataFrame:
              for k, (name, gate, pattern, _) in enumerate(KINDS)]
     marker = F.array(F.struct(F.lit(0), F.lit(0), F.lit(-1))).cast(PARTS)
     rows = docs.select(F.col("doc_id"), whole().alias("_text"))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("content"), F.explode(F.concat(marker, *found)).alias("part"))
-    return rows.select(*DOCUMENT, "part.*").groupBy(*DOCUMENT, "start", "end", "kind").agg(F.count(F.lit(1)).alias("copies"))
+    # Text and hash end before the parts spread out: beside an explode they would be carried and computed per part.
+    rows = rows.select("doc_id", F.xxhash64("_text").alias("content"), F.concat(marker, *found).alias("parts"))
+    return rows.select(*DOCUMENT, F.explode("parts").alias("part")).select(*DOCUMENT, "part.*").groupBy(*DOCUMENT, "start", "end", "kind").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def scopes(found: DataFrame) -> DataFrame:
