@@ -9,6 +9,9 @@ The model is three passes of map-side counting and merging by shard, none of whi
    context (tokens, and followers seen once, twice, more often) and per continuation, which are merged by number range.
 3. Scores. Tasks map all arrays and look up their batch of tokens in sorted order.
 
+Sums of tokens per context have 64 bits. Word numbers have 32 bits, and so have the counts of distinct followers and
+continuations, which no vocabulary of 32-bit numbers can pass; a larger vocabulary is an error.
+
 The arrays lie in the shared folder of the session, which must be a mounted file system; pages are shared by all
 workers of a machine. Counts below ``SMALL`` take one byte, larger ones are kept aside.
 
@@ -45,6 +48,9 @@ MODULUS, HELD = 7, 2
 END = b"\n"
 BLOBS = "shard int, keys binary, counts binary"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Packed columns of partial sums and their number types.
+PACKED = {"context": "<u4", "total": "<u8", "once": "<u4", "twice": "<u4", "more": "<u4", "follow": "<u4", "times": "<u4"}
+MOST_WORDS = 2**32 - 2
 
 
 def remainder() -> Column:
@@ -249,6 +255,8 @@ def train(docs: DataFrame) -> dict:
         _save(folder, f"words-{s}", np.empty(0, dtype=np.uint64))
         _save(folder, f"word-counts-{s}", np.empty(0, dtype=np.int64))
     vocabulary = sum(sizes)
+    if vocabulary > MOST_WORDS:
+        raise ValueError(f"{vocabulary} distinct words are more than word numbers of 32 bits can tell apart")
     parts = max(1, -(-vocabulary // 1_000_000))
     part_size = max(1, -(-(vocabulary + 1) // parts))
 
@@ -280,37 +288,37 @@ def train(docs: DataFrame) -> dict:
             a, b = np.searchsorted(first[starts], [low, high])
             c, d = np.searchsorted(follow, [low, high])
             packed = [first[starts][a:b], *(v[a:b] for v in sums), follow[c:d], times[c:d]]
-            out.append((part, shard, *[v.astype("<u4").tobytes() for v in packed], *(of_counts if part == 0 else [0] * 4), len(keys) if part == 0 else 0))
-        return pd.DataFrame(out, columns=["part", "source", "context", "total", "once", "twice", "more", "follow", "times", "n1", "n2", "n3", "n4", "pairs"])
+            out.append((part, shard, *[v.astype(kind).tobytes() for v, kind in zip(packed, PACKED.values())], *(of_counts if part == 0 else [0] * 4), len(keys) if part == 0 else 0))
+        return pd.DataFrame(out, columns=["part", "source", *PACKED, "n1", "n2", "n3", "n4", "pairs"])
 
     def merge_contexts(blobs: pd.DataFrame) -> pd.DataFrame:
         """Partial sums of some shards for one part, added up: one row, no longer than the part."""
-        read = lambda c: np.concatenate([np.frombuffer(x, "<u4") for x in blobs[c]]).astype(np.int64)
+        read = lambda c: np.concatenate([np.frombuffer(x, PACKED[c]) for x in blobs[c]]).astype(np.int64)
         low = int(blobs["part"].iloc[0]) * part_size
         out = []
         for key, values in (("context", ("total", "once", "twice", "more")), ("follow", ("times",))):
             at = read(key) - low
-            dense = [np.bincount(at, weights=read(v), minlength=part_size).astype(np.int64) for v in values]
+            dense = [np.bincount(at, weights=read(v), minlength=part_size).astype(np.int64) for v in values]  # exact up to 2**53
             found = np.flatnonzero(np.bincount(at, minlength=part_size))
             out += [found + low, *(d[found] for d in dense)]
         sums = [int(blobs[c].sum()) for c in ("n1", "n2", "n3", "n4", "pairs")]
-        row = [int(blobs["part"].iloc[0]), int(blobs["source"].iloc[0]) // FAN_IN, *[v.astype("<u4").tobytes() for v in out], *sums]
+        row = [int(blobs["part"].iloc[0]), int(blobs["source"].iloc[0]) // FAN_IN, *[v.astype(kind).tobytes() for v, kind in zip(out, PACKED.values())], *sums]
         return pd.DataFrame([row], columns=[c for c in blobs.columns if c != "batch"])
 
     def write_contexts(blobs: pd.DataFrame) -> pd.DataFrame:
         part = int(blobs["part"].iloc[0])
         table = np.zeros((part_size, 5), dtype=np.int64)
-        read = lambda x: np.frombuffer(x, "<u4").astype(np.int64)
+        read = lambda r, c: np.frombuffer(getattr(r, c), PACKED[c]).astype(np.int64)
         for r in blobs.itertuples(index=False):
-            at = read(r.context) - part * part_size
-            table[at, :4] += np.column_stack([read(r.total), read(r.once), read(r.twice), read(r.more)])
-            table[read(r.follow) - part * part_size, 4] += read(r.times)
-        _save(folder, f"context-{part}", table.astype(np.uint32))
+            at = read(r, "context") - part * part_size
+            table[at, :4] += np.column_stack([read(r, c) for c in ("total", "once", "twice", "more")])
+            table[read(r, "follow") - part * part_size, 4] += read(r, "times")
+        _save(folder, f"context-{part}", table)
         seen = [int((table[:, 4] == k).sum()) for k in (1, 2, 3, 4)]
         return pd.DataFrame([(part, *(int(blobs[c].sum()) for c in ("n1", "n2", "n3", "n4", "pairs")), *seen, int((table[:, 4] >= 3).sum()))],
                             columns=["part", "n1", "n2", "n3", "n4", "pairs", "k1", "k2", "k3", "k4", "k3p"])
 
-    packed = ", ".join(f"{c} binary" for c in ("context", "total", "once", "twice", "more", "follow", "times"))
+    packed = ", ".join(f"{c} binary" for c in PACKED)
     numbers = "n1 bigint, n2 bigint, n3 bigint, n4 bigint, pairs bigint"
     partial = f"part int, source int, {packed}, {numbers}"
     sums, sources = rows.mapInArrow(count_pairs, BLOBS).groupBy("shard").applyInPandas(write_pairs, partial), shards
@@ -319,7 +327,7 @@ def train(docs: DataFrame) -> dict:
         sources = -(-sources // FAN_IN)
     done = sums.groupBy("part").applyInPandas(write_contexts, f"part int, {numbers}, k1 bigint, k2 bigint, k3 bigint, k4 bigint, k3p bigint").collect()
     for p in set(range(parts)) - {r.part for r in done}:
-        _save(folder, f"context-{p}", np.zeros((part_size, 5), dtype=np.uint32))
+        _save(folder, f"context-{p}", np.zeros((part_size, 5), dtype=np.int64))
     for s in range(shards):
         if not os.path.exists(os.path.join(folder, f"pairs-{s}.npy")):
             _save(folder, f"pairs-{s}", np.empty(0, dtype=np.uint64))

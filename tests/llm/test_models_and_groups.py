@@ -101,6 +101,12 @@ def test_language_model(odd, empty):
         assert (row.train_tokens, row.held_out) == (n, held(d))
 
 
+def test_larger_vocabularies_than_word_numbers_are_refused(odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="distinct words"):
+        lm_score.train(odd)
+
+
 def test_quality_and_toxicity_agree_with_labels(spark, odd, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     joined = quality.quality_rows(docs).join(labels, "doc_id")
