@@ -1,12 +1,13 @@
 """License scan: an ordered table of signature rules over normalised words, with overlap suppression.
 
-Texts become lower-case words separated by single spaces. Rules are regular expressions over that form,
+Texts become lower-case words separated by single spaces. Rules are hand-written signatures (passages of license texts
+and notices, identifiers with versions) and forms of naming each family: regular expressions over that form,
 each with its family's keywords; a document pays for a family's rules only if one of the keywords occurs in it.
 Detections carry a priority. One is suppressed when another of at least its priority contains its interval, or
 contains it strictly; what is left gives the labels. Everything happens inside the row: no shuffle.
 
 Defined cases: NULL or empty text has no words, no labels and score 0; first and last word are NULL. Repeated
-rows and NULL ids each get their own row; other columns are ignored by ``scan`` and kept if asked for.
+rows and NULL ids each get their own row; very long texts are scanned whole; other columns are ignored by ``scan`` and kept if asked for.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import spaces, whole
+from cohortwise.llm.common import matches, scanned, spaces, whole
 
 #: Base phrases and labels, and everything that separates words after lower-casing.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -66,15 +67,70 @@ FORMS = (
     (0.85, "(?:subject to|governed by|available under) (?:the terms of )?(?:the |a )?(?:{n}|{i})"),
     (0.80, "{n} (?:version |v)?\\d+(?: \\d+)?(?: only| or (?:any )?later(?: version)?)?"),
     (0.75, "(?:terms|conditions) of (?:the |a )?{n}"),
-    (0.60, "under (?:the |a )?(?:{n}|{i})"),
+    (0.60, "under (?:the |a )?(?:{n}|{i}(?= (?:licen[sc]es?|terms|versions?|v?\\d\\S*|only|or|and|with|see|for|in|as|$)))"),
     (0.50, "{n}"),
 )
 
+#: Passages that only the text or the notice of a license has, and identifiers with their version, over
+#: normalised words. Label, gating keywords, place among the forms (0 is best), confidence, pattern.
+SIGNATURES = (
+    ("mit", "granted", 1, 0.95, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", 2, 0.85, "copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistribution", 1, 0.90, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions", 2, 0.85, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse", 1, 0.95, "(?:neither the names? of|the names? of) (?:\\S+ ){1,16}?may (?:not )?be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 1, 0.95, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "fee", 1, 0.95, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "fee", 1, 0.95, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("zlib", "plainly", 1, 0.95, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "organization", 1, 0.95, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "unencumbered", 1, 0.95, "this is free and unencumbered software released into the public domain"),
+    ("apache", "apache", 1, 0.95, "you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache", "apache", 1, 0.95, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "redistribute", 1, 0.95, "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "redistribute", 1, 0.95, "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation"),
+    ("agpl", "redistribute", 1, 0.95, "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("gfdl", "invariant", 1, 0.95, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", "mozilla", 1, 0.95, "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", 2, 0.90, "the contents of this file are subject to the mozilla public license"),
+    ("epl", "eclipse", 1, 0.95, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common development", 1, 0.95, "the contents of this file are subject to the terms of (?:either )?(?:\\S+ ){0,16}?common development and distribution license"),
+    ("ofl", "font", 1, 0.95, "this font software is licensed under the sil open font license"),
+    ("artistic", "artistic", 1, 0.95, "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("psf", "psf", 1, 0.95, "psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("php", "php", 1, 0.95, "this product includes php software freely available from"),
+    ("openssl", "openssl", 1, 0.95, "this product includes software developed by the openssl project"),
+    ("cc0", "deed", 1, 0.95, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "creativecommons", 1, 0.95, "creativecommons org licenses by(?: \\d \\d)?"),
+    ("cc-by-sa", "creativecommons", 1, 0.95, "creativecommons org licenses by sa(?: \\d \\d)?"),
+    ("cc-by-nc", "creativecommons", 1, 0.95, "creativecommons org licenses by nc(?: \\d \\d)?"),
+    ("cc-by-nd", "creativecommons", 1, 0.95, "creativecommons org licenses by nd(?: \\d \\d)?"),
+    ("cc-by-nc-sa", "creativecommons", 1, 0.95, "creativecommons org licenses by nc sa(?: \\d \\d)?"),
+    ("cc-by-nc-nd", "creativecommons", 1, 0.95, "creativecommons org licenses by nc nd(?: \\d \\d)?"),
+    ("cc0", "creativecommons", 1, 0.95, "creativecommons org publicdomain zero(?: \\d \\d)?"),
+    ("proprietary", "unauthorized", 1, 0.90, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "confidential", 1, 0.90, "this (?:software|file|document|program|code) is (?:the )?confidential and proprietary"),
+    ("gpl", "gpl|gplv2|gplv3|gpl2|gpl3", 6, 0.70, "(?:gpl ?v?[23]|gpl version [23])(?: 0)?(?: only| or (?:any )?later(?: version)?)?"),
+    ("lgpl", "lgpl|lgplv2|lgplv3|lgpl2|lgpl3", 6, 0.70, "(?:lgpl ?v?[23]|lgpl version [23])(?: [01])?(?: only| or (?:any )?later(?: version)?)?"),
+    ("agpl", "agpl|agplv3|agpl3", 6, 0.70, "(?:agpl ?v?3|agpl version 3)(?: 0)?(?: only| or (?:any )?later(?: version)?)?"),
+    ("apache", "apache|apache2", 6, 0.70, "(?:apache ?v?2|apache version 2)(?: 0)?"),
+    ("bsd-2-clause", "bsd", 6, 0.70, "bsd 2 clause"),
+    ("bsd-3-clause", "bsd", 6, 0.70, "bsd 3 clause"),
+    ("mpl", "mpl|mplv2|mpl2", 6, 0.70, "mpl ?v?[12](?: [01])?"),
+    ("epl", "epl|eplv1|eplv2", 6, 0.70, "epl ?v?[12](?: 0)?"),
+    ("cddl", "cddl", 6, 0.70, "cddl ?v?1 [01]"),
+    ("eupl", "eupl", 6, 0.70, "eupl ?v?1 [012]"),
+    ("ofl", "ofl", 6, 0.70, "ofl ?v?1 1"),
+    ("boost", "bsl", 6, 0.70, "bsl ?v?1 0"),
+    ("cc0", "cc0", 6, 0.70, "cc0 ?v?1 0"),
+)
+
 
 def rules() -> list[tuple[str, str, int, float, str]]:
     """All signature rules in order: label, keywords, priority (0 is best), confidence, regular expression."""
-    return [(label, keyword, rank, confidence, f"(?<= )(?:{form.format(n=name, i=ident)})(?= )")
-            for rank, (confidence, form) in enumerate(FORMS) for label, keyword, name, ident in FAMILIES]
+    written = [(label, keywords, rank, confidence, f"(?<= )(?:{pattern})(?= )") for label, keywords, rank, confidence, pattern in SIGNATURES]
+    return sorted(written + [(label, keyword, rank, confidence, f"(?<= )(?:{form.format(n=name, i=ident)})(?= )")
+            for rank, (confidence, form) in enumerate(FORMS) for label, keyword, name, ident in FAMILIES], key=lambda rule: rule[2])
 
 
 def normalised(text: Column) -> Column:
@@ -84,15 +140,11 @@ def normalised(text: Column) -> Column:
 
 
 def _spans(text: Column, pattern: Column) -> Column:
-    """(start, end) of all matches: pieces between them and the matches themselves, added up."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    step = lambda acc, pair: F.struct(
-        (acc["at"] + F.length(pair["p"]) + F.length(pair["h"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(pair["p"])).alias("start"),
-                                              (acc["at"] + F.length(pair["p"]) + F.length(pair["h"])).alias("end")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    """(start, end) of all matches."""
+    def step(at: Column, r: Column) -> tuple[Column, Column, Column]:
+        return at + r["gap"] + r["n"], F.lit(True), F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["n"]).alias("end"))
+
+    return scanned(matches(text, pattern), F.lit(0), step, "array<struct<start:int,end:int>>")
 
 
 DETECTION = "array<struct<start:int,end:int,rank:int,label:string,confidence:double>>"
@@ -122,11 +174,11 @@ def surviving(found: Column) -> Column:
     """
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(
         d["start"].alias("start"), (-d["end"]).alias("back"), d["rank"].alias("rank"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
-    step = lambda acc, d: F.when(-d["back"] <= acc["reach"], acc).otherwise(F.struct(
-        (-d["back"]).alias("reach"), F.concat(acc["out"], F.array(F.struct(
-            d["start"].alias("start"), (-d["back"]).alias("end"), d["rank"].alias("rank"), d["label"].alias("label"), d["confidence"].alias("confidence")))).alias("out")))
-    zero = F.struct(F.lit(-1).alias("reach"), F.array().cast(DETECTION).alias("out"))
-    return F.aggregate(ordered, zero, step, lambda acc: acc["out"])
+    def step(reach: Column, d: Column) -> tuple[Column, Column, Column]:
+        end = -d["back"]
+        return F.greatest(reach, end), end > reach, F.struct(d["start"].alias("start"), end.alias("end"), *[d[c].alias(c) for c in ("rank", "label", "confidence")])
+
+    return scanned(ordered, F.lit(-1), step, DETECTION)
 
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:

@@ -20,12 +20,10 @@ Very long texts are scanned whole. Other columns do not matter. Spans count code
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import whole, written
+from cohortwise.llm.common import matches, scanned, whole, written
 
 #: The base patterns of the contract.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -51,42 +49,13 @@ SECRETS = [NAMES.index("assign"), NAMES.index("hex"), *WEAK]
 DOCUMENT = ["doc_id", "content"]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _spans(text: Column, kind: int, pattern: str, lengths: tuple[int, int] | None) -> Column:
     """Matches as (start, end, kind); ``lengths`` bounds the second group."""
-    def rows(found: Column) -> Column:
-        gaps = F.transform(F.slice(found["pieces"], F.lit(1), F.size(found["hits"])), F.length)
-        sizes = F.zip_with(gaps, found["hits"], lambda gap, hit: F.struct(gap.alias("gap"), F.length(hit).alias("n")))
-        return F.zip_with(sizes, found["values"], lambda a, v: F.struct(a["gap"].alias("gap"), a["n"].alias("n"), F.length(v).alias("v")))
-
-    def blocks(all_rows: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(all_rows))).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.size(all_rows) - 1, width), lambda at: F.slice(all_rows, at + 1, width))
-        return F.when(F.size(all_rows) > 0, cut)
-
-    def span(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["gap"]
-        return F.struct(start.alias("start"), (start + r["n"]).alias("end"), F.lit(kind).alias("kind"))
-
-    def step(acc: Column, r: Column) -> Column:
-        passes = r["v"].between(*lengths) if lengths else F.lit(True)
-        out = F.when(passes, F.concat(acc["out"], F.array(span(acc, r)))).otherwise(acc["out"])
-        return F.struct((acc["at"] + r["gap"] + r["n"]).alias("at"), out.alias("out"))
-
-    def block_step(acc: Column, block: Column) -> Column:
-        done = F.aggregate(block, F.struct(acc["at"].alias("at"), F.array().cast(PARTS).alias("out")), step)
-        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
-
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if lengths else hits
-    found = F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("pieces"), values.alias("values"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PARTS}>").alias("out"))
-    summed = _let(_let(found, rows), lambda r: F.aggregate(blocks(r), zero, block_step, lambda acc: F.flatten(acc["out"])))
-    return F.coalesce(summed, F.array().cast(PARTS))
+    def step(at: Column, r: Column) -> tuple[Column, Column, Column]:
+        span = F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["n"]).alias("end"), F.lit(kind).alias("kind"))
+        return at + r["gap"] + r["n"], r["v"].between(*lengths) if lengths else F.lit(True), span
+
+    return scanned(matches(text, F.lit(pattern), 2 if lengths else 0), F.lit(0), step, PARTS)
 
 
 def parts(docs: DataFrame) -> DataFrame:
