@@ -39,6 +39,7 @@ class TrainingData:
     cohort: str
     chosen: dict[str, list[str]]
     fills: dict[str, dict[str, float]]
+    failed: dict[str, str] = field(default_factory=dict)
     _vectors: dict = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _grower: growth.Grower | None = None
@@ -102,7 +103,8 @@ def training_data(df: DataFrame, target: str, chosen: dict[str, list[str]], conf
     """Impute the chosen features by cohort medians and keep the narrow table for training.
 
     ``gaps`` are medians a selection has already computed. Every chosen feature gets a median, also one without gaps in
-    the rows it is fitted on: rows scored later may miss it. A feature without any value in its cohort is an error.
+    the rows it is fitted on: rows scored later may miss it. A cohort with a feature without any value is left out and named in
+    ``failed``, so that the others train; if no cohort is left it is an error.
     """
     cohort = config.cohort
     features = sorted({f for names in chosen.values() for f in names})
@@ -115,15 +117,19 @@ def training_data(df: DataFrame, target: str, chosen: dict[str, list[str]], conf
         for r in collect_bounded(medians(fit, lacking, [cohort])):
             known.setdefault((r[cohort], r.feature), r.value)
     void = [pair for pair in wanted if known.get(pair) is None]
-    if void:
+    failed = {c: "features without any value: " + ", ".join(f for d, f in void if d == c) for c, _ in void}
+    if void and len(failed) == len(chosen):
         raise ValueError(f"features without any value in their cohort: {void}")
+    chosen = {c: names for c, names in chosen.items() if c not in failed}
+    features = sorted({f for names in chosen.values() for f in names})
+    source, wanted = source.where(F.col(cohort).isin(sorted(chosen))), [(c, f) for c, f in wanted if c in chosen]
     fills: dict[str, dict[str, float]] = {}
     for c, f in wanted:
         fills.setdefault(c, {})[f] = known[c, f]
     table = small_frame(df.sparkSession, [(c, f, known[c, f]) for c, f in wanted], f"{cohort} string, feature string, value double")
     rows = fill(source, table, features, cohort).where(F.col(target).isNotNull()).select(
         *dict.fromkeys([cohort, "row_key", "split", "fold", target, *features]))
-    return TrainingData(rows.persist(StorageLevel.MEMORY_AND_DISK), target, cohort, chosen, fills)
+    return TrainingData(rows.persist(StorageLevel.MEMORY_AND_DISK), target, cohort, chosen, fills, failed)
 
 
 # --- linear models --------------------------------------------------------
@@ -204,6 +210,20 @@ def train_linear(data: TrainingData, names: Sequence[str], scaler: str = "minmax
     return _linear_records(data, {c: plan for c in (cohorts or data.chosen)}, names, points, search.metric if search else "mae")
 
 
+def tolerant_linear(data: TrainingData, names: Sequence[str], scaler: str, search: "Search | None", cohorts: Sequence[str] | None = None):
+    """``train_linear`` in shared passes; if they fail, model by model, then cohort by cohort, so that only what fails is reported as failed."""
+    cohorts = list(cohorts or data.chosen)
+    try:
+        return train_linear(data, names, scaler, search, cohorts)
+    except Exception as error:
+        if len(names) == len(cohorts) == 1:
+            reason = str(error) or type(error).__name__
+            return [_record(data, cohorts[0], names[0]) | {"status": "failed", "error": reason}], {}
+        parts = [([n], cohorts) for n in names] if len(names) > 1 else [(names, [c]) for c in cohorts]
+        done = [tolerant_linear(data, n, scaler, search, c) for n, c in parts]
+        return sum((d[0] for d in done), []), {k: v for d in done for k, v in d[1].items()}
+
+
 def _linear_records(data, plan, names, points, metric, label=lambda n: n, variant="base"):
     fits, scores, _ = linear_scores(data, plan)
     table = _by_model(scores, data.cohort)
@@ -216,6 +236,7 @@ def _linear_records(data, plan, names, points, metric, label=lambda n: n, varian
                       for i in range(len(points.get(name, ()))) if (cohort, f"{name}#{i}") in table}
             winner = _best(trials, metric) or (name if base else None)
             if winner is None:
+                records.append(_record(data, cohort, label(name), variant) | {"status": "failed", "error": "no training rows"})
                 continue
             slot, fit = table[cohort, winner], final[cohort, winner]
             values = _final(slot)
@@ -425,7 +446,7 @@ def train_models(data: TrainingData, names: Sequence[str] | None = None, profile
     records, models, fits = [], {}, {}
     wanted = [n for n in names if n in registry.LINEAR_KINDS]
     if wanted:
-        records, fits = train_linear(data, wanted, scaler, search)
+        records, fits = tolerant_linear(data, wanted, scaler, search)
         models = {key: linear_pipeline(data, fit) for key, fit in fits.items()}
     grown = [trees[n] for n in names if isinstance(trees.get(n), registry.GrownSpec)]
     gains: dict = {}
@@ -445,6 +466,8 @@ def train_models(data: TrainingData, names: Sequence[str] | None = None, profile
             records.append(record)
             if model is not None:
                 models[record["cohort"], record["model"]] = model
+    records = records + [{"target": data.target, "cohort": c, "model": n, "variant": "base", "features_used": 0, "status": "failed", "error": reason}
+                         for c, reason in data.failed.items() for n in names]
     return Training(results_frame(data.spark, records), models, importance_frame(data, models, fits, gains))
 
 

@@ -15,7 +15,7 @@ from cohortwise.models import growth, linear, many, registry
 from cohortwise.models.train import (
     Search, compare_scalers, finetune_top, linear_scores, multi_metric_search, sequential_trials, train_linear, train_models,
     train_single_features, training_data, results_frame)
-from cohortwise.operators import compare, prepare as prep, stats, transform
+from cohortwise.operators import compare, prepare as prep, sketches, stats, transform
 from cohortwise.operators.evaluate import predicted_vs_actual, regression_metrics
 from cohortwise.operators.features import FEATURES, candidate_names, engineer, feature_column, range_columns, value_ranges
 from cohortwise.operators.select import Selection, choose_by_rounds, filled_variance, medians_where_missing, select_features, small_copy
@@ -90,6 +90,16 @@ def iqr_missing_column(spark, sf):
     return prep.remove_outliers(event_units(spark, sf), "no_such_column").groupBy(C).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sketched_quantiles(spark, sf):
+    """Quartiles from stored states of two loads, merged; ``within`` holds them against exact ranks."""
+    rows, path = event_units(spark, sf), os.path.join(scratch_dir(spark), f"states-{uuid.uuid4().hex}")
+    for load, first in (("first", F.col("row_key") < "8"), ("second", F.col("row_key") >= "8")):
+        sketches.store_states(sketches.quantile_states(rows.where(first), ["value"], [C]), path, load)
+    found = sketches.state_quantiles(sketches.stored_states(spark, path, [C]), [0.25, 0.5, 0.75], [C])
+    found = materialize(found, "sketched")  # a sketch drawn again would give other values
+    return sketches.rank_check(rows, found, "value", [C], 3 * sketches.rank_error()).drop("value")
+
+
 def outlier_accounting(spark, sf):
     return prep.outlier_accounting(lines(spark, sf), RATIO, [C])
 
@@ -790,7 +800,7 @@ def model_roundtrip(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    ratio_target, clamp_lower, iqr_outliers, iqr_outliers_any, iqr_outliers_by_cohort, iqr_missing_column,
+    ratio_target, clamp_lower, iqr_outliers, iqr_outliers_any, iqr_outliers_by_cohort, iqr_missing_column, sketched_quantiles,
     outlier_accounting, prepared_rows, cohort_filter, row_preview, cohort_stats, cohort_counts, histogram_density,
     target_distribution, overlaid_distribution, boxplot_stats, cohort_mean_gap, engineered_features, equal_width_bins,
     max_normalised, median_impute, mean_impute, missing_counts, train_test_split, kfold_assignment, minmax_scale,

@@ -381,6 +381,9 @@ def oracle() -> dict[str, str]:
     sql["iqr_outliers_by_cohort"] = (
         f"SELECT e.* FROM {_EVENTS} e JOIN (SELECT event_type AS cohort, quantile_cont(value, 0.25) AS q1, "
         f"quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) USING (cohort) WHERE {_inside('value')}")
+    sql["sketched_quantiles"] = (
+        "SELECT event_type AS cohort, 'value' AS feature, CAST(p AS DOUBLE) AS p, count(value) AS n, TRUE AS within "
+        "FROM events, (VALUES (0.25), (0.5), (0.75)) q(p) GROUP BY 1, 3")
     sql["iqr_missing_column"] = "SELECT event_type AS cohort, count(*) AS n FROM events GROUP BY 1"
     sql["outlier_accounting"] = (
         f"WITH {_LINES} SELECT cohort, count(*) AS n_before, count(*) FILTER (WHERE {_inside('efficiency')}) AS n_kept, "

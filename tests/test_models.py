@@ -258,3 +258,26 @@ def test_older_analysis_uses_plain_columns_and_means(spark):
         w = np.linalg.lstsq(x[train], y[train], rcond=None)[0]
         assert abs(got[cohort].test_mae - np.abs(x[~train] @ w - y[~train]).mean()) < 1e-6
         assert got[cohort].features_used == 7
+
+
+def test_linear_models_and_void_cohorts_fail_alone(table, monkeypatch):
+    from cohortwise.models import linear, train
+    void = table.withColumn("v", F.when(F.col("cohort") == "a", F.col("x")))
+    data = training_data(void, "y", {"a": ["x", "v"], "b": ["x", "v"]}, VEHICLES)
+    trained = train_models(data, [registry.OLS, registry.TREE], cv=False)
+    got = {(r.cohort, r.model): (r.status, r.error) for r in trained.results.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(c, m): "ok" if c == "a" else "failed" for c in "ab" for m in (registry.OLS, registry.TREE)}
+    assert got["b", registry.OLS][1] == "features without any value: v"
+    solve = linear.solve
+
+    def broken(sums, out, spec, *rest):
+        if spec.name == registry.RIDGE:
+            raise np.linalg.LinAlgError("singular")
+        return solve(sums, out, spec, *rest)
+
+    monkeypatch.setattr(linear, "solve", broken)
+    data = training_data(table, "y", {"a": ["x", "z"], "b": ["x", "z"]}, VEHICLES)
+    trained = train_models(data, [registry.OLS, registry.RIDGE], cv=False)
+    assert {(r.cohort, r.model): r.status for r in trained.results.collect()} == {
+        (c, m): "failed" if m == registry.RIDGE else "ok" for c in "ab" for m in (registry.OLS, registry.RIDGE)}
+    assert set(trained.models) == {("a", registry.OLS), ("b", registry.OLS)}
