@@ -11,6 +11,7 @@ from cohortwise.bounded import MAX_STATISTICS_ROWS, collect_bounded, discard, ma
 from cohortwise.config import CohortConfig
 from cohortwise.operators.features import candidate_names
 from cohortwise.operators.stats import correlation_pairs, medians, profile, target_correlations
+from cohortwise.operators.tiles import WIDTH, block_profile, tiled_correlation_pairs
 
 
 @dataclass
@@ -60,9 +61,10 @@ def select_features(df: DataFrame, target: str, config: CohortConfig, features=N
     cohort = config.cohort
     names = features or candidate_names(None, target, config)
     source = df.where(F.col("split") == "train") if config.fit_on == "train" else df
-    stats = small_copy(profile(source, [*names, target], [cohort]))
+    wide = len(names) >= WIDTH
+    stats = small_copy(block_profile(source, [*names, target], [cohort], WIDTH) if wide else profile(source, [*names, target], [cohort]))
     fills = small_copy(medians_where_missing(source, stats, cohort))
-    pairs = correlation_pairs(source, [*names, target], cohort, stats)
+    pairs = tiled_correlation_pairs(source, [*names, target], cohort, stats, WIDTH) if wide else correlation_pairs(source, [*names, target], cohort, stats)
     if stats.count() * (len(names) + 2) // 2 > MAX_STATISTICS_ROWS:  # about as many pairs
         return choose_by_rounds(materialize(pairs, "pairs"), stats, fills, target, config, names, explicit=features is not None)
     pairs = small_copy(pairs)

@@ -20,6 +20,7 @@ from cohortwise.operators.evaluate import predicted_vs_actual, regression_metric
 from cohortwise.operators.features import FEATURES, candidate_names, engineer, feature_column, range_columns, value_ranges
 from cohortwise.operators.select import Selection, choose_by_rounds, filled_variance, medians_where_missing, select_features, small_copy
 from cohortwise.operators.split import with_split
+from cohortwise.operators.tiles import tiled_correlation_pairs
 from cohortwise.plans import charts, runs
 from cohortwise.plans.runs import RunOptions
 from cohortwise.sources import sinks
@@ -235,6 +236,12 @@ def wide_correlation(spark, sf):
     return round_all(stats.correlation_pairs(df, [c for c in df.columns if c.startswith("e")], C), 6)
 
 
+def tiled_correlation(spark, sf):
+    """All columns in blocks of 24: six tiles, each a scan of two blocks."""
+    df = embedding_units(spark, sf)
+    return round_all(tiled_correlation_pairs(df, [c for c in df.columns if c.startswith("e")], C, width=24), 6)
+
+
 def _correlations(spark, sf, target):
     df = engineered(spark, sf, target)
     pairs = stats.correlation_pairs(df, [*candidate_names(None, target, UNITS), target], C)
@@ -804,7 +811,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     outlier_accounting, prepared_rows, cohort_filter, row_preview, cohort_stats, cohort_counts, histogram_density,
     target_distribution, overlaid_distribution, boxplot_stats, cohort_mean_gap, engineered_features, equal_width_bins,
     max_normalised, median_impute, mean_impute, missing_counts, train_test_split, kfold_assignment, minmax_scale,
-    zscore_scale, yeo_johnson_grid, yeo_johnson_best, onehot_cohort, correlation_pairs, wide_correlation,
+    zscore_scale, yeo_johnson_grid, yeo_johnson_best, onehot_cohort, correlation_pairs, wide_correlation, tiled_correlation,
     target_correlation, correlation_bars, top_correlations, corr_strength_buckets, cohort_corr_compare,
     corr_lower_triangle, variance_filter, feature_selection, feature_selection_rounds, feature_selection_fallback, feature_name_sets,
     feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, ols_two_features, ridge_two_features,

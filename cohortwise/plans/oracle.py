@@ -448,6 +448,7 @@ def oracle() -> dict[str, str]:
       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
       p AS (SELECT a.cohort, a.i, b.i AS j, count(*) AS n, corr(a.x, b.x) AS corr FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
       SELECT cohort, 'e' || lpad(CAST(i AS VARCHAR), 2, '0') AS a, 'e' || lpad(CAST(j AS VARCHAR), 2, '0') AS b, n, {_r(_number('corr'), 6, 'corr')} FROM p"""
+    sql["tiled_correlation"] = sql["wide_correlation"]
     tc = f"WITH {_target_correlations(MAINTENANCE)}"
     sql["target_correlation"] = f"{tc} SELECT cohort, feature, {_r('corr', 8)} FROM tc"
     words = "array_to_string(list_transform(string_split(feature, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
