@@ -126,9 +126,25 @@ def _shift(parts) -> tuple[float, float]:
     return mean, float(np.sqrt(spread)) or 1.0
 
 
-def solve(sums: CohortSums, left_out: int, spec: LinearSpec, features: Sequence[str],
-          target: str) -> tuple[float, float, np.ndarray]:
-    """Target mean, intercept and coefficients of one candidate on the rows outside one fold."""
+@dataclass
+class Problem:
+    """Centred sums of products of scaled features, and what turns a solution back into the units of the features."""
+
+    n: float
+    gram: np.ndarray
+    moment: np.ndarray
+    size: np.ndarray
+    level: float
+    center: np.ndarray
+
+    def unscaled(self, scaled: np.ndarray) -> tuple[float, np.ndarray]:
+        """Intercept and coefficients."""
+        coefficients = scaled / self.size
+        return float(self.level - coefficients @ self.center), coefficients
+
+
+def problem(sums: CohortSums, left_out: int, scaler: str, features: Sequence[str], target: str) -> Problem:
+    """The linear problem of the rows outside one fold."""
     rows = sums.without(left_out)
     index = [sums.columns.index(f) for f in features]
     y = sums.columns.index(target)
@@ -136,23 +152,28 @@ def solve(sums: CohortSums, left_out: int, spec: LinearSpec, features: Sequence[
     spread = rows.cross - rows.n * np.outer(mean, mean)
     unit = sums.scale[index]
     deviation = np.sqrt(np.clip(np.diag(spread)[index], 0.0, None) / rows.n) * unit
-    if spec.scaler == "minmax":
+    if scaler == "minmax":
         size = rows.high[index] - rows.low[index]
-    elif spec.scaler == "standard":
+    elif scaler == "standard":
         size = deviation.copy()
     else:
         size = np.ones(len(index))
     size = np.where((size > 0) & np.isfinite(size), size, 1.0)
     stretch = unit / size
-    gram = spread[np.ix_(index, index)] * np.outer(stretch, stretch)
-    moment = spread[index, y] * stretch * sums.scale[y]
+    center = sums.shift + sums.scale * mean
+    return Problem(rows.n, spread[np.ix_(index, index)] * np.outer(stretch, stretch), spread[index, y] * stretch * sums.scale[y],
+                   size, float(center[y]), center[index])
+
+
+def solve(sums: CohortSums, left_out: int, spec: LinearSpec, features: Sequence[str],
+          target: str) -> tuple[float, float, np.ndarray]:
+    """Target mean, intercept and coefficients of one candidate on the rows outside one fold."""
+    p = problem(sums, left_out, spec.scaler, features, target)
     if spec.kind == "lasso":
-        scaled = _lasso(gram / rows.n, moment / rows.n, spec.alpha, spec.max_iter, spec.tol)
+        scaled = _lasso(p.gram / p.n, p.moment / p.n, spec.alpha, spec.max_iter, spec.tol)
     else:
-        scaled = _ridge(gram, moment, spec.alpha if spec.kind == "ridge" else 0.0)
-    coefficients = scaled / size
-    center = sums.shift + sums.scale * mean
-    return float(center[y]), float(center[y] - coefficients @ center[index]), coefficients
+        scaled = _ridge(p.gram, p.moment, spec.alpha if spec.kind == "ridge" else 0.0)
+    return (p.level, *p.unscaled(scaled))
 
 
 def _ridge(gram: np.ndarray, moment: np.ndarray, alpha: float) -> np.ndarray:

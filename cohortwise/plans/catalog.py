@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.bounded import attach, collect_bounded, materialize, scratch_dir, small_frame
-from cohortwise.models import growth, linear, many, registry
+from cohortwise.models import growth, linear, many, path, registry
 from cohortwise.models.train import (
     Search, compare_scalers, finetune_top, linear_scores, multi_metric_search, sequential_trials, train_linear, train_models,
     train_single_features, training_data, results_frame)
@@ -444,6 +444,32 @@ def part_models(spark, sf):
     return fits.select(C, "model", "left_out", "n", "held_n", *[rounded(v + 1e-8, 5, name) for name, v in values.items()])
 
 
+def _path(spark, sf, kind, names, alphas=None):
+    """Mileage on ``names``: every penalty's coefficients and errors, on all training rows and with each fold left out."""
+    paths = path.fit_paths(_roles_prepared(spark, sf, MILEAGE, names), MILEAGE, names, C, [kind], alphas)
+    weights = {f"w_{name}": F.col("coefficients")[k] for k, name in enumerate(names)}
+    return paths.select(C, "step", "left_out", "n", "held_n", rounded("alpha", 6), *[rounded(v, 4, name) for name, v in weights.items()],
+                        rounded("intercept", 3), rounded("train_rmse", 4), rounded("held_rmse", 4), rounded("held_r2", 6))
+
+
+def ridge_path(spark, sf):
+    """Three features over 40 penalties."""
+    return _path(spark, sf, "ridge", [RATIO, "cost_per_km", "energy_storage_capacity"], [10.0 ** (3 - 7.0 * k / 39) for k in range(40)])
+
+
+def lasso_path(spark, sf):
+    """Two features over each cohort's own 40 penalties."""
+    return _path(spark, sf, "lasso", [RATIO, "cost_per_km"])
+
+
+def penalty_path_best(spark, sf):
+    """Every original feature and the ratio: per cohort and kind of path the least error's penalty and the largest one within a standard error."""
+    names = [n for n in (*UNITS.originals, RATIO) if n != MILEAGE]
+    scores = materialize(path.path_scores(path.fit_paths(_roles_prepared(spark, sf, MILEAGE, names), MILEAGE, names, C)), "path-scores")
+    best = [path.best_penalties(scores, errors).withColumn("within_errors", F.lit(errors)) for errors in (0.0, 1.0)]
+    return round_all(best[0].unionByName(best[1]), 6, ("within_errors",))
+
+
 def search_winner(spark, sf):
     """Grid search of both penalties by either metric: the winner, its penalty and its scores."""
     data = _single(spark, sf, MILEAGE, [RATIO])
@@ -816,7 +842,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     corr_lower_triangle, variance_filter, feature_selection, feature_selection_rounds, feature_selection_fallback, feature_name_sets,
     feature_summary, ols_by_cohort, ridge_by_cohort, lasso_by_cohort, ols_two_features, ridge_two_features,
     pooled_ols_two_features, pooled_ridge_two_features, regression_metrics_by_split,
-    predicted_vs_actual_rows, cv_linear_scores, part_models, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
+    predicted_vs_actual_rows, cv_linear_scores, part_models, ridge_path, lasso_path, penalty_path_best, alpha_grid_search, lasso_grid_search, search_winner, pooled_ols, feature_models,
     model_ranking, model_ranking_by_mae, topk_models, best_models, tuned_vs_base, append_tuned, train_test_gap,
     model_cohort_pivot, cv_stability, predictable_cohort, target_leaderboard, scaler_results, scaler_summary,
     scaler_means, scaler_best, scaler_ranking, scaler_overall_best, scaler_pivot, scaler_details, scaler_pivot_file,

@@ -369,8 +369,61 @@ g AS (SELECT cohort, model, left_out, n, my - wa * ma - wb * mb AS intercept, wa
 SELECT cohort, model, CAST(left_out AS INTEGER) AS left_out, n, held_n, {", ".join(_r(f"{c} + 1e-8", 5, c) for c in ("intercept", "w_tax", "w_discount", "train_rmse", "train_r2", "held_rmse"))} FROM g"""
 
 
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    terms = [f"({m[0][k]}) * ({_determinant([row[:k] + row[k + 1:] for row in m[1:]])})" for k in range(len(m))]
+    return " - ".join([terms[0], terms[1]]) + (f" + {terms[2]}" if len(m) == 3 else "")
+
+
+def _path(kind: str, features: dict[str, str]) -> str:
+    """Solutions of every penalty from normal equations over features scaled to their ranges, with each fold left out (-1: none).
+
+    Ridge by Cramer's rule. The lasso of two features takes the best of its seven possible shapes: none, one alone, both with either signs.
+    """
+    names = list(features)
+    pairs = [(p, q) for k, p in enumerate(names) for q in names[k:]]
+    entry = lambda p, q: f"h{min(p, q)}{max(p, q)}"
+    moments = ", ".join([f"covar_pop({p}, {q}) / ((max({p}) - min({p})) * (max({q}) - min({q}))) AS {entry(p, q)}" for p, q in pairs]
+                        + [f"covar_pop({p}, y) / (max({p}) - min({p})) AS g{p}, avg({p}) AS m{p}, max({p}) - min({p}) AS r{p}" for p in names])
+    if kind == "ridge":
+        penalties = "SELECT cohort, step, pow(10.0, 3 - 7.0 * step / 39) AS alpha FROM s, steps WHERE left_out = -1"
+        matrix = [[entry(p, q) + (" + alpha / n" if p == q else "") for q in names] for p in names]
+        swapped = lambda at: [[f"g{names[i]}" if k == at else row[k] for k in range(len(names))] for i, row in enumerate(matrix)]
+        solved = "SELECT cohort, step, left_out, alpha, " + ", ".join(
+            f"({_determinant(swapped(k))}) / ({_determinant(matrix)}) AS v{p}" for k, p in enumerate(names)) + " FROM s JOIN penalties USING (cohort)"
+    else:
+        penalties = f"SELECT cohort, step, greatest({', '.join(f'abs(g{p})' for p in names)}) * pow(1000.0, -step / 39.0) AS alpha FROM s, steps WHERE left_out = -1"
+        alone = lambda p: f"sign(g{p}) * greatest(abs(g{p}) - alpha, 0) / h{p}{p}"
+        shapes = ["{'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}", f"{{'a': {alone('a')}, 'b': 0.0::DOUBLE}}", f"{{'a': 0.0::DOUBLE, 'b': {alone('b')}}}"]
+        for i in (1, -1):
+            for j in (1, -1):
+                ga, gb = f"(ga - alpha * {i})", f"(gb - alpha * {j})"
+                shapes.append(f"{{'a': ({ga} * hbb - {gb} * hab) / (haa * hbb - hab * hab), 'b': ({gb} * haa - {ga} * hab) / (haa * hbb - hab * hab)}}")
+        solved = f"""SELECT cohort, step, left_out, alpha, arg_min(v.a, loss) AS va, arg_min(v.b, loss) AS vb FROM (
+  SELECT *, (haa * v.a * v.a + hbb * v.b * v.b) / 2 + hab * v.a * v.b - ga * v.a - gb * v.b + alpha * (abs(v.a) + abs(v.b)) AS loss
+  FROM (SELECT *, unnest([{', '.join(shapes)}]) AS v FROM s JOIN penalties USING (cohort))) GROUP BY ALL"""
+    formula = " + ".join(f"w{p} * {p}" for p in names)
+    shown = ", ".join(_r(f"any_value(w{p})", 4, f"w_{column}") for p, column in features.items())
+    return f"""WITH {prepared_cte(MILEAGE)},
+steps AS (SELECT CAST(i AS INTEGER) AS step FROM range(40) r(i)),
+x AS (SELECT cohort, left_out, split = 'train' AND fold <> left_out AS learn, mileage_km AS y, {", ".join(f"{column} AS {p}" for p, column in features.items())}
+      FROM prepared, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS left_out) WHERE split = 'train' OR left_out = -1),
+s AS (SELECT cohort, left_out, count(*) AS n, avg(y) AS my, {moments} FROM x WHERE learn GROUP BY ALL),
+penalties AS ({penalties}),
+solved AS ({solved}),
+w AS (SELECT cohort, step, left_out, alpha, n, {", ".join(f"v{p} / r{p} AS w{p}" for p in names)}, my - {" - ".join(f"v{p} / r{p} * m{p}" for p in names)} AS w0
+      FROM solved JOIN s USING (cohort, left_out)),
+e AS (SELECT w.*, learn, y, y - (w0 + {formula}) AS error FROM w JOIN x USING (cohort, left_out))
+SELECT cohort, step, CAST(left_out AS INTEGER) AS left_out, any_value(n) AS n, count(*) FILTER (NOT learn) AS held_n, {_r("any_value(alpha)", 6, "alpha")}, {shown},
+       {_r("any_value(w0)", 3, "intercept")}, {_r("sqrt(avg(error * error) FILTER (learn))", 4, "train_rmse")}, {_r("sqrt(avg(error * error) FILTER (NOT learn))", 4, "held_rmse")},
+       {_r("1 - avg(error * error) FILTER (NOT learn) / var_pop(y) FILTER (NOT learn)", 6, "held_r2")} FROM e GROUP BY cohort, step, left_out"""
+
+
 def oracle() -> dict[str, str]:
-    sql: dict[str, str] = {"depth_two_trees": _depth_two(), "part_models": _part_models()}
+    sql: dict[str, str] = {"depth_two_trees": _depth_two(), "part_models": _part_models(),
+                           "ridge_path": _path("ridge", {"a": RATIO, "b": "cost_per_km", "c": "energy_storage_capacity"}),
+                           "lasso_path": _path("lasso", {"a": RATIO, "b": "cost_per_km"})}
     # projections, filters, distributions
     sql["ratio_target"] = f"WITH {_LINES} SELECT cohort, row_key, efficiency FROM lines"
     sql["clamp_lower"] = f"WITH {DERIVED_CTE} SELECT cohort, row_key, co2_emissions_g_per_km FROM derived"
