@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage),
           ("benchmark decontamination", benchmark_stage), ("source mixing", mixing_stage)]
 
-#: A trained classifier decides in the first stage: no SQL twin, see tests/llm for the brute-force version.
+#: A trained classifier decides in the first stage: no SQL twin, see tests/llm/test_pipeline_whole.py for the brute-force version of the others.
 ORACLE_SQL = None
 
 
