@@ -195,3 +195,53 @@ def test_width_bins(data, pdf):
     grown = Grower(data.rows, "y", "cohort", data.chosen, growth.width_edges).grow([Growth(depth=1, bins=8)], folds=False)
     x = pdf[(pdf.cohort == "a") & (pdf.split == "train")].x
     assert grown.edges["a", "x", 8] == pytest.approx([x.min() + k * ((x.max() - x.min()) / 8) for k in range(1, 8)])
+
+
+@pytest.fixture(scope="module")
+def coarse(table):
+    """Few distinct rows, so that every cohort has cells of several rows."""
+    rows = table.withColumns({"x": F.floor(F.col("x") / 10) * 10, "w": F.floor(F.col("w") * 2), "z": F.floor(F.col("z") / 2)})
+    return training_data(rows.withColumns({c: F.col(c).cast("double") for c in NAMES}), "y", {"a": NAMES, "b": NAMES}, VEHICLES)
+
+
+@pytest.mark.parametrize("score, part", [(10**6, 10**6), (200, 90)])
+def test_cells_grow_the_same_trees_in_a_few_passes(coarse, monkeypatch, score, part):
+    """Trees, boosting of every shape and samples of rows: from cells as in passes, without a pass per level and round."""
+    monkeypatch.setattr(growth, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(growth, "HERE_CELLS", 100)
+    wanted = [Growth(depth=3), Growth(depth=9), Growth(depth=9, least=6), Growth(rounds=4, depth=2, step=0.3), Growth(rounds=2, depth=2, step=0.3),
+              Growth(rounds=3, depth=3, step=0.3, rows=0.7), Growth(rounds=3, depth=3, step=0.3, rows=0.9, columns=0.6, l2=1.0), Growth(rounds=2, depth=3, step=0.3, rows=0.7, seed=7),
+              Growth(rounds=3, depth=3, step=0.2, shape="symmetric", l2=2.0), Growth(rounds=3, depth=4, step=0.2, shape="leaves", leaves=5, bins=255)]
+    grown, passes = {}, {}
+    for kind, share in (("passes", 10**9), ("cells", 2)):
+        monkeypatch.setattr(growth, "CELL_SHARE", share)
+        monkeypatch.setattr(growth, "SCORE_BYTES", score)
+        monkeypatch.setattr(growth, "PART_ROWS", part)
+        grower = Grower(coarse.rows, "y", "cohort", coarse.chosen)
+        grown[kind] = grower.grow(wanted)
+        passes[kind] = grower.passes
+        grower.release()
+    assert grown["cells"].scores.keys() == grown["passes"].scores.keys() and len(grown["cells"].scores) == 2 * len(wanted) * 7
+    for key, values in grown["cells"].scores.items():
+        assert values == pytest.approx(grown["passes"].scores[key], rel=1e-9), key
+    for key, fit in grown["cells"].fits.items():
+        other = grown["passes"].fits[key]
+        for a, b in zip(grown["cells"].trees(*key, wanted[key[1]]), grown["passes"].trees(*key, wanted[key[1]]), strict=True):
+            assert len(a[0]) == len(b[0]) and np.sort(a[3]) == pytest.approx(np.sort(b[3]), rel=1e-9, abs=1e-12), (key, other)
+    assert score < 10**6 or passes["cells"] <= 6 < passes["passes"]
+
+
+def test_cells_count_rows_without_split_or_fold(spark, coarse, monkeypatch):
+    """Test rows in cells of their own, rows without split or fold, and a cohort whose training rows share a fold."""
+    rows = coarse.rows.withColumns({"x": F.when(F.col("split") == "test", 7.0).otherwise(F.col("x")), "split": F.when(F.rand(1) < 0.9, F.col("split")),
+                                    "fold": F.when(F.col("cohort") == "a", 9).when(F.rand(2) < 0.9, F.col("fold"))}).localCheckpoint()
+    monkeypatch.setattr(growth, "WHOLE_ROWS", 0)
+    found = []
+    for share in (10**9, 2):
+        monkeypatch.setattr(growth, "CELL_SHARE", share)
+        grower = Grower(rows, "y", "cohort", coarse.chosen)
+        found.append(grower.grow([Growth(depth=6), Growth(rounds=2, depth=2, rows=0.8)]))
+        grower.release()
+        assert set(grower.grow([Growth(depth=1)], folds=False, cohorts=["b"]).fits) == {("b", 0)}
+    assert found[0].scores.keys() == found[1].scores.keys() and {s for *_, s in found[0].scores} == {"train", "test", "cv", None}
+    assert all(v == pytest.approx(found[1].scores[k], rel=1e-9) for k, v in found[0].scores.items())
