@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortwise import VEHICLES
 from cohortwise.bounded import TooManyRows, attach, collect_bounded, small_frame
+from cohortwise.functions.columns import yeo_johnson
 from cohortwise.operators import features, prepare, quantiles, select, split, stats, transform
 from cohortwise.sources.tables import as_cohort_table, read_table
 
@@ -256,3 +257,22 @@ def test_pair_sums_agree_with_and_without_missing_values():
     z = np.random.default_rng(1).normal(size=(50, 4))
     for a, b in zip(stats._complete_sums(z), stats._pairwise_sums(z)):
         assert np.allclose(a, b)
+
+
+def test_power_likelihoods_equal_plain_aggregates_on_odd_values(spark):
+    """Gaps, infinities, constants, both signs and a missing cohort: as one aggregate per power, with no row per value and power."""
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b", None][i % 3], float(rng.normal(5, 100)) if i % 5 else None, 1.0 * i if i != 6 else float("inf"), 3.25, None if i else float("nan")) for i in range(200)]
+    df = spark.createDataFrame(rows, "cohort string, x double, z double, c double, m double").repartition(4)
+    powers = (-2.0, 0.0, 0.3, 2.0)
+    found = transform.power_likelihoods(df, ["x", "z", "c", "m"], "cohort", powers)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.cohort, r.feature, r.power): r.loglik for r in found.collect()}
+    assert len(got) == 3 * 4 * len(powers)
+    for name in ("x", "z", "c", "m"):
+        for p in powers:
+            bent = yeo_johnson(F.col(name), p)
+            for r in df.groupBy("cohort").agg(F.count(name).alias("n"), F.var_pop(bent).alias("v"), F.sum(F.signum(name) * F.log1p(F.abs(name))).alias("s")).collect():
+                sound = name != "c" and r.v is not None and 0 < r.v < float("inf")
+                want = -r.n / 2 * np.log(r.v) + (p - 1) * r.s if sound else None
+                assert got[r.cohort, name, p] == (None if want is None else pytest.approx(want, rel=1e-9)), (r.cohort, name, p)
