@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cohortwise.bounded import discard, materialize
 from cohortwise.functions.columns import nan_to_null
 from cohortwise.models.linear import FINAL, CohortSums, LinearSpec, _Sums, solve
+from cohortwise.operators.batches import Moments
 
 TEST = -2
 #: Parts of which a task holds sums before it hands them on.
@@ -36,41 +37,6 @@ FITS = ("cohort string, model string, left_out int, n bigint, intercept double,
 _FIT_NAMES = [c.strip().split(" ")[0] for c in FITS.split(", ")]
 
 
-class Moments:
-    """Count, means, centred products and ranges of the rows of one part."""
-
-    def __init__(self, n: float, mean: np.ndarray, spread: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.n, self.mean, self.spread, self.low, self.high = n, mean, spread, low, high
-
-    @classmethod
-    def of(cls, rows: np.ndarray) -> "Moments":
-        mean = rows.mean(axis=0)
-        away = rows - mean
-        return cls(float(len(rows)), mean, away.T @ away, rows.min(axis=0), rows.max(axis=0))
-
-    def __add__(self, other: "Moments") -> "Moments":
-        n = self.n + other.n
-        gap = other.mean - self.mean
-        return Moments(n, self.mean + gap * (other.n / n), self.spread + other.spread + np.outer(gap, gap) * (self.n * other.n / n),
-                       np.minimum(self.low, other.low), np.maximum(self.high, other.high))
-
-    def row(self) -> tuple:
-        return self.n, self.mean, self.spread.ravel(), self.low, self.high
-
-    @classmethod
-    def read(cls, r) -> "Moments":
-        mean = np.asarray(r.mean)
-        return cls(r.n, mean, np.asarray(r.spread).reshape(len(mean), len(mean)), np.asarray(r.low), np.asarray(r.high))
-
-    def errors(self, intercept: float, weights: np.ndarray) -> tuple[float, float | None]:
-        """RMSE and R2 of a formula on these rows; the label is the last column."""
-        direction = np.append(-weights, 1.0)
-        bias = self.mean @ direction - intercept
-        square = max(0.0, float(direction @ self.spread @ direction) + self.n * bias * bias)
-        around = self.spread[-1, -1]
-        return float(np.sqrt(square / self.n)), 1 - square / around if around > 1e-12 * max(1.0, self.n * self.mean[-1] ** 2) else None
-
-
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[tuple[str, int], Moments] = {}
     flush = lambda: pd.DataFrame([(c, p, *m.row()) for (c, p), m in held.items()], columns=_NAMES)

@@ -276,3 +276,31 @@ def test_power_likelihoods_equal_plain_aggregates_on_odd_values(spark):
                 sound = name != "c" and r.v is not None and 0 < r.v < float("inf")
                 want = -r.n / 2 * np.log(r.v) + (p - 1) * r.s if sound else None
                 assert got[r.cohort, name, p] == (None if want is None else pytest.approx(want, rel=1e-9)), (r.cohort, name, p)
+
+
+def test_moments_and_pairs_from_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 900
+    x = 1e9 + rng.normal(size=n)
+    pdf = pd.DataFrame({"cohort": np.where(np.arange(n) % 3 == 0, "a", "b"), "x": x, "y": (x - 1e9) * 2 + rng.normal(size=n),
+                        "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), "flat": 0.1, "void": np.nan})
+    pdf.loc[pdf.cohort == "b", "flat"] = 0.3
+    names = ["x", "y", "gaps", "flat", "void"]
+    df = spark.createDataFrame(pdf).select("cohort", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names]).repartition(7)
+    found = stats.moments_and_pairs(df, names, "cohort").cache()
+    got = {(r.cohort, r.feature): r for r in stats.profile_of(found, "cohort").collect()}
+    for r in stats.profile(df, names, ["cohort"]).collect():
+        mine = got[r.cohort, r.feature]
+        assert (mine.n_rows, mine.n, mine.minimum, mine.maximum) == (r.n_rows, r.n, r.minimum, r.maximum)
+        assert mine["mean"] == (None if r["mean"] is None else pytest.approx(r["mean"], rel=1e-12))
+        assert mine.var_pop == (None if r.var_pop is None else pytest.approx(r.var_pop, rel=1e-6, abs=1e-20))
+    pairs = {(r.cohort, r.a, r.b): r["corr"] for r in stats.pairs_of(found, "cohort").collect()}
+    for c, part in pdf.groupby("cohort"):
+        for a, b in (("x", "y"), ("x", "gaps")):
+            assert pairs[c, a, b] == pytest.approx(part[a].corr(part[b]), abs=1e-9)
+        assert pairs[c, "x", "flat"] is None and pairs[c, "x", "void"] is None
+    assert len(pairs) == 2 * 10
+    monkeypatch.setattr(select, "profile", None)  # a selection makes no pass for moments alone
+    chosen = select.select_features(df, "y", VEHICLES, features=["x", "gaps", "flat"]).chosen
+    assert all(names[0] == "x" and "flat" not in names for names in chosen.values()) and set(chosen) == {"a", "b"}
+
