@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.bounded import discard, materialize
+from cohortwise.bounded import discard, materialize, narrow_batches
 from cohortwise.functions.columns import nan_to_null
 from cohortwise.models.linear import FINAL, CohortSums, LinearSpec, _Sums, solve
 from cohortwise.operators.batches import Moments
@@ -70,7 +70,8 @@ def part_moments(df: DataFrame, target: str, features: Sequence[str], cohort: st
     part = F.when(F.col("split") == "train", F.coalesce(F.col("fold").cast("int"), F.lit(FINAL))).otherwise(F.lit(TEST))
     columns = [nan_to_null(F.col(c).cast("double")).alias(f"v{k}") for k, c in enumerate([*features, target])]
     rows = df.where(F.col(cohort).isNotNull() & F.col("split").isin("train", "test")).select(F.col(cohort).cast("string").alias("cohort"), part.alias("part"), *columns).dropna()
-    partial = materialize(rows.mapInPandas(_fold, PARTIAL), "partial-moments")
+    with narrow_batches(rows):
+        partial = materialize(rows.mapInPandas(_fold, PARTIAL), "partial-moments")
     merged = materialize(_dealt(partial, partial.count(), "cohort", "part").applyInPandas(_merge, PARTIAL), "moments")
     discard(partial)
     return merged
