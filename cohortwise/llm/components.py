@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        after = written(_small_star(_large_star(now)), "edges")
+        after = written(_small_star(_large_star(now)), "edges", state[0])
         reached = _state(after)
         drop_written(spark, [now.scratch])
         now = after

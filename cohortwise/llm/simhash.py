@@ -107,17 +107,17 @@ def buckets(classes: DataFrame, radius: int, most: int) -> DataFrame:
     """(open, fixed, fp): fingerprints by bucket; ``fixed`` are the bits of fp that ``open`` does not leave open."""
     spark, bucket = classes.sparkSession, ["open", "fixed"]
     wide = classes.select(F.lit(-1).cast("bigint").alias("open"), "fp")
-    masks, done = [2**64 - 1], []
+    masks, done, count = [2**64 - 1], [], classes.count()
     for level in range(LEVELS):
         cuts = [(mask, mask & ~part) for mask in masks for part in parts_of(mask, radius + 1)]
         table = small_frame(spark, [(_signed(a), _signed(b)) for a, b in cuts], "open bigint, next bigint")
         dealt = wide.join(F.broadcast(table), "open").select(F.col("next").alias("open"), F.col("fp").bitwiseAND(F.bitwise_not("next")).alias("fixed"), "fp")
         sizes = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = written(dealt.join(sizes, bucket), "buckets")
+        rows = written(dealt.join(sizes, bucket), "buckets", count * (radius + 1))
         last = level == LEVELS - 1
         done.append((rows if last else rows.where(F.col("n") <= most)).select(*bucket, "fp"))
         wide, masks = rows.where(F.col("n") > most).select("open", "fp"), [b for _, b in cuts]
-        if last or wide.isEmpty():
+        if last or not (count := wide.count()):
             break
     out = done[0]
     for part in done[1:]:
@@ -260,10 +260,12 @@ def _searcher(radius: int):
 
 def near_links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
     """(u, v): fingerprints of ``classes`` (column fp, distinct) within the radius; enough of them to join every component."""
-    rows = written(buckets(classes, radius, most), "routed")
-    shards = partitions_for(rows.count(), SHARD_ROWS)
+    rows = buckets(classes, radius, most)
+    total = rows.count()
+    rows = written(rows, "routed", total)
+    shards = partitions_for(total, SHARD_ROWS)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("open", "fixed"), F.lit(shards)).cast("int"))
-    trees = written(dealt.groupBy("shard").applyInPandas(_grower(radius), TREE), "trees")
+    trees = written(dealt.groupBy("shard").applyInPandas(_grower(radius), TREE).coalesce(shards), "trees")
     size = trees.agg(F.sum(sum(F.octet_length(c) for c in ("fps", "roots", "edges", "levels")))).first()[0] or 0
     ranges = trees.select("shard", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1, F.lit(RANGE))).alias("first"))
     ranges = ranges.repartition(shards, "shard", "first")
@@ -285,17 +287,17 @@ def _joined_back(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
 def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     signed = written(fingerprints(docs, size), "fingerprints")
-    known = signed.where("doc_id IS NOT NULL")
-    classes = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    known, total = signed.where("doc_id IS NOT NULL"), signed.count()
+    classes = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes", total)
     # A repeated doc_id with different texts is one document.
     ties = known.groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("doc_id", "v")
     tied = known.join(ties, "doc_id").where("fp <> v").select(F.col("fp").alias("u"), "v")
     links = written(near_links(classes.select("fp"), radius, most).unionAll(tied), "links")
-    found = written(components(links).withColumnRenamed("node", "fp"), "components")
+    found = written(components(links).withColumnRenamed("node", "fp"), "components", total)
     least = found.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("least"))
     linked = found.join(least, "component").select("fp", "least")
-    resolved = written(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")), "resolved")
-    out = _joined_back(known, resolved, signed.count()).unionByName(signed.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("bigint")))
+    resolved = written(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")), "resolved", total)
+    out = _joined_back(known, resolved, total).unionByName(signed.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("bigint")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -96,3 +96,31 @@ def test_links_join_all_neighbours(spark, most, large, monkeypatch):
     want = plain_components([int(x) for x in fps], lambda a, b: (a ^ b).bit_count() <= 4)
     assert plain_components([int(x) for x in fps], lambda a, b: (a, b) in pairs) == want
     assert len(set(want.values())) > 12
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables of some rows are written by a few tasks, however many shuffle partitions a session has."""
+    from cohortwise.llm import components
+    ship(spark)
+    files, plain = {}, simhash.written
+
+    def counted(df, tag, *rows):
+        out = plain(df, tag, *rows)
+        files.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(components, "written", counted)
+    many = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        docs = spark.createDataFrame([(k, f"{LONG} {k % 7} {k % 3}", "", "") for k in range(400)], SCHEMA)
+        got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == 400
+    assert all(max(files[tag]) <= 8 for tag in ("classes", "buckets", "routed", "trees", "components", "resolved"))
+    assert max(files["edges"][1:]) <= 8
