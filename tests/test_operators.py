@@ -206,6 +206,23 @@ def test_histogram_of_a_constant_column_has_width(spark):
     assert rows[15].density == pytest.approx(30.0)
 
 
+def test_dense_values_are_ordered_after_one_count(spark, monkeypatch):
+    """Values within a power of ten: the first count leaves few enough to order."""
+    monkeypatch.setattr(quantiles, "MAX_ORDERED_VALUES", 400)
+    kinds, plain = [], quantiles._count_inside
+
+    def counted(df, by, lookup, ranks, ordered):
+        kinds.append(ordered)
+        return plain(df, by, lookup, ranks, ordered)
+
+    monkeypatch.setattr(quantiles, "_count_inside", counted)
+    values = np.random.default_rng(5).uniform(900, 2000, 20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = [r.value for r in quantiles.quantiles(df, ["x"], [0.25, 0.5]).orderBy("p").collect()]
+    assert got == pytest.approx(np.quantile(values, [0.25, 0.5]).tolist(), rel=1e-12)
+    assert kinds == [True]
+
+
 def test_quantiles_with_nan_and_infinities(spark):
     groups = {"nan": [1.0, 2.0, 3.0, float("nan")], "up": [1.0, 2.0, float("inf"), float("inf")], "down": [float("-inf"), 1.0, 2.0, 3.0],
               "ends": [float("-inf"), float("inf")]}
