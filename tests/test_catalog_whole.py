@@ -11,3 +11,15 @@ def test_finetune_takes_the_two_best_of_all_models(spark):
         base = sorted((r for r in own if not r.model.startswith("Tuned ")), key=lambda r: (-r.test_r2, r.model))
         assert {r.model for r in base} >= set(registry.LINEAR_KINDS)
         assert {r.model for r in own if r.model.startswith("Tuned ")} == {f"Tuned {r.model}" for r in base[:2]}, cohort
+
+
+def test_loguniform_search_searches_every_range_of_boosting(spark, monkeypatch):
+    asked = []
+    trials = spark.createDataFrame([("a", 1)], "cohort string, params int")
+    data = type("Data", (), {"release": lambda self: None})()
+    monkeypatch.setattr(catalog, "_training", lambda spark, sf: data)
+    monkeypatch.setattr(catalog, "sequential_trials", lambda data, spec, ranges, **options: asked.append((spec, ranges, options)) or trials)
+    catalog.loguniform_search(spark, "")
+    spec, ranges, options = asked[0]
+    assert ranges == registry.RANGES[registry.BOOSTING] and "n_estimators" in ranges and options["iterations"] == 30
+    assert spec == registry.tree_models()[registry.BOOSTING]

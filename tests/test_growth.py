@@ -245,3 +245,18 @@ def test_cells_count_rows_without_split_or_fold(spark, coarse, monkeypatch):
         assert set(grower.grow([Growth(depth=1)], folds=False, cohorts=["b"]).fits) == {("b", 0)}
     assert found[0].scores.keys() == found[1].scores.keys() and {s for *_, s in found[0].scores} == {"train", "test", "cv", None}
     assert all(v == pytest.approx(found[1].scores[k], rel=1e-9) for k, v in found[0].scores.items())
+
+
+def test_whole_fits_and_chunks_of_rounds_grow_the_same_boosting(coarse, monkeypatch):
+    """Rounds grown from rows, from the cells of a whole fit, and from chunks of rounds that reach a group one after the other."""
+    wanted = [Growth(rounds=7, depth=3, step=0.3, rows=0.7), Growth(rounds=5, depth=2, step=0.3)]
+    found = []
+    for whole, share, chunk in ((10**6, 10**9, 10**6), (10**6, 2, 10**6), (0, 2, 1)):
+        for name, value in {"WHOLE_ROWS": whole, "CELL_SHARE": share, "CHUNK_BYTES": chunk}.items():
+            monkeypatch.setattr(growth, name, value)
+        grower = Grower(coarse.rows, "y", "cohort", coarse.chosen)
+        found.append(grower.grow(wanted).scores)
+        grower.release()
+    assert found[0].keys() == found[1].keys() == found[2].keys() and len(found[0]) == 2 * 2 * 7
+    for key, values in found[0].items():
+        assert found[1][key] == pytest.approx(values, rel=1e-9) and found[2][key] == pytest.approx(values, rel=1e-9), key
