@@ -247,16 +247,34 @@ def test_cells_count_rows_without_split_or_fold(spark, coarse, monkeypatch):
     assert all(v == pytest.approx(found[1].scores[k], rel=1e-9) for k, v in found[0].scores.items())
 
 
-def test_whole_fits_and_chunks_of_rounds_grow_the_same_boosting(coarse, monkeypatch):
-    """Rounds grown from rows, from the cells of a whole fit, and from chunks of rounds that reach a group one after the other."""
+def test_chunks_of_rounds_grow_the_same_boosting(coarse, monkeypatch):
+    """Rounds of whole fits, and from cells in chunks of one round that reach a group one after the other."""
     wanted = [Growth(rounds=7, depth=3, step=0.3, rows=0.7), Growth(rounds=5, depth=2, step=0.3)]
     found = []
-    for whole, share, chunk in ((10**6, 10**9, 10**6), (10**6, 2, 10**6), (0, 2, 1)):
-        for name, value in {"WHOLE_ROWS": whole, "CELL_SHARE": share, "CHUNK_BYTES": chunk}.items():
+    for whole, chunk in ((10**6, 10**6), (0, 1)):
+        for name, value in {"WHOLE_ROWS": whole, "CELL_SHARE": 2, "CHUNK_BYTES": chunk}.items():
             monkeypatch.setattr(growth, name, value)
         grower = Grower(coarse.rows, "y", "cohort", coarse.chosen)
         found.append(grower.grow(wanted).scores)
         grower.release()
-    assert found[0].keys() == found[1].keys() == found[2].keys() and len(found[0]) == 2 * 2 * 7
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 2 * 2 * 7
     for key, values in found[0].items():
-        assert found[1][key] == pytest.approx(values, rel=1e-9) and found[2][key] == pytest.approx(values, rel=1e-9), key
+        assert found[1][key] == pytest.approx(values, rel=1e-9), key
+
+
+@pytest.mark.parametrize("change", [{}, {"rows": 0.7}, {"shape": "symmetric", "l2": 2.0}, {"shape": "leaves", "leaves": 4}])
+def test_whole_fits_grow_the_same_rounds_from_rows_and_from_cells(monkeypatch, change):
+    rng = np.random.default_rng(3)
+    codes, label = rng.integers(0, 4, (3, 800)).astype(np.uint8), rng.normal(0, 1, 800)
+    label += codes[0] * codes[1]
+    role, key = rng.integers(0, 2, 800).astype(np.int8), rng.integers(0, 2**62, 800).astype(np.uint64)
+    found, trees = [], []
+    for share in (10**9, 4):
+        monkeypatch.setattr(growth, "CELL_SHARE", share)
+        assert (growth._alike(codes) is None) == (share > 4)
+        fit = growth.Fit(0, "a", Growth(rounds=6, depth=3, step=0.3, **change), FINAL, 6, 3, 0, float(label[role == 0].mean()), int((role == 0).sum()))
+        found.append(list(growth.grow_fit(fit, codes, label, role, key, 4, ((3, 3), (6, 3)))))
+        trees.append([(t.feature, t.split, t.left) for t in fit.trees])
+    assert trees[0] == trees[1] and len(found[0]) == 4
+    for a, b in zip(*found, strict=True):
+        assert b == pytest.approx(a, rel=1e-9, abs=1e-9)
