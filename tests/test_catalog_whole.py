@@ -23,3 +23,17 @@ def test_loguniform_search_searches_every_range_of_boosting(spark, monkeypatch):
     spec, ranges, options = asked[0]
     assert ranges == registry.RANGES[registry.BOOSTING] and "n_estimators" in ranges and options["iterations"] == 30
     assert spec == registry.tree_models()[registry.BOOSTING]
+
+
+def test_scaler_model_grid_has_the_forest(spark, monkeypatch):
+    """Four scalers with six models for each cohort; forests have all trees of the full profile."""
+    full = registry.compared_models()[registry.FOREST]
+    assert full.growth.bagged and (full.growth.rounds, full.growth.depth) == (200, 30)
+    small = registry.compared_models("small")
+    monkeypatch.setattr(registry, "compared_models", lambda profile: small)
+    rows = catalog.scaler_model_grid(spark, "/root/testdata/sf0.001").collect()
+    models = {*registry.LINEAR_KINDS, registry.FOREST, registry.BOOSTING, registry.TREE}
+    for cohort in {r.cohort for r in rows}:
+        own = [r for r in rows if r.cohort == cohort]
+        assert {(r.scaler, r.model) for r in own} == {(s, m) for s in ("PowerTransformer", "MinMaxScaler", "StandardScaler", "NoScaling") for m in models} and len(own) == 24
+        assert all(r.test_mae > 0 and r.cv_mae_mean > 0 for r in own)

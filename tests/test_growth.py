@@ -278,3 +278,38 @@ def test_whole_fits_grow_the_same_rounds_from_rows_and_from_cells(monkeypatch, c
     assert trees[0] == trees[1] and len(found[0]) == 4
     for a, b in zip(*found, strict=True):
         assert b == pytest.approx(a, rel=1e-9, abs=1e-9)
+
+
+def test_forests_are_the_mean_of_trees_over_bootstrap_samples(coarse, monkeypatch):
+    """Whole fits, cells and passes against trees that are grown one by one over repeated rows."""
+    wanted = [Growth(rounds=3, depth=4, bagged=True), Growth(rounds=5, depth=4, bagged=True)]
+    rows, found = coarse.rows.toPandas(), {}
+    for kind, whole, share in (("whole", 10**6, 2), ("cells", 0, 2), ("passes", 0, 10**9)):
+        monkeypatch.setattr(growth, "WHOLE_ROWS", whole)
+        monkeypatch.setattr(growth, "CELL_SHARE", share)
+        grower = Grower(coarse.rows, "y", "cohort", coarse.chosen)
+        found[kind] = grower.grow(wanted)
+        grower.release()
+    key = {r.row_key: r.k for r in coarse.rows.select("row_key", F.xxhash64("row_key").alias("k")).collect()}
+    mine = rows[rows.cohort == "b"]
+    codes, y, learn = codes_of(found["whole"], "b", mine), mine.y.to_numpy(), (mine.split == "train").to_numpy()
+    keys = np.array([key[k] for k in mine.row_key], dtype=np.int64).view(np.uint64)
+    for fold in (FINAL, 2):
+        at = learn & (mine.fold != fold).to_numpy()
+        base, trees = y[at].mean(), []
+        for r in range(5):
+            many = np.repeat(np.flatnonzero(at), growth._times(keys[at], wanted[0].row_seed(r)))
+            trees.append(predict(plain_tree(codes[:, many], y[many] - base, 4, 1, 0.0), codes))
+        held = ~learn if fold == FINAL else learn & ~at
+        for i, rounds in enumerate((3, 5)):
+            error = (base + np.mean(trees[:rounds], axis=0) - y)[held]
+            for kind, grown in found.items():
+                n, mae, rmse, _ = grown.scores["b", i, fold, "test" if fold == FINAL else "cv"]
+                assert (n, mae, rmse) == pytest.approx((held.sum(), np.abs(error).mean(), np.sqrt((error**2).mean())), rel=1e-9), (kind, fold, rounds)
+    for kind, grown in found.items():
+        assert grown.scores.keys() == found["whole"].scores.keys(), kind
+
+
+def test_bootstrap_samples_count_rows_by_poissons_law():
+    times = growth._times(np.random.default_rng(0).integers(0, 2**63, 200_000).astype(np.uint64), 7)
+    assert times.mean() == pytest.approx(1.0, abs=0.01) and times.var() == pytest.approx(1.0, abs=0.02) and (times == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
